@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, sharding
+from . import line_dedup, packing, sharding
 from .common import read_table, sha256_of
 
 
@@ -21,6 +21,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", sha256_of(F.col("text")).alias("kept_sha256"))
 
 
+def op9_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), window=1024)
+
+
 OP8_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -41,5 +45,6 @@ FROM keyed GROUP BY doc_id
 QUERIES = {
     "op6_virtual_slots": op6_virtual_slots,
     "op8_line_dedup": op8_line_dedup,
+    "op9_min_bin_slack": op9_min_bin_slack,
 }
 ORACLES = {"op8_line_dedup": OP8_SQL}
