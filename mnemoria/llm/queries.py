@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, sharding
+from . import line_dedup, packing, quality_classifier, quality_rules, sharding
 from .common import read_table, sha256_of
 
 
+def op3_risk_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = quality_rules.apply_rules(docs, read_table(spark, sf_dir, "labels"), alpha=0.03, delta=0.05, stratum="lang")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
+
+
+def op5_fourier_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier.score_documents(docs, read_table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.assign_shards(docs, n_shards=8)
@@ -43,6 +54,8 @@ FROM keyed GROUP BY doc_id
 """
 
 QUERIES = {
+    "op3_risk_controlled": op3_risk_controlled,
+    "op5_fourier_ridge": op5_fourier_ridge,
     "op6_virtual_slots": op6_virtual_slots,
     "op8_line_dedup": op8_line_dedup,
     "op9_min_bin_slack": op9_min_bin_slack,
