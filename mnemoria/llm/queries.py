@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality_classifier, quality_rules, sharding
+from . import line_dedup, packing, quality_classifier, quality_rules, sharding, topk_search
 from .common import read_table, sha256_of
 
 
@@ -26,6 +26,24 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op7_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5, scale=256.0)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1)
@@ -57,7 +75,8 @@ QUERIES = {
     "op3_risk_controlled": op3_risk_controlled,
     "op5_fourier_ridge": op5_fourier_ridge,
     "op6_virtual_slots": op6_virtual_slots,
+    "op7_ball_tree": op7_ball_tree,
     "op8_line_dedup": op8_line_dedup,
     "op9_min_bin_slack": op9_min_bin_slack,
 }
-ORACLES = {"op8_line_dedup": OP8_SQL}
+ORACLES = {"op7_ball_tree": OP7_SQL, "op8_line_dedup": OP8_SQL}
