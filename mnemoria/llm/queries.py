@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality_classifier, quality_rules, sharding, topk_search
+from . import line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, topk_search
 from .common import read_table, sha256_of
 
 
@@ -71,12 +71,17 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
 FROM keyed GROUP BY doc_id
 """
 
+def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(read_table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, num=85, den=100)
+
+
 QUERIES = {
     "op3_risk_controlled": op3_risk_controlled,
     "op5_fourier_ridge": op5_fourier_ridge,
     "op6_virtual_slots": op6_virtual_slots,
     "op7_ball_tree": op7_ball_tree,
     "op8_line_dedup": op8_line_dedup,
+    "op10_divide_skip": op10_divide_skip,
     "op9_min_bin_slack": op9_min_bin_slack,
 }
 ORACLES = {"op7_ball_tree": OP7_SQL, "op8_line_dedup": OP8_SQL}
