@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmap
 from . import kernels as K
 from .common import parallelism, write_table
 from .components import connected_components
@@ -32,7 +33,6 @@ from .components import connected_components
 GROUP = 128
 LANE2 = K.U(0xA0761D6478BD642F)
 FREQUENT_WINDOW = 3_000_000
-BITS = 1 << 26
 
 
 def row_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -114,13 +114,12 @@ class Index:
 
 
 def _sets(batches, wanted, k: int):
-    """Full sets of rows whose id may be wanted (a bitmap of fixed size), as bytes."""
+    """Full sets of rows whose id may be wanted (a bitmap of bounded size), as bytes."""
     for batch in batches:
         ids = batch.column(0)
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         values = ids.fill_null(0).to_numpy()
-        at = (K.mix(values.astype(np.int64).view(np.uint64)) % K.U(BITS)).astype(np.int64)
-        keep = np.flatnonzero(known & ((wanted.value[at >> 3] >> (at & 7)) & 1).astype(bool))
+        keep = np.flatnonzero(known & bitmap.contains(wanted.value, np.ascontiguousarray(values)))
         if len(keep):
             text = batch.column(1).take(pa.array(keep))
             for lo, hi, data, offsets in K.text_slices(text):
@@ -212,10 +211,7 @@ class Join:
         """Those of ``pairs`` (a, b: nodes) that link."""
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = self.table(ends.join(nodes.select("node", "doc_id", "f1", "f2"), "node"), "wanted")
-        bits = np.zeros(BITS >> 3, np.uint8)
-        marked = wanted.select("doc_id").filter("doc_id is not null").mapInArrow(_bitmap, "at int, byte binary")
-        for row in marked.toLocalIterator():
-            bits[row[0] : row[0] + len(row[1])] |= np.frombuffer(row[1], np.uint8)
+        bits = bitmap.build(wanted.select("doc_id").filter("doc_id is not null"), bitmap.bits_for(wanted.count()))
         shared = self.spark.sparkContext.broadcast(bits)
         k, num, den = self.k, self.num, self.den
         found = self.texts.mapInArrow(lambda it: _sets(it, shared, k), "doc_id long, f1 long, f2 long, words binary")
@@ -268,16 +264,6 @@ class Join:
         return pairs.join(x, "a").join(y, "b").filter(self.reachable(F.col("common"), F.col("nx"), F.col("ny")))
 
 
-def _bitmap(batches):
-    """A partition's share of the bitmap, as runs of 64 KB that are not empty."""
-    bits = np.zeros(BITS >> 3, np.uint8)
-    for batch in batches:
-        at = (K.mix(batch.column(0).to_numpy().astype(np.int64).view(np.uint64)) % K.U(BITS)).astype(np.int64)
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    used = [i for i in range(0, len(bits), 1 << 16) if bits[i : i + (1 << 16)].any()]
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([bits[i : i + (1 << 16)].tobytes() for i in used], pa.binary())], ["at", "byte"])
-
-
 def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``: the smallest doc_id reachable by links, itself included.
 

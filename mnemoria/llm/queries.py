@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, topk_search
+from . import line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, topk_search
 from .common import read_table, sha256_of
 
 
@@ -15,6 +15,11 @@ def op3_risk_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
+def op4_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_fourier_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_classifier.score_documents(docs, read_table(spark, sf_dir, "labels"), threshold=0.3)
@@ -77,6 +82,7 @@ def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_risk_controlled": op3_risk_controlled,
+    "op4_prefix_free_parsing": op4_prefix_free_parsing,
     "op5_fourier_ridge": op5_fourier_ridge,
     "op6_virtual_slots": op6_virtual_slots,
     "op7_ball_tree": op7_ball_tree,
