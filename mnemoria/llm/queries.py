@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, topk_search
+from . import line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, topk_search
 from .common import read_table, sha256_of
 
 
+def op1_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains of the labels table: poor (quality 0), toxic and good; as many tokens in all as there are."""
+    labels = read_table(spark, sf_dir, "labels")
+    domain = F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    targets = {"good": 0.9, "toxic": 0.04, "poor": 0.06}
+    out = mixing.mix(docs, labels.select("doc_id", domain.alias("domain")), targets)
+    return out.select("doc_id", "n_tokens", *[F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(sorted(targets))], "rate", "copies")
+
+
+def op2_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path="source")
+
+
 def op3_risk_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = quality_rules.apply_rules(docs, read_table(spark, sf_dir, "labels"), alpha=0.03, delta=0.05, stratum="lang")
@@ -81,6 +95,8 @@ def op10_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_soft_mixture": op1_soft_mixture,
+    "op2_forest_secrets": op2_forest_secrets,
     "op3_risk_controlled": op3_risk_controlled,
     "op4_prefix_free_parsing": op4_prefix_free_parsing,
     "op5_fourier_ridge": op5_fourier_ridge,
