@@ -1,7 +1,8 @@
 """Soft-membership mixing to target weights.
 
-A naive Bayes classifier over hashed words and word ends, fitted on labelled
-documents, gives every document a posterior over domains. Document rates
+A logistic classifier over the hashed words and word ends that tell domains
+apart, fitted on labelled documents, gives every document a posterior over
+domains. Document rates
 r >= 0 then minimise the (relative) squared distance between the expected
 tokens of each domain, sum(r * tokens * posterior), and their targets, by
 projected gradient from r = 1. A step needs one sum over the corpus, a number
@@ -21,6 +22,8 @@ from .common import replacing, write_table
 
 BUCKETS = 1 << 15
 MAX_DOMAINS = 64
+MAX_FEATURES = 512
+DEVIATION = 4.0
 
 
 def doc_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,7 +34,13 @@ def doc_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     last = K.mix(K.Prefix(data)(np.maximum(start, end - 2), end) + K.U(1))
     bucket = np.concatenate([word, last]) & K.U(BUCKETS - 1)
     pairs = np.unique(np.concatenate([row, row]) * BUCKETS + bucket.astype(np.int64))
-    return pairs // BUCKETS, pairs % BUCKETS, np.diff(first)
+    # how varied the words are and how much is in capitals, in steps
+    n_words, rows = np.diff(first), np.arange(len(offsets) - 1)
+    variety = np.bincount(pairs // BUCKETS, minlength=len(rows)) * 8 // np.maximum(2 * n_words, 1)
+    capitals = K.row_sums((data >= 65) & (data <= 90), offsets) * 8 // np.maximum(np.diff(offsets), 1)
+    extra = [K.mix(step.astype(np.uint64) + K.U(salt)) & K.U(BUCKETS - 1) for step, salt in ((variety, 1000), (capitals, 2000))]
+    pairs = np.unique(np.concatenate([pairs, *(rows * BUCKETS + x.astype(np.int64) for x in extra)]))
+    return pairs // BUCKETS, pairs % BUCKETS, n_words
 
 
 class Labelled:
@@ -69,18 +78,19 @@ def _bucket_counts(batches, known):
         yield pa.RecordBatch.from_arrays([pa.array((key // (BUCKETS + 1)).astype(np.int32)), pa.array((key % (BUCKETS + 1) - 1).astype(np.int32)), pa.array(n)], ["domain", "bucket", "n"])
 
 
-def _evidence(batches, shared):
-    """Tokens and, for each domain, the mean log-likelihood ratio of a document's features."""
-    prior, weight = shared.value
+def _active(batches, chosen):
+    """Tokens, and which of the chosen features a document has."""
+    place = np.full(BUCKETS, -1)
+    place[chosen.value] = np.arange(len(chosen.value))
     for batch in batches:
         where = batch.schema.get_field_index("text")
         others = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if i != where]
         for lo, hi, data, offsets in K.text_slices(batch.column(where)):
             row, bucket, tokens = doc_features(data, offsets)
-            rows = hi - lo
-            sums = np.stack([np.bincount(row, weight[d][bucket], rows) for d in range(len(prior))], 1)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), len(prior)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(c.slice(lo, rows) for _, c in others), pa.array(tokens.astype(np.int64)), lists], [*(n for n, _ in others), "n_tokens", "evidence"])
+            at = place[bucket]
+            ends = np.append(0, np.cumsum(np.bincount(row[at >= 0], minlength=hi - lo))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[at >= 0].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for _, c in others), pa.array(tokens.astype(np.int64)), lists], [*(n for n, _ in others), "n_tokens", "active"])
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -88,15 +98,30 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def logistic(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 1.0, rounds: int = 400) -> np.ndarray:
+    """Weights (features + 1, k) by accelerated gradient descent on the penalised log loss."""
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    goal = np.eye(k, dtype=x.dtype)[y]
+    step = 1 / (0.5 * np.linalg.norm(x, 2) ** 2 + ridge)
+    w = v = np.zeros((x.shape[1], k), x.dtype)
+    for i in range(rounds):
+        new = v - step * (x.T @ (softmax(x @ v) - goal) + ridge * np.vstack([v[:-1], 0 * v[-1:]]))
+        w, v = new, new + i / (i + 3) * (new - w)
+    return w.astype(float)
+
+
 class Fitted:
-    """Posterior from evidence, and the rate that the gradients so far give."""
+    """Posterior from a document's features, and the rate that the gradients so far give."""
 
-    def __init__(self, prior: np.ndarray, heat: float):
-        self.prior, self.heat = prior, heat
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
         self.steps: list[np.ndarray] = []
 
-    def posterior(self, evidence: np.ndarray) -> np.ndarray:
-        return softmax(self.prior + evidence / self.heat)
+    def posterior(self, active: pa.Array) -> np.ndarray:
+        size = active.value_lengths().to_numpy().astype(np.int64)
+        flat = active.flatten().to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        return softmax(np.stack([np.bincount(row, w[flat], len(size)) + w[-1] for w in self.weights.T], 1))
 
     def rate(self, posterior: np.ndarray) -> np.ndarray:
         r = np.ones(len(posterior))
@@ -105,25 +130,25 @@ class Fitted:
         return r
 
 
-def _arrays(batch, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(batch) -> tuple[np.ndarray, pa.Array]:
     at = batch.schema.get_field_index
-    return batch.column(at("n_tokens")).to_numpy().astype(float), batch.column(at("evidence")).flatten().to_numpy().reshape(-1, k)
+    return batch.column(at("n_tokens")).to_numpy().astype(float), batch.column(at("active"))
 
 
-def _totals(table: DataFrame, shared, k: int, what) -> np.ndarray:
+def _totals(table: DataFrame, shared, what) -> np.ndarray:
     """The sum over the table of what ``what`` makes of (tokens, posterior, fitted)."""
 
     def part(batches):
         total = None
         for batch in batches:
-            n, e = _arrays(batch, k)
-            fitted = shared.value
-            x = what(n, fitted.posterior(e), fitted)
-            total = x if total is None else total + x
+            n, active = _arrays(batch)
+            if len(n):
+                x = what(n, shared.value.posterior(active), shared.value)
+                total = x if total is None else total + x
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["i", "v"])
 
-    rows = table.select("n_tokens", "evidence").mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    rows = table.select("n_tokens", "active").mapInArrow(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
     return rows.sort_values("i")["v"].to_numpy()
 
 
@@ -150,38 +175,37 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: fl
         use = use.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < int(max_labelled / n * (1 << 20)))
     rows = use.select(F.col("doc_id").cast("long").alias("doc_id"), "domain").toPandas()
     ids, domain = rows["doc_id"].to_numpy(np.int64), rows["domain"].map({d: i for i, d in enumerate(names)}).to_numpy(np.int64)
-    held = K.mix(ids.view(np.uint64)) % K.U(5) == 0  # these set the temperature
-    known = send(Labelled(ids[~held], domain[~held]))
+    known = send(Labelled(ids, domain))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = own.mapInArrow(lambda it: _bucket_counts(it, known), "domain int, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros((k, BUCKETS + 1))
     seen[counts["domain"].to_numpy(int), counts["bucket"].to_numpy(int) + 1] = counts["n"].to_numpy(float)
     n_docs = seen[:, 0]
     share = (seen[:, 1:] + 0.5) / (n_docs[:, None] + 1)
-    odds = np.log(share / (1 - np.minimum(share, 0.999)))
-    weight = np.where(n_docs[:, None] > 0, odds - odds.mean(0), 0)
-    weight[:, seen[:, 1:].sum(0) < 5] = 0
-    prior = np.where(n_docs > 0, np.log(np.maximum(n_docs, 1) / max(1, n_docs.sum())), -60.0 if n_docs.sum() else 0.0)
+    overall = (seen[:, 1:].sum(0) + 0.5) / (n_docs.sum() + 1)
+    z = (share - overall) / np.sqrt(overall * (1 - np.minimum(overall, 0.999)) / np.maximum(n_docs, 1)[:, None])
+    tell = np.where(n_docs[:, None] > 0, np.abs(z), 0).max(0)
+    chosen = np.argsort(-tell, kind="stable")[:MAX_FEATURES]
+    chosen = send(chosen[tell[chosen] > DEVIATION])
     columns = [c for c in docs.columns if c != "text"]
     inner = docs.select("text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("doc_id").cast("long").alias("__id"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields if f.name != "text")
-    shared = send((prior, weight))
-    table, _ = write_table(inner.mapInArrow(lambda it: _evidence(it, shared), f"{kinds}, n_tokens long, evidence array<double>"), "mixing")
-    fitted = Fitted(prior, 1.0)
-    if held.any():
-        test = send(Labelled(ids[held], domain[held]))
-
-        def held_rows(batches):
-            for batch in batches:
-                d = test.value(_numbers(batch.column(0)))
-                yield pa.RecordBatch.from_arrays([pa.array(d[d >= 0].astype(np.int32)), batch.column(1).filter(pa.array(d >= 0))], ["domain", "evidence"])
-
-        scored = table.select("__id", "evidence").mapInArrow(held_rows, "domain int, evidence array<double>").limit(2 * max_labelled).toPandas()
-        if len(scored):
-            e, d = np.stack(scored["evidence"].to_list()), scored["domain"].to_numpy(int)
-            loss = {h: -np.log(np.maximum(softmax(prior + e / h)[np.arange(len(d)), d], 1e-12)).mean() for h in 2.0 ** np.arange(0, 10, 0.5)}
-            fitted.heat = min(loss, key=loss.get)
-    first = _totals(table, send(fitted), k, lambda n, p, _: np.concatenate([(p * n[:, None]).sum(0), ((p * n[:, None]).T @ p).ravel()]))
+    table, _ = write_table(inner.mapInArrow(lambda it: _active(it, chosen), f"{kinds}, n_tokens long, active array<int>"), "mixing")
+
+    def sample(batches):
+        for batch in batches:
+            d = known.value(_numbers(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(d[d >= 0].astype(np.int32)), batch.column(1).filter(pa.array(d >= 0))], ["domain", "active"])
+
+    rows = table.select("__id", "active").mapInArrow(sample, "domain int, active array<int>").limit(2 * max_labelled).toPandas()
+    weights = np.zeros((len(chosen.value) + 1, k))
+    if len(rows):
+        x = np.zeros((len(rows), len(chosen.value)), np.float32)
+        for i, own in enumerate(rows["active"]):
+            x[i, own] = 1
+        weights = logistic(x, rows["domain"].to_numpy(int), k)
+    fitted = Fitted(weights)
+    first = _totals(table, send(fitted), lambda n, p, _: np.concatenate([(p * n[:, None]).sum(0), ((p * n[:, None]).T @ p).ravel()]))
     if len(first):
         natural, gram = first[:k], first[k:].reshape(k, k)
         goal = np.array([targets[d] for d in names], float)
@@ -193,20 +217,19 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: fl
             if np.abs(current - goal).max() <= tolerance * max(1.0, goal.sum()):
                 break
             fitted.steps.append(step * scale * (current - goal))
-            before, current = current, _totals(table, send(fitted), k, lambda n, p, f: (p * (n * f.rate(p))[:, None]).sum(0))
+            before, current = current, _totals(table, send(fitted), lambda n, p, f: (p * (n * f.rate(p))[:, None]).sum(0))
             if np.abs(current - before).max() <= 0.01 * tolerance * max(1.0, goal.sum()):
                 break
     final = send(fitted)
 
     def rated(batches):
         for batch in batches:
-            kept = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n not in ("evidence", "__id")]
-            _, e = _arrays(batch, k)
-            p = final.value.posterior(e)
+            kept = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n not in ("active", "__id")]
+            p = final.value.posterior(_arrays(batch)[1])
             lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), k).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(c for _, c in kept), lists, pa.array(final.value.rate(p))], [*(n for n, _ in kept), "posterior", "rate"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields if f.name not in ("evidence", "__id"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields if f.name not in ("active", "__id"))
     out = table.mapInArrow(rated, f"{kinds}, posterior array<double>, rate double")
     named = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
     return out.select(*[v.alias(c) for c, v in named.items()], "n_tokens", "posterior", "rate", copies(named["doc_id"], F.col("rate"), seed).alias("copies"))
