@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import replacing, write_table
+from .common import replacing, with_fields, write_table
 
 BUCKETS = 1 << 15
 MAX_DOMAINS = 64
 MAX_FEATURES = 512
 DEVIATION = 4.0
+ADDED = ("n_tokens", "posterior", "rate", "copies")
 
 
 def doc_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,13 +79,13 @@ def _bucket_counts(batches, known):
         yield pa.RecordBatch.from_arrays([pa.array((key // (BUCKETS + 1)).astype(np.int32)), pa.array((key % (BUCKETS + 1) - 1).astype(np.int32)), pa.array(n)], ["domain", "bucket", "n"])
 
 
-def _active(batches, chosen):
+def _active(batches, chosen, keep_text: bool = False):
     """Tokens, and which of the chosen features a document has."""
     place = np.full(BUCKETS, -1)
     place[chosen.value] = np.arange(len(chosen.value))
     for batch in batches:
         where = batch.schema.get_field_index("text")
-        others = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if i != where]
+        others = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if keep_text or i != where]
         for lo, hi, data, offsets in K.text_slices(batch.column(where)):
             row, bucket, tokens = doc_features(data, offsets)
             at = place[bucket]
@@ -152,18 +153,8 @@ def _totals(table: DataFrame, shared, what) -> np.ndarray:
     return rows.sort_values("i")["v"].to_numpy()
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None, max_labelled: int = 20_000, steps: int = 40, tolerance: float = 1e-5, seed: int = 0) -> DataFrame:
-    """The columns of ``docs`` but text, n_tokens, posterior (array in the order of sorted(targets)), rate and copies.
-
-    ``labels`` has doc_id and domain (one of ``targets``' keys; other rows are
-    not used). ``total`` is the sum of the targets in tokens, by default the
-    corpus's. ``copies`` rounds the rate by a coin that doc_id and ``seed``
-    fix. About ``max_labelled`` labelled rows, by hash, fit the classifier; a
-    domain without any has no posterior. Null and empty texts have no tokens
-    and the prior as posterior; repeated rows get equal rates; an empty table
-    gives an empty one; input columns with the added names give way.
-    """
-    docs = replacing(docs, "n_tokens", "posterior", "rate", "copies")
+def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None, max_labelled: int, steps: int, tolerance: float):
+    """The fitted classifier and rates, the chosen features (both broadcast), and the table of documents' features."""
     spark, names = docs.sparkSession, sorted(targets)
     k = len(names)
     if not 0 < k <= MAX_DOMAINS:
@@ -220,7 +211,23 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: fl
             before, current = current, _totals(table, send(fitted), lambda n, p, f: (p * (n * f.rate(p))[:, None]).sum(0))
             if np.abs(current - before).max() <= 0.01 * tolerance * max(1.0, goal.sum()):
                 break
-    final = send(fitted)
+    return send(fitted), chosen, table
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None, max_labelled: int = 20_000, steps: int = 40, tolerance: float = 1e-5, seed: int = 0) -> DataFrame:
+    """The columns of ``docs`` but text, n_tokens, posterior (array in the order of sorted(targets)), rate and copies.
+
+    ``labels`` has doc_id and domain (one of ``targets``' keys; other rows are
+    not used). ``total`` is the sum of the targets in tokens, by default the
+    corpus's. ``copies`` rounds the rate by a coin that doc_id and ``seed``
+    fix. About ``max_labelled`` labelled rows, by hash, fit the classifier; a
+    domain without any has no posterior. Null and empty texts have no tokens
+    and the prior as posterior; repeated rows get equal rates; an empty table
+    gives an empty one; input columns with the added names give way.
+    """
+    docs = replacing(docs, *ADDED)
+    k, columns = len(targets), [c for c in docs.columns if c != "text"]
+    final, _, table = fit_rates(docs, labels, targets, total, max_labelled, steps, tolerance)
 
     def rated(batches):
         for batch in batches:
@@ -235,6 +242,23 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: fl
     return out.select(*[v.alias(c) for c, v in named.items()], "n_tokens", "posterior", "rate", copies(named["doc_id"], F.col("rate"), seed).alias("copies"))
 
 
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None, max_labelled: int = 20_000, steps: int = 40, tolerance: float = 1e-5, seed: int = 0) -> DataFrame:
+    """``docs`` as :func:`mix` rates them: each row as often as its copies say, in its own columns."""
+    final, chosen, _ = fit_rates(docs, labels, targets, total, max_labelled, steps, tolerance)
+    names = docs.columns
+    inner = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(names)])
+
+    def rated(batches):
+        for batch in batches:
+            for part in _active(iter([batch]), chosen, keep_text=True):
+                rate = final.value.rate(final.value.posterior(_arrays(part)[1]))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in batch.schema.names), pa.array(rate)], [*batch.schema.names, "__rate"])
+
+    out = inner.mapInArrow(rated, with_fields(inner, __rate="double"))
+    n = copies(F.col(f"c{names.index('doc_id')}"), F.col("__rate"), seed)
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), n))).drop("__copy", "__rate").toDF(*names)
+
+
 def copies(doc_id: Column, rate: Column, seed: int = 0) -> Column:
     """The rate, rounded up or down by a coin that the id fixes."""
     coin = F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap
 from . import kernels as K
-from .common import parallelism, write_table
+from .common import drop_table, parallelism, write_table
 from .components import connected_components
 
 #: Records per group that one query is searched in.
@@ -194,13 +194,18 @@ class Join:
 
     def __init__(self, texts: DataFrame, k: int, num: int, den: int):
         self.texts, self.k, self.num, self.den = texts, k, num, den
-        self.spark, self.paths = texts.sparkSession, []
+        self.spark, self.paths = texts.sparkSession, {}
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
         out, path = write_table(df, label)
-        self.paths.append(path)
+        self.paths.setdefault(label, []).append(path)
         return out
 
+    def drop(self, *labels: str) -> None:
+        """Delete tables that nothing will read again."""
+        for path in [p for x in labels for p in self.paths.pop(x, [])]:
+            drop_table(self.spark, path)
+
     def reachable(self, common, nx, ny):
         """Whether a pair may reach T: shared index entries, and at most what one set has beyond its index."""
         beyond = lambda n: F.ceil(self.num * n / self.den) - 1
@@ -222,7 +227,9 @@ class Join:
         asks = salted.select("a", "salt").distinct().join(sets, F.col("a") == sets["node"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "words")
         rows = asks.union(salted.join(sets, F.col("b") == sets["node"]).select("a", "salt", "b", "words"))
         dealt = rows.repartition(parallelism(self.spark), "a", "salt").sortWithinPartitions("a", "salt", "b")
-        return self.table(dealt.mapInArrow(lambda it: _verify(it, num, den), "a long, b long"), "links")
+        out = self.table(dealt.mapInArrow(lambda it: _verify(it, num, den), "a long, b long"), "links")
+        self.drop("wanted", "sets", "pairs")
+        return out
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(doc_id, n, f1, f2) for each row, and (f1, f2, first) for each node: the smallest doc_id of its component."""
@@ -255,6 +262,7 @@ class Join:
             if not more.isEmpty():
                 found = found.unionByName(more)
                 component = self.table(connected_components(found), "components")
+        self.drop("postings", "stars", "entries", "cross")
         named = nodes.select("node", "n", "f1", "f2", "doc_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = named.groupBy("component").agg(F.min("doc_id").alias("first"))
         return rows.select("doc_id", "n", "f1", "f2"), named.join(least, "component").select("n", "f1", "f2", "first")

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import docstats
-from .common import replacing, write_table
+from . import kernels as K
+from .common import drop_table, replacing, write_table
 
 BINS = 2000
 LOW, HIGH = -0.5, 1.5
@@ -173,3 +174,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     kept = [f for f in stats.schema.fields if f.name not in drop]
     out = stats.mapInArrow(scored, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", score double")
     return out.select(*[F.col(f.name).alias(n) for f, n in zip(kept, names, strict=True)], (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fitting) -> DataFrame:
+    """The rows of ``docs`` that :func:`score_documents` predicts 1, in their own columns; texts aren't shuffled."""
+    stats, path = write_table(docstats.with_stats(docs.select("doc_id", "text")), "classifier-stats")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, **fitting))
+    drop_table(docs.sparkSession, path)
+
+    def good(batches):
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index("text"))
+            for lo, hi, data, offsets in K.text_slices(text):
+                keep = shared.value.score(features(docstats.slice_stats(data, offsets))) >= threshold
+                yield batch.slice(lo, hi - lo).filter(pa.array(keep))
+
+    return docs.mapInArrow(good, docs.schema)

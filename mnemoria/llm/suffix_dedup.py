@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import bitmap
 from . import kernels as K
-from .common import replacing, with_fields, write_table
+from .common import drop_table, replacing, with_fields, write_table
 
 W = 10
 EVERY = 24
@@ -197,17 +197,20 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
     again = docs.select("text").mapInArrow(_phrase_keys, "phrase long").groupBy("phrase").agg(F.count("*").alias("n")).filter("n > 1").select("phrase")
-    again, _ = write_table(again, "phrases")
+    again, phrase_path = write_table(again, "phrases")
     repeated = send(bitmap.build(again, bitmap.bits_for(again.count())))
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(c if c == "text" else f"c{i}") for i, c in enumerate(names)])
     plain = inner.columns
     filled = inner.withColumn("text", F.coalesce("text", F.lit("")))
-    affected, _ = write_table(filled.mapInArrow(lambda it: _by_affected(it, repeated, length, True), filled.schema).withColumn("uid", F.monotonically_increasing_id()), "affected")
-    found, _ = write_table(affected.select("uid", "text").mapInArrow(lambda it: _units(it, repeated, length), "uid long, lo int, hi int, c1 long, c2 long"), "units")
+    affected, affected_path = write_table(filled.mapInArrow(lambda it: _by_affected(it, repeated, length, True), filled.schema).withColumn("uid", F.monotonically_increasing_id()), "affected")
+    found, unit_path = write_table(affected.select("uid", "text").mapInArrow(lambda it: _units(it, repeated, length), "uid long, lo int, hi int, c1 long, c2 long"), "units")
     twice = found.groupBy("c1", "c2").agg(F.count("*").alias("n")).filter("n > 1").select("c1", "c2", F.lit(True).alias("again"))
+    drop_table(spark, phrase_path)
     runs = found.join(twice, ["c1", "c2"], "left").groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", F.coalesce("again", F.lit(False)).alias("again"))).alias("units"))
     judged, _ = write_table(affected.join(runs, "uid"), "judged")
+    for path in (unit_path, affected_path):
+        drop_table(spark, path)
     window = "h1 long, h2 long, uid long, at int, n long"
     slim = judged.select("uid", "text", "units")
     edges, _ = write_table(slim.mapInArrow(lambda it: _windows(it, length, False), window), "edges")
