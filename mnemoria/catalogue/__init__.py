@@ -1 +1,6 @@
+"""Named queries over the driver's tables, each with independent SQL where SQL can express it."""
 
+from .registry import ORACLES, QUERIES
+from . import graphs, lexicals, lives, texts, vectors  # noqa: F401,E402
+
+__all__ = ["ORACLES", "QUERIES"]
