@@ -81,10 +81,10 @@ def trigram_name_similarity(spark, sf):
     return p.select("a", "b", F.round(X.trigram_similarity(F.col("x"), F.col("y")), 6).alias("score"))
 
 
-@query("SELECT p.p_partkey AS id, q.w AS word FROM part p, (VALUES ('part'), ('partx'), ('widget'), ('brand')) q(w) WHERE levenshtein(lower(split_part(p_name, ' ', 1)), q.w) <= 2")
+@query("SELECT p.p_partkey AS id, q.w AS word FROM part p, (VALUES ('blue'), ('colt'), ('hat'), ('large')) q(w) WHERE levenshtein(lower(split_part(p_name, ' ', 1)), q.w) <= 2")
 def edit_distance_match(spark, sf):
     p = T.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower(F.element_at(F.split("p_name", " "), 1)).alias("w"))
-    words = F.explode(F.array(*[F.lit(w) for w in ("part", "partx", "widget", "brand")])).alias("word")
+    words = F.explode(F.array(*[F.lit(w) for w in ("blue", "colt", "hat", "large")])).alias("word")
     return p.select("id", "w", words).filter(F.levenshtein("w", "word", 2) >= 0).select("id", "word")
 
 
