@@ -95,7 +95,7 @@ class Search:
         self.visits += len(some) * (hi - lo)
         for at in range(0, hi - lo, 4096):  # a leaf of equal vectors may be long
             x, own = v[at : at + 4096], ids[at : at + 4096]
-            if len(x) and float(np.abs(x).max()) * float(np.abs(self.q[some]).max()) * x.shape[1] >= EXACT:
+            if len(x) and float(np.abs(x).max(initial=0)) * float(np.abs(self.q[some]).max(initial=0)) * x.shape[1] >= EXACT:
                 exact = np.array([[sum(int(a) * int(b) for a, b in zip(r, y, strict=True)) for y in x] for r in self.q[some]], object)
                 s = np.clip(exact, LOWEST + 1, NO_ID).astype(np.int64)
             else:

@@ -1,0 +1,302 @@
+"""Training-data operators against brute force, and the rows that break things."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from mnemoria.llm import line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, tokens, topk_search
+from mnemoria.llm.bitmap import bits_for, build, contains
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+
+
+@pytest.fixture(scope="module")
+def docs(spark, data):
+    return spark.read.parquet(f"{data}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def labels(spark, data):
+    return spark.read.parquet(f"{data}/labels.parquet")
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, slot string, n_lines string, n_bytes string, `clash name` int"
+
+
+def odd(spark):
+    """Nulls anywhere, empty and long texts, repeated rows, clashing columns."""
+    long = " ".join(f"w{i % 997}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t\n", "en", "s", 4), (None, "some words here now", None, "s", 5), (4, long, "en", "s", len(long)), (5, "x", "en", "s", 1), (5, "x", "en", "s", 1), (6, "é'ß 　日本 \U0001F600 it's", "xx", None, None)]
+    return spark.createDataFrame([(*r, "a", "b", "c", "d", 7) for r in rows], SCHEMA)
+
+
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def operators(labels):
+    domains = labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("domain"))
+    return {
+        "mix": lambda d: mixing.mix(d, domains, {"clean": 0.9, "toxic": 0.1}), "resample": lambda d: mixing.resample(d, domains, {"clean": 0.9, "toxic": 0.1}), "scan": lambda d: secret_scan.scan(d, path="source"), "rules": lambda d: quality_rules.apply_rules(d, labels),
+        "repeats": suffix_dedup.remove_repeats, "score": lambda d: quality_classifier.score_documents(d, labels), "good": lambda d: quality_classifier.keep_good(d, labels), "shards": sharding.assign_shards, "lines": line_dedup.drop_common_lines,
+        "pack": packing.pack, "pack_ids": lambda d: packing.pack(d, keep_ids=True), "components": ngram_join.components, "first": ngram_join.keep_first,
+    }
+
+
+@pytest.mark.parametrize("name", ["mix", "resample", "scan", "rules", "repeats", "score", "good", "shards", "lines", "pack", "pack_ids", "components", "first"])
+def test_odd_and_empty(spark, labels, name):
+    run = operators(labels)[name]
+    out = run(odd(spark))
+    n = out.count()
+    if name in ("mix", "rules", "repeats", "score", "shards", "lines", "components"):
+        assert n == 8
+    assert run(nothing(spark)).count() == 0
+
+
+def test_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, [0.5, 0.5]), (5, [0.5, 0.5]), (None, [1.0, 1.0]), (6, [1.0]), (7, []), (8, [float("inf"), 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.top_k(v, v, k=3).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in got} == {(1, 5), (5, 1)}
+    assert topk_search.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_quality_counts(spark, docs, texts, labels):
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs, labels).collect()}
+    for d, t in texts.items():
+        w = WORD.findall(t)
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        windows = collections.Counter(zip(w, w[1:], w[2:]))
+        cover = {j for i, x in enumerate(zip(w, w[1:], w[2:])) if windows[x] > 1 for j in (i, i + 1, i + 2)}
+        r = got[d]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(cover))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
+
+
+def test_certified_cutoffs():
+    good, bad = np.zeros(quality_rules.TOP + 1, np.int64), np.zeros(quality_rules.TOP + 1, np.int64)
+    good[0], bad[100] = 5000, 50
+    assert quality_rules.certified(good, bad, 0.005, 0.002) == 100
+    assert quality_rules.certified(good // 100, bad, 0.005, 0.002) is None
+    assert quality_rules.binomial_cdf(1, 3, 0.5) == pytest.approx(0.5)
+    rng = np.random.default_rng(1)  # good and bad alike: what is certified keeps to the limit
+    good = np.bincount(rng.integers(0, 400, 20_000), minlength=quality_rules.TOP + 1)
+    cut = quality_rules.certified(good, good, 0.01, 0.002)
+    assert good[cut:].sum() <= 0.01 * good.sum()
+
+
+@pytest.mark.parametrize("limit", [10, 2])
+def test_line_dedup(spark, docs, texts, limit):
+    key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate(LOW)
+    count = collections.Counter(k for t in texts.values() for k in {key(x) for x in t.split("\n")} if k)
+    for way in (2_000_000, -1):  # broadcast, and the shuffle beyond it
+        for r in line_dedup.drop_common_lines(docs, limit, 1, way).collect():
+            lines = texts[r["doc_id"]].split("\n")
+            kept = [x for x in lines if count[key(x)] < limit]
+            assert (r["n_lines"], r["n_dropped"], r["text"]) == (len(lines), len(lines) - len(kept), "\n".join(kept))
+
+
+def test_repeats(spark):
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("abcdef é"), n))
+    a, b = word(700), word(450)
+    rows = [a, word(300) + a[100:560] + word(200), b, b, "ab " * 400, word(399), word(100) + a[:405], "x" * 1000, a[250:650], ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    raw = [t.encode() for t in rows]
+    count = collections.Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
+    for r in suffix_dedup.remove_repeats(df).collect():
+        t = raw[r["doc_id"]]
+        mark = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if count[t[i : i + 400]] > 1:
+                mark[i : i + 400] = True
+        runs = int((mark & ~np.append(False, mark[:-1])).sum()) if len(t) else 0
+        assert (r["n_removed"], r["n_spans"], bytes(r["kept"])) == (int(mark.sum()), runs, bytes(np.frombuffer(t, np.uint8)[~mark]))
+
+
+def test_classifier(spark, docs, labels):
+    out = quality_classifier.score_documents(docs, labels).join(labels, "doc_id").toPandas()
+    good, bad = out[out.quality == 1].score.to_numpy(), out[out.quality == 0].score.to_numpy()
+    assert (good[:, None] > bad[None]).mean() > 0.9 and out.score.between(0, 1).all()
+    assert set(out.held_out[out.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 5 == 0)]) == {True}
+    assert list(quality_classifier.pool(np.array([1, 1, 2]), np.array([1, 0, 2]))) == [0.5, 0.5, 1.0]
+
+
+def test_shards(spark, docs, texts, tmp_path):
+    out = sharding.assign_shards(docs).toPandas()
+    size = out.groupby("shard")["size"].sum()
+    assert size.max() - size.min() <= out["size"].max() and out["size"].sum() == sum(len(t.encode()) + 1 for t in texts.values())
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    assert all(zlib.crc32(texts[d].encode()) == c for d, c in zip(out.doc_id, out.text_crc32))
+    load = sharding.slot_bytes(sharding.with_slots(docs))
+    old = sharding.fit_map(load, 8)
+    new = sharding.rebalance(old, load, 9)
+    assert all(new[s] == old[s] or new[s] == 8 for s in old) and any(v == 8 for v in new.values())
+    path = f"file://{tmp_path}/map"
+    assert (sharding.save_map(spark, path, old, load), sharding.save_map(spark, path, new, load)) == (1, 2)
+    assert sharding.load_map(spark, path) == new and sharding.load_map(spark, path, 1) == old
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(4)
+    v = np.vstack([rng.normal(size=(600, 8)), np.tile(rng.normal(size=8), (200, 1))])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    q = df.filter("vec_id % 50 = 0")
+    n = np.floor(256 * v)
+    want = {i: sorted(((-int(n[i] @ n[j]), j) for j in range(len(v)) if j != i))[:5] for i in range(0, len(v), 50)}
+    for block in (65_536, 4):
+        got = collections.defaultdict(list)
+        for r in topk_search.top_k(df, q, k=5, shard_rows=128, leaf=16, block=block).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((-r["score"], r["vec_id"]))
+        assert got == want
+
+
+def test_tree_prunes():
+    rng = np.random.default_rng(6)
+    v = np.floor(256 * (rng.normal(size=(4096, 8)) * 0.02 + rng.normal(size=(16, 8))[rng.integers(0, 16, 4096)]))
+    tree = topk_search.build_tree(v, np.arange(4096), 64)
+    s = topk_search.Search(v[:50], np.arange(50), np.full(50, topk_search.LOWEST), 5)
+    s.add(tree)
+    assert s.visits < 0.5 * 50 * 4096
+
+
+def test_packing(spark, docs, texts):
+    pieces = packing.pack(docs.select("doc_id", "text"), keep_ids=True).toPandas()
+    cache = tokens.pieces_of(tokens.default_path())
+    ids = {d: x + [0] for d, x in zip(texts, cache.encode(list(texts.values())))}
+    for d, g in pieces.sort_values("start").groupby("doc_id"):
+        assert [x for r in g.ids for x in r] == ids[d] and (g.doc_tokens == len(ids[d])).all()
+        assert list(g.ids_crc32) == [zlib.crc32(np.array(r, "<u4").tobytes()) for r in g.ids]
+    for _, g in pieces.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == list(np.cumsum(g.length) - g.length) and g.length.sum() <= 1024
+    plain = packing.pack(docs.select("doc_id", "text")).toPandas()
+    same = ["doc_id", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, plain[same].to_numpy())) == sorted(map(tuple, pieces[same].to_numpy()))
+
+
+def test_best_fill():
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        counts = {int(k): int(rng.integers(1, 4)) for k in rng.integers(1, 60, 6)}
+        reach = {0}
+        for k, n in counts.items():
+            reach = {a + k * i for a in reach for i in range(n + 1) if a + k * i <= 100}
+        found = packing.best_fill(counts, 100)
+        assert sum(k * n for k, n in found.items()) == max(reach) and all(n <= counts[k] for k, n in found.items())
+
+
+def brute_components(texts, k, num, den):
+    sets = {}
+    for d, t in texts.items():
+        w = WORD.findall(t.translate(LOW))
+        sets[d] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+@pytest.mark.parametrize("k,num,den", [(4, 85, 100), (5, 80, 100)])
+def test_ngram_join(spark, k, num, den):
+    rng = np.random.default_rng(8)
+    shared = [f"p{i}" for i in range(40)]
+    texts = {}
+    for g in range(12):  # groups around the threshold, chains, and a passage that all hold
+        base = [f"g{g}w{int(x)}" for x in rng.integers(0, 500, 150)] + shared
+        for _ in range(6):
+            base = [w if rng.random() > 0.008 else f"n{int(rng.integers(1 << 30))}" for w in base]
+            texts[len(texts)] = " ".join(base)
+    texts |= {len(texts): "A b", len(texts) + 1: "a B", len(texts) + 2: "", len(texts) + 3: " "}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components(df, k, num, den).collect()}
+    assert got == brute_components(texts, k, num, den)
+    kept = {r["doc_id"] for r in ngram_join.keep_first(df, k, num, den).collect()}
+    assert kept == {d for d, (n, c) in got.items() if c == d or not n}
+
+
+def test_divide_skip():
+    rng = np.random.default_rng(9)
+    query = np.unique(rng.integers(0, 1000, 300).astype(np.uint64))
+    records = [np.unique(np.append(query[rng.random(len(query)) < p], rng.integers(1000, 2000, m).astype(np.uint64))) for p, m in ((1, 0), (0.95, 5), (0.9, 20), (0.5, 100), (0.0, 10))]
+    want = [100 * len(set(query) & set(r)) >= 80 * len(set(query) | set(r)) for r in records]
+    assert list(ngram_join.divide_skip(query, records, 80, 100)) == want
+
+
+def test_mixing_meets_targets(spark, docs, labels):
+    domains = labels.select("doc_id", F.when(F.col("quality") == 0, "poor").otherwise("good").alias("domain"))
+    out = mixing.mix(docs, domains, {"good": 0.95, "poor": 0.05}, steps=80).toPandas()
+    p = np.stack(out.posterior.to_list())
+    mass = (p * (out.n_tokens * out.rate).to_numpy()[:, None]).sum(0)
+    assert np.allclose(mass / out.n_tokens.sum(), [0.95, 0.05], atol=0.01) and (out.rate >= 0).all()
+    assert abs((out.copies - out.rate)).max() < 1
+
+
+def test_secrets(spark, docs, texts):
+    out = secret_scan.scan(docs, path="source").toPandas()
+    for r in out.itertuples():
+        assert texts[r.doc_id][r.start : r.start + r.length] == r.value
+    planted = {(d, m.start(1)) for d, t in texts.items() for m in re.finditer(r'token = "([0-9a-fA-F]{40})"', t)}
+    found = {(r.doc_id, r.start) for r in out[out.is_secret].itertuples()}
+    assert planted <= found and len(found - planted) <= 1
+    findings = secret_scan.labelled_findings(spark, 1200)
+    model = secret_scan.train(findings.limit(900))
+    assert model.getNumTrees == 24
+    rows = [(1, "x" * 5000 + " " + " ".join(f"key{i:020d}" for i in range(300)))]
+    many = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), findings).toPandas()
+    assert all(rows[0][1][r.start : r.start + r.length] == r.value for r in many.itertuples()) and len(many) == 300
+
+
+def test_bitmap(spark):
+    keys = spark.range(1000).select((F.col("id") * 7919).alias("k"))
+    found = build(keys, bits_for(1000))
+    probe = np.arange(1000, dtype=np.int64) * 7919
+    assert contains(found, probe).all() and contains(found, probe + 1).mean() < 0.2
+
+
+def test_pipeline(spark, data, docs):
+    import corpus_pipeline
+
+    step = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, data)
+        assert step.columns == docs.columns
+        step = spark.createDataFrame(step.toPandas(), docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, step, data).count() > 0
+
+
+def test_oracle(spark, duck, data):
+    from conftest import rows_of
+
+    from mnemoria.llm.queries import ORACLES, QUERIES
+
+    for name, sql in ORACLES.items():
+        assert rows_of(QUERIES[name](spark, data).toPandas()) == rows_of(duck.execute(sql).df()), name
+
+
+def test_kept_hash():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
