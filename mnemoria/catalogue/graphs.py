@@ -110,3 +110,15 @@ def name_search(spark, sf):
     e, _ = T.graph(spark, sf)
     hit = e.filter(X.normalize_name(F.col("name")).contains("00000000"))
     return hit.orderBy(F.desc(X.normalize_name(F.col("name")) == "00000000"), "entity").limit(10).select("entity", "name")
+
+
+@query(f"WITH {GRAPH} SELECT entity, name FROM entities WHERE starts_with(lower(name), left(lower('Supplier#1'), 3)) ORDER BY entity LIMIT 10")
+def name_prefix(spark, sf):
+    e, _ = T.graph(spark, sf)
+    return e.filter(X.normalize_name(F.col("name")).startswith("sup")).orderBy("entity").limit(10).select("entity", "name")
+
+
+@query(f"""WITH {GRAPH}, m AS (SELECT source, target, relation_type, confidence, source LIKE '%7' AS gone FROM relations) SELECT relation_type, count(*) AS n, count(*) FILTER (WHERE NOT gone) AS active FROM m GROUP BY 1""")
+def active_relations(spark, sf):
+    _, r = T.graph(spark, sf)
+    return r.withColumn("gone", F.col("source").endswith("7")).groupBy("relation_type").agg(F.count("*").alias("n"), F.count_if(~F.col("gone")).alias("active"))

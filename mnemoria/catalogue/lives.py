@@ -120,7 +120,7 @@ n AS (SELECT * FROM a QUALIFY row_number() OVER (ORDER BY created_at DESC, id DE
 w AS (SELECT id, importance, 0.5e0 * importance + 0.3e0 * exp(-ln(2e0) * greatest({HOURS.format(c='created_at')}, 0e0) / 168e0) + 0.2e0 * CASE WHEN access_count <= 0 THEN 0e0 ELSE least(1e0, ln(1e0 + access_count) / ln(101e0)) END AS weight FROM n),
 r AS (SELECT * FROM w QUALIFY row_number() OVER (ORDER BY weight, id) <= (SELECT excess FROM x)) SELECT id, round(weight, 6) AS weight FROM r WHERE importance < 0.35e0""")
 def soft_prune_set(spark, sf):
-    return lifecycle.soft_prune(T.facts(spark, sf), T.now(), 100).select("id", F.round("weight", 6).alias("weight"))
+    return lifecycle.soft_prune(T.facts(spark, sf), T.now(), 100, 0.35).select("id", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""WITH {MEMORIES}, o AS (SELECT * FROM memories WHERE NOT compressed AND created_at < TIMESTAMP '2024-01-01 05:00:00' ORDER BY created_at, id LIMIT 100)
@@ -282,3 +282,38 @@ def latency_stats_integer(spark, sf):
 def recall_by_distance(spark, sf):
     t = T.turns(spark, sf).select(metrics.distance_bucket(F.col("turn") * 7 % 60).alias("bucket"), (F.length("content") % 2 == 0).cast("int").alias("hit"))
     return t.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("recall"))
+
+
+@query(f"""WITH {FACTS}, m AS (SELECT *, max({HOURS.format(c='created_at')}) OVER () AS top FROM facts) SELECT id, round(0.3e0 * (1 - {HOURS.format(c='created_at')} / top) + 0.7e0 * importance, 6) AS score FROM m""")
+def sliding_rank(spark, sf):
+    f = T.facts(spark, sf).withColumn("h", R.hours_between(T.now(), F.col("created_at")))
+    top = F.broadcast(f.agg(F.when(F.max("h") == 0, 1.0).otherwise(F.max("h")).alias("top")))
+    return f.crossJoin(top).select("id", F.round(R.sliding_rank(F.col("h"), F.col("top"), F.col("importance")), 6).alias("score"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, length(text) AS score, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS rk FROM r WHERE score >= 150 OR back <= 2)
+SELECT conv_id, turn FROM c WHERE rk <= 4""")
+def relevant_turns(spark, sf):
+    return pack.relevant_turns(T.turns(spark, sf).withColumn("score", F.length("content")), 150, 2, 4).select("conv_id", "turn")
+
+
+@query("SELECT conv_id, right(string_agg(text, chr(10) ORDER BY turn), 400) AS transcript FROM conversations GROUP BY conv_id")
+def transcript_cut(spark, sf):
+    return pack.transcript(T.turns(spark, sf), 100)
+
+
+@query(f"""WITH {FACTS}, s AS (SELECT id, episode_id, sum(strlen(atomic_text) // 4) OVER (PARTITION BY episode_id ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) + 10 AS t FROM facts) SELECT episode_id, id, CAST(t AS BIGINT) AS used FROM s WHERE t <= 2000""")
+def prompt_facts(spark, sf):
+    return pack.prompt_facts(T.facts(spark, sf), "episode_id", [F.desc("importance"), F.asc("id")], 2000).select("episode_id", "id", "used")
+
+
+@query("""SELECT event_type AS operation, count(*) AS runs, count(*) FILTER (WHERE value > 0) AS valid, count(*) FILTER (WHERE value <= 0) AS errors, round(count(*) FILTER (WHERE value <= 0) * 100e0 / count(*), 1) AS error_pct, round(avg(value) FILTER (WHERE value > 0), 4) AS mean FROM events GROUP BY 1""")
+def run_summary(spark, sf):
+    ev = T.read(spark, sf, "events").select(F.col("event_type").alias("operation"), "value")
+    return metrics.summary(ev, "operation", "value")
+
+
+@query("""WITH a AS (SELECT c.conv_id, c.turn, lower(c.text) AS t, b.words FROM conversations c, (SELECT ['the', 'of', 'thion', 'zzz'] AS words) b) SELECT conv_id, turn, contains(t, 'the of') AS exact, len(list_filter(words, lambda w: contains(t, w))) * 2 >= len(words) AS partial FROM a""")
+def answer_match(spark, sf):
+    answer = F.array(*[F.lit(w) for w in ("the", "of", "thion", "zzz")])
+    return T.turns(spark, sf).select("conv_id", "turn", X.answer_contains(F.col("content"), F.lit("the of")).alias("exact"), X.answer_partial(F.col("content"), answer).alias("partial"))

@@ -173,3 +173,27 @@ def specificity(n_dates: Column, anchored: Column, n_places: Column, n_names: Co
     score = F.lit(0.5) + plus(n_dates > 0, 0.1) + plus(anchored, 0.1) + plus(n_places > 0, 0.1) + plus(n_names > 0, 0.1) + plus(has_numbers, 0.05)
     score = score + F.when(n_words < 5, -0.1).when(n_words > 15, 0.05).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+def sliding_rank(hours: Column, oldest: Column, relevance: Column) -> Column:
+    return (1 - hours / oldest) * 0.3 + relevance * 0.7
+
+
+def path_boost(hops: Column) -> Column:
+    """0.3 for a fact of a query's own entity (0 hops), less along a path."""
+    return F.when(hops == 0, 0.3).otherwise(F.lit(0.3) / (hops + 1))
+
+
+def symbolic(query: dict[str, Column], fact: dict[str, Column]) -> Column:
+    """Overlap of times, places, persons and organisations: a quarter for each match, over what could be reached."""
+    reach, hit = F.lit(0.0), F.lit(0.0)
+    for part in ("times", "places", "persons", "organisations"):
+        reach = reach + F.when(F.size(query[part]) > 0, 0.25).otherwise(0.0)
+        hit = hit + F.size(F.filter(query[part], lambda x, p=part: F.array_contains(fact[p], x))) * 0.25
+    return F.when(reach > 0, hit / reach).otherwise(F.lit(0.0))
+
+
+def max_normalised(score: Column, partition: list[str]) -> Column:
+    """A view's score over its largest in the partition; 0 if that is 0."""
+    top = F.max(score).over(Window.partitionBy(*partition))
+    return F.when(top > 0, score / top).otherwise(F.lit(0.0))

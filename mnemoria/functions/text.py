@@ -138,3 +138,13 @@ def contains_any(text: Column, terms) -> Column:
 def strip_html(html: Column) -> Column:
     no_blocks = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(no_blocks, r"<[^>]*>", " "), r"\s+", " "))
+
+
+def answer_contains(text: Column, answer: Column) -> Column:
+    return ascii_lower(text).contains(ascii_lower(answer))
+
+
+def answer_partial(text: Column, words: Column) -> Column:
+    """At least half of the answer's words are in the text."""
+    low = ascii_lower(text)
+    return F.size(F.filter(words, lambda w: low.contains(ascii_lower(w)))) * 2 >= F.size(words)

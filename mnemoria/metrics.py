@@ -36,3 +36,14 @@ def integer(rows: DataFrame, group: str = "operation", value: str = "duration_us
 
 def distance_bucket(d: Column) -> Column:
     return F.when(d <= 10, "0-10").when(d <= 25, "11-25").when(d <= 50, "26-50").otherwise("50+")
+
+
+def summary(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Runs, valid ones (value over 0), errors, their share in percent, and the mean of the valid."""
+    ok = F.col(value) > 0
+    out = rows.groupBy(group).agg(F.count("*").alias("runs"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("errors"), F.round(F.avg(F.when(ok, F.col(value))), 4).alias("mean"))
+    return out.withColumn("error_pct", F.round(F.col("errors") * 100 / F.col("runs"), 1))
+
+
+def positive_only(rows: DataFrame, group: str = "operation", value: str = "duration_us") -> DataFrame:
+    return upper(rows.filter(F.col(value) > 0), group, value)

@@ -101,3 +101,26 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 
 def index_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def save(path: str, centroids: DataFrame, postings: DataFrame, **about: str) -> None:
+    """The index as Parquet: lists partitioned by cluster, so that a probe reads only its own."""
+    spark = centroids.sparkSession
+    centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+    postings.write.mode("overwrite").partitionBy("cluster").parquet(f"{path}/postings")
+    spark.createDataFrame([(k, str(v)) for k, v in sorted(about.items())] or [("version", "1")], "key string, value string").write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load(spark, path: str, **expected: str) -> tuple[DataFrame, DataFrame]:
+    """(centroids, postings), if the index is the expected one (dimension, model, version)."""
+    about = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/about").collect()}
+    wrong = {k: about.get(k) for k, v in expected.items() if about.get(k) != str(v)}
+    if wrong:
+        raise ValueError(f"another index: {wrong}")
+    return spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/postings")
+
+
+def upsert(postings: DataFrame, centroids: DataFrame, vectors: DataFrame) -> DataFrame:
+    """New or changed vectors go to the existing centroids' lists; older rows of theirs leave."""
+    new = vectors.join(assign(vectors, centroids).select("id", "cluster"), "id")
+    return postings.join(vectors.select("id"), "id", "left_anti").unionByName(new.select(postings.columns))

@@ -48,15 +48,15 @@ def prune_keep(facts: DataFrame, threshold: int, keep: int) -> DataFrame:
     return newest.unionByName(strongest)
 
 
-def soft_prune(facts: DataFrame, now: Column, keep: int) -> DataFrame:
-    """Rows to mark obsolete: of the newest 4 * excess active ones the weakest ``excess`` whose importance is under 0.2 ... by weight."""
+def soft_prune(facts: DataFrame, now: Column, keep: int, spare: float = 0.2) -> DataFrame:
+    """Rows to mark obsolete: of the newest 4 * excess active ones the ``excess`` of least weight, but for those of importance ``spare`` or more."""
     active = facts.filter("not is_obsolete")
     excess = active.count() - keep
     if excess <= 0:
         return active.limit(0).withColumn("weight", F.lit(0.0))
     newest = active.orderBy(F.desc("created_at"), F.desc("id")).limit(4 * excess)
     weight = R.prune_weight(F.col("importance"), R.hours_between(now, F.col("created_at")), F.col("access_count"))
-    return newest.withColumn("weight", weight).orderBy("weight", "id").limit(excess).filter("importance < 0.35")
+    return newest.withColumn("weight", weight).orderBy("weight", "id").limit(excess).filter(F.col("importance") < spare)
 
 
 def compress_block(memories: DataFrame, before: Column, most: int = 100, least: int = 5) -> DataFrame:

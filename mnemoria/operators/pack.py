@@ -91,3 +91,27 @@ def bullet_list(rows: DataFrame, key: str, text: str, order: str, title: str = "
     """(key, context): a title and a line for each row."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: F.concat(F.lit("- "), s[text]))
     return rows.groupBy(key).agg(F.concat(F.lit(title + "\n"), F.array_join(lines, "\n")).alias("context"))
+
+
+def relevant_turns(turns: DataFrame, least: float, newest: int, k: int, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Turns that score ``least`` or are among the newest; the k best of those."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    some = turns.withColumn("back", back).filter((F.col("score") >= least) | (F.col("back") <= newest))
+    return some.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), order))).filter(F.col("place") <= k)
+
+
+def transcript(turns: DataFrame, tokens: int, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(key, transcript): the last 4 * tokens characters of all turns, in order."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(order, "content"))), lambda s: s["content"])
+    return turns.groupBy(key).agg(F.right(F.array_join(lines, "\n"), F.lit(4 * tokens)).alias("transcript"))
+
+
+def prompt_facts(facts: DataFrame, key: str, order: list, budget: int, header: int = 10) -> DataFrame:
+    """The prefix of each key's facts that fits the budget after a header; a quarter token per byte, rounded down."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return facts.withColumn("used", F.sum(F.floor(F.octet_length("atomic_text") / 4).cast("long")).over(w) + header).filter(F.col("used") <= budget)
+
+
+def fit_context(rows: DataFrame, key: str, score: Column, tokens: Column, most: int, prompt: int, summary: int, carry: list[str]) -> DataFrame:
+    """Greedy packing by score into what the prompt, an answer of 512 and a summary (256 at most) leave of ``most``."""
+    return greedy_skip(rows, key, F.struct((-score).alias("s"), *carry), tokens, max(0, most - prompt - 512 - min(summary, 256)), carry)

@@ -47,3 +47,21 @@ def entity_list(json: Column) -> Column:
 def seed_if_absent(rows: DataFrame, seed: DataFrame, key: str = "id") -> DataFrame:
     """``rows`` and those of ``seed`` whose key isn't among them."""
     return rows.unionByName(seed.join(rows.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def decode_vector(blob: Column) -> Column:
+    """Little-endian float32 bytes to an array; null if the length isn't a multiple of four. For imports only."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<float>")
+    def run(s: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return s.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+
+    return run(blob)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)

@@ -140,3 +140,18 @@ def test_stream_windows(spark, data):
     q = ingest.tumbling(live, "1 hour").writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windows").count() == ingest.tumbling(ev, "1 hour").count()
+
+
+def test_index_on_disk(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0]), (3, [0.9, 0.1, 0.0, 0.0])], "id long, embedding array<float>")
+    c = ann.train(df, 2, 1)
+    post = df.join(ann.assign(df, c).select("id", "cluster"), "id")
+    ann.save(f"file://{tmp_path}/ann", c, post, dimension=4)
+    c2, p2 = ann.load(spark, f"file://{tmp_path}/ann", dimension=4)
+    q = df.filter("id = 1").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    assert [r["id"] for r in ann.probe(p2, c2, q, 2, 3).orderBy("rank").collect()] == [1, 3, 2]
+    assert ann.upsert(p2, c2, df.filter("id = 3")).count() == 3
+    with pytest.raises(ValueError):
+        ann.load(spark, f"file://{tmp_path}/ann", dimension=8)
+    blob = spark.createDataFrame([(np.array([1, 2], "<f4").tobytes(),), (b"abc",)], "b binary")
+    assert [r[0] for r in blob.select(store.decode_vector(F.col("b"))).collect()] == [[1.0, 2.0], None]
