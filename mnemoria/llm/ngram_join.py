@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from . import bitmap
 from . import kernels as K
 from .common import drop_table, parallelism, write_table
-from .components import connected_components
+from .components import connected_components, merge_components
 
+#: Members that stand for a large component at first.
+SOME = 4
 #: Records per group that one query is searched in.
 GROUP = 128
 LANE2 = K.U(0xA0761D6478BD642F)
@@ -71,11 +73,22 @@ def _frequent(batches, k: int, least: int):
     yield from out()
 
 
-def frequent_shingles(texts: DataFrame, k: int, least: int = 8, most: int = 500_000) -> np.ndarray:
-    """Up to ``most`` (8 bytes each) of the most frequent shingles, rarest first: an order, so it has no say in results."""
-    rows = texts.mapInArrow(lambda it: _frequent(it, k, least), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    found = rows.orderBy(F.desc("n"), "token").limit(most).toPandas()
-    return found["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+def frequent_shingles(texts: DataFrame, k: int, least: int = 2, most: int = 1_000_000) -> np.ndarray:
+    """Up to ``most`` (8 bytes each) of the most frequent shingles, rarest first: an order, so it has no say in results.
+
+    What a stretch of the corpus holds twice is counted over all of it; the
+    least count that goes in is read off a histogram of counts.
+    """
+    counted = texts.mapInArrow(lambda it: _frequent(it, k, least), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 3")
+    counted, path = write_table(counted, "frequent")
+    floor, total = 1 << 62, 0
+    for n, tokens in sorted(map(tuple, counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*")).collect()), reverse=True):
+        if total + tokens > most:
+            break
+        floor, total = n, total + tokens
+    found = counted.filter(F.col("n") >= floor).toPandas().sort_values(["n", "token"])
+    drop_table(texts.sparkSession, path)
+    return found["token"].to_numpy(np.int64).view(np.uint64)
 
 
 class Index:
@@ -237,39 +250,50 @@ class Join:
         rows = self.table(self.texts.mapInArrow(Index(frequent, self.k, self.num, self.den), "doc_id long, n long, f1 long, f2 long, prefix array<long>"), "index")
         nodes = rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
         nodes = self.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-        small = nodes.select("node", "n")
-        entries = nodes.select("node", F.explode("prefix").alias("token"))
-        first = entries.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("token", "a")
-        shared = self.table(entries.join(first, "token"), "postings")
-        stars = shared.filter("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("common"))
-        stars = self.table(self.possible(stars, small).select("a", "b"), "stars")
+        entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+        first = entries.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("x"), F.max("node").alias("z")).filter("x.node <> z")
+        shared = self.table(entries.join(first.select("token", F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("pa")), "token"), "postings")
+        stars = shared.filter("node <> a").groupBy("a", F.col("node").alias("b"), F.col("na").alias("nx"), F.col("n").alias("ny")).agg(F.count("*").alias("common"), F.bool_or(self.in_time("na", "pa", "n", "pos")).alias("early"))
+        stars = self.table(stars.filter(F.col("early") & self.reachable(F.col("common"), F.col("nx"), F.col("ny"))).select("a", "b"), "stars")
         found = self.links(stars, nodes)
         component = self.table(connected_components(found), "components")
-        # lists that still hold several components: members outside the largest, against the others
-        entries = shared.select("token", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        entries = self.table(entries, "entries")
-        own = entries.groupBy("token", "component").agg(F.count("*").alias("members"))
-        largest = own.groupBy("token").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("components")).filter("components > 1")
-        mixed = entries.join(largest.select("token", "largest"), "token")
-        minor = mixed.filter("component <> largest").select("token", F.col("node").alias("a"), F.col("component").alias("ca"))
-        other = mixed.select("token", F.col("node").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("major"))
-        pairs = minor.join(other, "token").filter((F.col("ca") != F.col("cb")) & (F.col("major") | (F.col("a") < F.col("b"))))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"))
-        pairs = self.possible(pairs, small).select("a", "b").join(stars, ["a", "b"], "left_anti")
-        pairs = self.table(pairs, "cross")
-        if not pairs.isEmpty():
-            more = self.links(pairs, nodes)
-            if not more.isEmpty():
-                found = found.unionByName(more)
-                component = self.table(connected_components(found), "components")
+        # lists that still hold several components: members outside the largest, against a few members of
+        # each large component first, as that joins most; then against all others
+        for every in (False, True):
+            pairs = self.cross(shared, component, nodes, every).join(stars, ["a", "b"], "left_anti")
+            pairs = self.table(pairs, "cross")
+            if not pairs.isEmpty():
+                more = self.links(pairs, nodes)
+                stars = stars.unionByName(pairs)
+                if not more.isEmpty():
+                    component = self.table(merge_components(component, more), "components")
         self.drop("postings", "stars", "entries", "cross")
         named = nodes.select("node", "n", "f1", "f2", "doc_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = named.groupBy("component").agg(F.min("doc_id").alias("first"))
         return rows.select("doc_id", "n", "f1", "f2"), named.join(least, "component").select("n", "f1", "f2", "first")
 
-    def possible(self, pairs: DataFrame, small: DataFrame) -> DataFrame:
-        x, y = small.select(F.col("node").alias("a"), F.col("n").alias("nx")), small.select(F.col("node").alias("b"), F.col("n").alias("ny"))
-        return pairs.join(x, "a").join(y, "b").filter(self.reachable(F.col("common"), F.col("nx"), F.col("ny")))
+    def cross(self, shared: DataFrame, component: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
+        """Pairs (a, b) of different components that may link; unless ``every``, b is one of a few members of a large component."""
+        entries = shared.select("token", "node", "n", "pos").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        own = entries.groupBy("token", "component").agg(F.count("*").alias("members"))
+        largest = own.groupBy("token").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("components")).filter("components > 1")
+        mixed = entries.join(largest.select("token", "largest"), "token")
+        minor = mixed.filter("component <> largest").select("token", F.col("node").alias("a"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("ca"))
+        other = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("major"))
+        if not every:
+            large = component.groupBy("component").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(SOME)])).alias("some")).filter(F.col("n") > SOME)
+            other = other.join(large.select(F.explode("some").alias("b")), "b")
+        first = F.lit(True) if not every else F.col("major") | (F.col("a") < F.col("b"))
+        meet = (minor["token"] == other["token"]) & (F.col("ca") != F.col("cb")) & first & self.in_time("nx", "px", "ny", "py")
+        pairs = minor.join(other, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("prefix").alias("p" + c)) for c in "ab")
+        full = pairs.join(x, "a").join(y, "b")
+        return full.filter(self.reachable(F.size(F.array_intersect("pa", "pb")), F.col("na"), F.col("nb"))).select("a", "b")
+
+    def in_time(self, nx: str, px: str, ny: str, py: str):
+        """Whether sets that first meet at these places of their order may still reach T, by size and by what is left."""
+        n, m, left = F.col(nx), F.col(ny), F.least(F.col(nx) - F.col(px), F.col(ny) - F.col(py))
+        return (left >= F.ceil(self.num * (n + m) / (self.num + self.den))) & (F.least(n, m) * self.den >= F.greatest(n, m) * self.num)
 
 
 def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
