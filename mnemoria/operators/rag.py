@@ -44,7 +44,7 @@ def read_corpus(spark: SparkSession, root: str, extensions=EXTENSIONS) -> DataFr
     """(path, text) of all files below ``root`` with a known extension; PDF needs a parser and is left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     kept = rows.filter(extension(F.col("path")).isin(*[e for e in extensions if e != ".pdf"]))
-    return kept.select("path", F.decode("content", F.lit("UTF-8")).alias("text"), "length", "modificationTime")
+    return kept.select("path", F.decode("content", "UTF-8").alias("text"), "length", "modificationTime")
 
 
 def checksum(files: DataFrame) -> DataFrame:

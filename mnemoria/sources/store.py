@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -51,13 +54,8 @@ def seed_if_absent(rows: DataFrame, seed: DataFrame, key: str = "id") -> DataFra
 
 def decode_vector(blob: Column) -> Column:
     """Little-endian float32 bytes to an array; null if the length isn't a multiple of four. For imports only."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
-        import numpy as np
-
         return s.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
 
     return run(blob)

@@ -31,7 +31,7 @@ def test_chunks_end_rule(spark):
 
 def test_scores(spark):
     assert one(spark, R.half_life(F.col("h")), h=168.0) == pytest.approx(0.5)
-    assert one(spark, R.access_boost(F.col("n")), n=99) == pytest.approx(1.0)
+    assert one(spark, R.access_boost(F.col("n")), n=100) == pytest.approx(1.0)
     assert one(spark, R.dynamic_k(F.col("c")), c=1.0) == 15
     assert one(spark, R.query_class(F.col("q")), q="When did it rain") == "temporal"
 
