@@ -37,10 +37,17 @@ def build(keys: DataFrame, bits: int) -> np.ndarray:
         own: dict[int, np.ndarray] = {}
         for batch in batches:
             chunk, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for c in np.unique(chunk):
-                own.setdefault(int(c), np.zeros(CHUNK, bool))[at[chunk == c]] = True
+            order = np.argsort(chunk, kind="stable")
+            chunk, at = chunk[order], at[order]
+            edges = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])), len(chunk)) if len(chunk) else []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                flags = np.zeros(CHUNK, bool)
+                flags[at[lo:hi]] = True
+                bits_here = np.packbits(flags, bitorder="little")
+                c = int(chunk[lo])
+                own[c] = own[c] | bits_here if c in own else bits_here
         for c, flags in own.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()])], ["chunk", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([flags.tobytes()])], ["chunk", "bytes"])
 
     rows = keys.mapInArrow(where, "chunk int, at int").repartition("chunk").mapInArrow(chunks, "chunk int, bytes binary")
     out = np.zeros(bits >> 3, np.uint8)

@@ -23,9 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes of an Arrow batch between Spark and Python, where the session keeps Spark's default of 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches: long texts, sets and trees make rows of many kilobytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "67108864"):
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/mnemoria/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

@@ -135,15 +135,15 @@ def _judged_rows(batch):
         yield i, uid[i].as_py(), text[i].as_py().encode(), lo[part].astype(np.int64), hi[part].astype(np.int64), again[part].astype(bool)
 
 
-def _windows(batches, length: int, inner: bool, near=None):
-    """Edge starts, one for each different string of a row; or inner ones that ``near`` may hold."""
+def _windows(batches, length: int, inner: bool, near=None, keys_only: bool = False):
+    """Edge (or inner) starts whose class ``near`` may hold, one for each different string of a row, with its number."""
     for batch in batches:
         parts = []
         for _, uid, text, lo, hi, again in _judged_rows(batch):
             own = again if inner else ~again
             if own.any():
                 at, keys = _row_windows(text, lo[own], hi[own], length)
-                if inner:
+                if near is not None:
                     hit = bitmap.contains(near.value, np.ascontiguousarray(keys[:, 0]))
                     at, keys = at[hit], keys[hit]
                 order = np.lexsort((at, keys[:, 1], keys[:, 0]))
@@ -154,7 +154,10 @@ def _windows(batches, length: int, inner: bool, near=None):
                 parts.append((keys[start].view(np.int64), np.full(len(start), uid), at[start].astype(np.int32), np.diff(np.append(start, len(at)))))
         if parts:
             keys, uid, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(uid), pa.array(at), pa.array(n)], ["h1", "h2", "uid", "at", "n"])
+            if keys_only:  # a string that a row holds twice counts twice
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[:, 0], np.minimum(n, 2)))], ["h1"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(uid), pa.array(at), pa.array(n)], ["h1", "h2", "uid", "at", "n"])
 
 
 def _remove(batches, names: list[str], length: int):
@@ -209,13 +212,20 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     drop_table(spark, phrase_path)
     runs = found.join(twice, ["c1", "c2"], "left").groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", F.coalesce("again", F.lit(False)).alias("again"))).alias("units"))
     judged, _ = write_table(affected.join(runs, "uid"), "judged")
+    n_edges = judged.agg(F.sum(F.aggregate("units", F.lit(0).cast("long"), lambda s, u: s + F.when(u["again"], 0).otherwise(u["hi"] - u["lo"])))).first()[0] or 0
     for path in (unit_path, affected_path):
         drop_table(spark, path)
     window = "h1 long, h2 long, uid long, at int, n long"
     slim = judged.select("uid", "text", "units")
-    edges, _ = write_table(slim.mapInArrow(lambda it: _windows(it, length, False), window), "edges")
-    near = send(bitmap.build(edges.select("h1"), bitmap.bits_for(edges.count())))
-    matches = slim.mapInArrow(lambda it: _windows(it, length, True, near), window)
+    # first half-keys alone: which edge strings may stand twice; only those travel with their places
+    near = send(bitmap.build(slim.mapInArrow(lambda it: _windows(it, length, False, None, True), "h1 long"), bitmap.bits_for(n_edges)))
+    halves = slim.mapInArrow(lambda it: _windows(it, length, False, None, True), "h1 long").unionByName(slim.mapInArrow(lambda it: _windows(it, length, True, near, True), "h1 long"))
+    double, double_path = write_table(halves.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1"), "halves")
+    near.unpersist()
+    twofold = send(bitmap.build(double, bitmap.bits_for(double.count())))
+    drop_table(spark, double_path)
+    edges = slim.mapInArrow(lambda it: _windows(it, length, False, twofold), window)
+    matches = slim.mapInArrow(lambda it: _windows(it, length, True, twofold), window)
     classes = edges.select("h1", "h2", "n").unionByName(matches.select("h1", "h2", "n")).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2")
     hits = edges.join(classes, ["h1", "h2"]).groupBy("uid").agg(F.collect_list("at").alias("found"))
     schema = with_fields(filled, **ADDED)
