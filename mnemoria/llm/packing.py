@@ -98,12 +98,18 @@ def _encode(batches, path: str, window: int, keep_ids: bool):
                 ids = np.append(ids, np.uint32(0)).astype("<u4")
                 size.append(len(ids))
                 crcs.append([zlib.crc32(ids[i : i + window].tobytes()) for i in range(0, len(ids), window)])
-                kept.append(ids)
-            columns = [(n, c.slice(lo, hi - lo)) for n, c in others]
-            columns += [("n_ids", pa.array(size, pa.int64())), ("crcs", pa.array(crcs, pa.list_(pa.int64())))]
-            if keep_ids:
-                ends = np.append(0, np.cumsum(size)).astype(np.int32)
+                kept += [ids[i : i + window] for i in range(0, len(ids), window)] if keep_ids else []
+            if keep_ids:  # a row for each piece, so that no row is long
+                n = np.array(list(map(len, crcs)), np.int64)
+                row = np.repeat(np.arange(hi - lo), n)
+                pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                ends = np.append(0, np.cumsum(list(map(len, kept)))).astype(np.int32)
+                columns = [(m, c.slice(lo, hi - lo).take(pa.array(row))) for m, c in others]
+                columns += [("n_ids", pa.array(np.array(size, np.int64)[row])), ("pos", pa.array(pos)), ("crc", pa.array([x for c in crcs for x in c], pa.int64()))]
                 columns.append(("ids", pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).astype(np.int32)))))
+            else:
+                columns = [(n, c.slice(lo, hi - lo)) for n, c in others]
+                columns += [("n_ids", pa.array(size, pa.int64())), ("crcs", pa.array(crcs, pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([c for _, c in columns], [n for n, _ in columns])
 
 
@@ -142,13 +148,14 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, ke
     names = [n for n, _ in PIECE] + ["ids"]
     docs = replacing(docs, *names)
     kept = [c for c in docs.columns if c != "text"]
-    inner = docs.select("text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
+    inner = docs.select("text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.monotonically_increasing_id().alias("uid"))
     path = tokenizer or tokens.default_path()
     others = [f for f in inner.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "n_ids long, crcs array<long>", *["ids array<int>"] * keep_ids])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "n_ids long, pos long, crc long, ids array<int>" if keep_ids else "n_ids long, crcs array<long>"])
     coded = inner.mapInArrow(lambda it: _encode(it, path, window, keep_ids), schema)
-    coded, _ = write_table(coded.withColumn("uid", F.monotonically_increasing_id()), "tokens")
-    slim = coded.select("uid", F.pmod("uid", F.lit(RUNS)).cast("int").alias("run"), F.pmod("n_ids", F.lit(window)).cast("int").alias("rest"), F.floor(F.col("n_ids") / window).cast("long").alias("full"))
+    coded, _ = write_table(coded, "tokens")
+    one_each = coded.filter("pos = 0").select("uid", "n_ids") if keep_ids else coded
+    slim = one_each.select("uid", F.pmod("uid", F.lit(RUNS)).cast("int").alias("run"), F.pmod("n_ids", F.lit(window)).cast("int").alias("rest"), F.floor(F.col("n_ids") / window).cast("long").alias("full"))
     counted = slim.groupBy("run", "rest").agg(F.count("*").alias("n"), F.sum("full").alias("full")).toPandas()
     by_rest = np.zeros((RUNS, window), np.int64)
     by_full = np.zeros(RUNS, np.int64)
@@ -159,20 +166,21 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, ke
     rows, sequences = places(plan({k: int(totals[k]) for k in range(1, window)}, window))
     shared = docs.sparkSession.sparkContext.broadcast((rows, sequences, np.cumsum(by_rest, 0) - by_rest, np.cumsum(by_full) - by_full, window))
     by_run = Window.partitionBy("run").orderBy("uid")
-    rest = coded.select(*[c for c in coded.columns if c != "ids"]).withColumns({
+    rest = one_each.withColumns({
         "run": F.pmod("uid", F.lit(RUNS)).cast("int"), "rest": F.pmod("n_ids", F.lit(window)).cast("int"), "full": F.floor(F.col("n_ids") / window).cast("long")})
-    if keep_ids:
-        rest = rest.select("uid", "run", "rest", "full")
     rest = rest.withColumns({
         "before": F.coalesce(F.sum("full").over(by_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "rank": (F.row_number().over(Window.partitionBy("run", "rest").orderBy("uid")) - 1).cast("long")})
     placed = rest.mapInArrow(Place(shared), ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema.fields), "seq long, off long, full_seq long"]))
     if keep_ids:
-        placed = coded.join(placed, "uid")
-    at, last = F.col("piece.pos").cast("long"), F.col("piece.pos") == F.col("full")
-    out = placed.select("*", F.explode(F.transform("crcs", lambda x, i: F.struct(i.alias("pos"), x.alias("crc")))).alias("piece"))
+        out = coded.join(placed.drop("n_ids"), "uid")
+        at, crc = F.col("pos"), F.col("crc")
+    else:
+        out = placed.select("*", F.explode(F.transform("crcs", lambda x, i: F.struct(i.cast("long").alias("pos"), x.alias("crc")))).alias("piece"))
+        at, crc = F.col("piece.pos"), F.col("piece.crc")
+    last = at == F.col("full")
     length = F.when(last, F.col("rest")).otherwise(window).cast("long")
     return out.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], (at * window).alias("start"), length.alias("length"), F.col("piece.crc").alias("ids_crc32"), F.col("n_ids").alias("doc_tokens"),
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], (at * window).alias("start"), length.alias("length"), crc.alias("ids_crc32"), F.col("n_ids").alias("doc_tokens"),
         F.when(last, F.col("seq")).otherwise(F.col("full_seq") + at).alias("sequence_id"), F.when(last, F.col("off")).otherwise(0).cast("long").alias("offset"),
-        *[F.slice("ids", (at * window + 1).cast("int"), length.cast("int")).alias("ids")] * keep_ids)
+        *[F.col("ids")] * keep_ids)
