@@ -95,6 +95,11 @@ def insert_normalize(spark, sf):
     return lifecycle.insert_rules(spark.createDataFrame(RAW, "id int, fact_text string, atomic_text string, category string, importance double"))
 
 
+@query()
+def insert_normalize_whole(spark, sf):
+    return lifecycle.insert_rules(T.facts(spark, sf).select("id", "fact_text", "atomic_text", "category", "importance"))
+
+
 @query(f"WITH {FACTS} SELECT id, id % 7 = 0 AS is_obsolete, CASE WHEN id % 7 = 0 THEN id + 1 END AS superseded_by FROM facts")
 def supersede_chain(spark, sf):
     f = T.facts(spark, sf).select("id")

@@ -102,8 +102,9 @@ def metadata(text: Column) -> dict[str, Column]:
 
 def bad_resolution(text: Column) -> Column:
     """Any word three times or more."""
-    words = F.transform(X.fields(text), lambda w: F.lower(w))
-    return F.exists(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w)) >= 3)
+    words = F.array_sort(F.transform(X.fields(text), lambda w: F.lower(w)))
+    pairs = F.arrays_zip(words.alias("a"), F.slice(words, F.lit(3), F.greatest(F.size(words), F.lit(0))).alias("b"))
+    return F.exists(pairs, lambda p: p["a"].eqNullSafe(p["b"]))
 
 
 CATEGORY_NAMES = {
