@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..functions import wordlists as W
 from ..operators import lexical, rag
 from ..sources import tables as T
-from .registry import query
+from .registry import query, whole
 from .vectors import bench_queries
 
 FACTS = T.FACTS_SQL
@@ -53,34 +53,42 @@ def bm25_topk(spark, sf):
     return lexical.bm25(docs, q).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-def _pairs(spark, sf):
-    d = T.read(spark, sf, "documents").filter("doc_id < 60").select("doc_id", "text")
-    return d.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).join(d.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), F.col("a") < F.col("b"))
+def _pairs(rows, key, value):
+    """All pairs of rows, with the values of both."""
+    return rows.select(F.col(key).alias("a"), value.alias("x")).join(rows.select(F.col(key).alias("b"), value.alias("y")), F.col("a") < F.col("b"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, list_distinct({FIELDS.format(c='lower(text)')}) AS w FROM documents WHERE doc_id < 60)
 SELECT x.doc_id AS a, y.doc_id AS b, round(CASE WHEN len(x.w) = 0 AND len(y.w) = 0 THEN 1e0 WHEN len(x.w) = 0 OR len(y.w) = 0 THEN 0e0 ELSE len(list_intersect(x.w, y.w)) / CAST(len(list_distinct(list_concat(x.w, y.w))) AS DOUBLE) END, 6) AS score FROM d x JOIN d y ON x.doc_id < y.doc_id""")
-def word_jaccard_pairs(spark, sf):
-    words = lambda c: F.array_distinct(X.fields(F.lower(c)))
-    return _pairs(spark, sf).select("a", "b", F.round(X.jaccard(words(F.col("ta")), words(F.col("tb"))), 6).alias("score"))
+def word_jaccard_pairs(spark, sf, some="doc_id < 60"):
+    p = _pairs(T.read(spark, sf, "documents").filter(some), "doc_id", F.array_distinct(X.fields(F.lower("text"))))
+    return p.select("a", "b", F.round(X.jaccard(F.col("x"), F.col("y")), 6).alias("score"))
+
+
+whole(word_jaccard_pairs, " WHERE doc_id < 60", "true")
 
 
 @query(f"""WITH d AS (SELECT doc_id, unnest({STOPPED.format(c='text')}) AS w FROM documents WHERE doc_id < 60), k AS (SELECT doc_id, list(DISTINCT {STEM}) AS ks FROM d GROUP BY doc_id)
 SELECT x.doc_id AS a, y.doc_id AS b, round(len(list_intersect(x.ks, y.ks)) / CAST(len(list_distinct(list_concat(x.ks, y.ks))) AS DOUBLE), 6) AS score FROM k x JOIN k y ON x.doc_id < y.doc_id""")
-def keyword_jaccard(spark, sf):
-    keys = lambda c: F.array_distinct(X.index_words(c))
-    p = _pairs(spark, sf).select("a", "b", keys(F.col("ta")).alias("x"), keys(F.col("tb")).alias("y")).filter("size(x) > 0 and size(y) > 0")
+def keyword_jaccard(spark, sf, some="doc_id < 60"):
+    p = _pairs(T.read(spark, sf, "documents").filter(some), "doc_id", F.array_distinct(X.index_words(F.col("text")))).filter("size(x) > 0 and size(y) > 0")
     return p.select("a", "b", F.round(X.jaccard(F.col("x"), F.col("y")), 6).alias("score"))
 
 
+whole(keyword_jaccard, " WHERE doc_id < 60", "true")
+
+
 @query("""WITH n AS (SELECT s_suppkey AS id, lower(s_name) AS s FROM supplier WHERE s_suppkey <= 40), g AS (SELECT id, s, list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS t FROM n)
 SELECT x.id AS a, y.id AS b, round(CASE WHEN x.s = y.s THEN 1e0 ELSE len(list_intersect(x.t, y.t)) / CAST(len(list_distinct(list_concat(x.t, y.t))) AS DOUBLE) END, 6) AS score FROM g x JOIN g y ON x.id < y.id""")
-def trigram_name_similarity(spark, sf):
-    n = T.read(spark, sf, "supplier").filter("s_suppkey <= 40").select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("s"))
+def trigram_name_similarity(spark, sf, some="s_suppkey <= 40"):
+    n = T.read(spark, sf, "supplier").filter(some).select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("s"))
     p = n.select(F.col("id").alias("a"), F.col("s").alias("x")).join(n.select(F.col("id").alias("b"), F.col("s").alias("y")), F.col("a") < F.col("b"))
     return p.select("a", "b", F.round(X.trigram_similarity(F.col("x"), F.col("y")), 6).alias("score"))
 
 
+whole(trigram_name_similarity, " WHERE s_suppkey <= 40", "true")
+
+
 @query("SELECT p.p_partkey AS id, q.w AS word FROM part p, (VALUES ('blue'), ('colt'), ('hat'), ('large')) q(w) WHERE levenshtein(lower(split_part(p_name, ' ', 1)), q.w) <= 2")
 def edit_distance_match(spark, sf):
     p = T.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower(F.element_at(F.split("p_name", " "), 1)).alias("w"))
@@ -131,7 +139,7 @@ def word_chunks(spark, sf):
 
 @query()
 def chunk_merge(spark, sf):
-    c = rag.chunks(T.read(spark, sf, "documents").filter("doc_id < 200"), "doc_id", "text", 64, 8).withColumn("score", F.pmod(F.xxhash64("id"), F.lit(100)) / 100.0)
+    c = rag.chunks(T.read(spark, sf, "documents"), "doc_id", "text", 64, 8).withColumn("score", F.pmod(F.xxhash64("id"), F.lit(100)) / 100.0)
     return rag.merge_adjacent(c.filter("score > 0.3"), 300).select("source", "first", "last", F.round("score", 6).alias("score"), "tokens")
 
 

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import episodes, lifecycle, pack, topk
 from ..sources import tables as T
 from ..streaming import ingest
-from .registry import query
+from .registry import query, whole
 
 FACTS, MEMORIES = T.FACTS_SQL, T.MEMORIES_SQL
 HOURS = "(epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch({c})) / 3600e0"
@@ -52,14 +52,17 @@ def history_budget(spark, sf):
 g AS (SELECT episode_id, rn, id, CASE WHEN t <= 1500 THEN t ELSE 0 END AS used, t <= 1500 AS taken FROM r WHERE rn = 1
   UNION ALL SELECT r.episode_id, r.rn, r.id, CASE WHEN g.used + r.t <= 1500 THEN g.used + r.t ELSE g.used END, g.used + r.t <= 1500 FROM g JOIN r ON r.episode_id = g.episode_id AND r.rn = g.rn + 1)
 SELECT episode_id, id FROM g WHERE taken""")
-def greedy_skip_pack(spark, sf):
-    f = T.facts(spark, sf).filter("id < 500")
+def greedy_skip_pack(spark, sf, some="id < 500"):
+    f = T.facts(spark, sf).filter(some)
     return pack.greedy_skip(f, "episode_id", F.struct((-F.col("importance")).alias("i"), "id"), X.tokens_ceil_bytes(F.col("atomic_text")), 1500, ["id"]).select("episode_id", "id")
 
 
+whole(greedy_skip_pack, " WHERE id < 500", "true")
+
+
 @query()
 def near_dup_drop(spark, sf):
-    f = T.facts(spark, sf).filter("id < 500")
+    f = T.facts(spark, sf)
     return pack.near_dup_drop(f, "episode_id", F.col("id"), F.array_distinct(X.fields(F.lower("atomic_text"))), ["id"]).select("episode_id", "id")
 
 

@@ -12,3 +12,15 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+def whole(f, cut: str, all_rows, into: str = ""):
+    """The same query over all rows, ``f``'s third argument; its SQL without the limit ``cut``."""
+
+    def run(spark, sf):
+        return f(spark, sf, all_rows)
+
+    run.__name__ = f"{f.__name__}_whole"
+    sql = ORACLES[f.__name__]
+    assert cut in sql
+    return query(sql.replace(cut, into))(run)

@@ -1,37 +1,72 @@
-"""Selection and packing of ranked rows: folds over one query's small candidate array."""
+"""Selection and packing of ranked rows."""
 
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 def greedy_skip(rows: DataFrame, key: str, order: Column, tokens: Column, budget: int, carry: list[str]) -> DataFrame:
-    """Takes what still fits, in order; all rows if everything fits. ``order`` sorts ascending; each key's rows are one array."""
+    """Takes what still fits, in order; all rows if everything fits. ``order`` sorts ascending; a key's rows pass by one at a time, in sorted batches."""
     item = F.struct(order.alias("o"), tokens.cast("long").alias("t"), *carry)
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"), F.sum(tokens).alias("total"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("taken"))
-
-    def step(acc, x):
-        fits = acc["used"] + x["t"] <= budget
-        return F.when(fits, F.struct((acc["used"] + x["t"]).alias("used"), F.concat(acc["taken"], F.array(x["t"] * 0 + 1)).alias("taken"))).otherwise(F.struct(acc["used"].alias("used"), F.concat(acc["taken"], F.array(x["t"] * 0)).alias("taken")))
-
-    taken = F.when(F.col("total") <= budget, F.transform("items", lambda x: F.lit(1).cast("long"))).otherwise(F.aggregate("items", start, step)["taken"])
-    return grouped.withColumn("taken", taken).select(key, F.posexplode(F.zip_with("items", "taken", lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("place", "z")).filter("z.y = 1").select(key, "place", *[F.col(f"z.x.{c}").alias(c) for c in carry], F.col("z.x.t").alias("tokens"))
+    own = rows.select(F.col(key), tokens.cast("long").alias("tokens"), F.sum(tokens).over(Window.partitionBy(key)).alias("__total"), item.alias("__item"), *[F.col(c).alias(f"__c_{c}") for c in carry])
+    sorted_rows = own.repartition(key).sortWithinPartitions(key, "__item").select(key, F.lit(0).alias("place"), *[F.col(f"__c_{c}").alias(c) for c in carry], "tokens", F.coalesce(F.col("__total") <= budget, F.lit(False)).alias("__all"))
+
+    def run(batches):
+        now, used, place = (), 0, 0
+        for batch in batches:
+            own, taken, places = batch.schema.get_field_index(key), [], []
+            for i, (k, t, everything) in enumerate(zip(batch.column(own).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())):
+                if now != (k,):
+                    now, used, place = (k,), 0, 0
+                if everything or (t is not None and used + t <= budget):
+                    used += t or 0
+                    taken.append(i)
+                    places.append(place)
+                place += 1
+            some = batch.take(pa.array(taken, pa.int64()))
+            columns = [pa.array(places, pa.int32()) if n == 1 else some.column(n) for n in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return sorted_rows.mapInArrow(run, sorted_rows.drop("__all").schema)
 
 
 def near_dup_drop(rows: DataFrame, key: str, order: Column, words: Column, carry: list[str], limit: float = 0.85) -> DataFrame:
-    """Keeps a row if its word Jaccard with all kept before is at most ``limit``."""
-    items = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), *carry, words.alias("w")))).alias("items"))
-    kind = items.schema["items"].dataType.simpleString()
+    """Keeps a row if its word Jaccard with all kept before is at most ``limit``; rows without words (null) stay.
 
-    def jaccard(a, b):
-        return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
-
-    kept = F.aggregate("items", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: jaccard(x["w"], y["w"]) > limit), acc).otherwise(F.concat(acc, F.array(x))))
-    return items.select(key, F.posexplode(kept).alias("place", "x")).select(key, "place", *[F.col(f"x.{c}").alias(c) for c in carry])
+    Of equal sets only the first can stay. Two sets nearer than ``limit``
+    share one of the rarest n - floor(limit * n) words of each, so an inverted
+    list of those finds all pairs; what is kept then follows from the pairs.
+    """
+    own = rows.select(F.col(key), *carry, F.struct(order.alias("o"), *carry, words.alias("w")).alias("__item"), F.coalesce(F.col(key).cast("string"), F.lit("\0")).alias("__k"))
+    own = own.withColumn("__set", F.coalesce(F.sha2(F.to_json(F.struct(F.array_sort("__item.w").alias("w"))), 256), F.lit("")))
+    own = own.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__set").orderBy("__item"))).filter("__n = 1 or __item.w is null")
+    own = own.withColumn("__pos", F.row_number().over(Window.partitionBy("__k").orderBy("__item")))
+    sets = own.filter("size(__item.w) > 0").select("__k", "__pos", F.col("__item.w").alias("w"), F.size("__item.w").alias("n"))
+    each = sets.select("__k", "__pos", "n", F.explode("w").alias("word"))
+    counts = each.groupBy("__k", "word").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("__k", "__pos").orderBy("df", "word")
+    lists = each.join(counts, ["__k", "word"]).withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * limit)).select("__k", "word", "__pos", "n")
+    left, right = (lists.select("__k", "word", F.col("__pos").alias(p), F.col("n").alias(f"n_{p}")) for p in ("a", "b"))
+    near = left.join(right, ["__k", "word"]).filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") > F.greatest("n_a", "n_b") * limit)).select("__k", "a", "b").distinct()
+    with_a = near.join(sets.select("__k", F.col("__pos").alias("a"), F.col("w").alias("x")), ["__k", "a"])
+    both = with_a.join(sets.select("__k", F.col("__pos").alias("b"), F.col("w").alias("y")), ["__k", "b"])
+    pairs = both.filter(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")) > limit).select("__k", "a", "b")
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        gone: set[int] = set()
+        for a, b in group.sort_values(["b", "a"])[["a", "b"]].itertuples(index=False):
+            if a not in gone:
+                gone.add(b)
+        return pd.DataFrame({"__k": [group["__k"].iloc[0]] * len(gone), "__pos": sorted(gone)})
+
+    dropped = pairs.groupBy("__k").applyInPandas(fold, "__k string, __pos int")
+    kept = own.join(dropped, ["__k", "__pos"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("__k").orderBy("__pos")) - 1
+    return kept.withColumn("place", place).select(key, "place", *carry)
 
 
 def mmr(rows: DataFrame, key: str, k: int, trade: float = 0.7, id_column: str = "id") -> DataFrame:

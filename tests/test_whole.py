@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemoria.catalogue import QUERIES
+from mnemoria.functions import text as X
+from mnemoria.operators import pack
 
 
 @pytest.mark.parametrize("name,table", [("temporal_anchor", "documents"), ("metadata_flags", "documents"), ("truncate_tokens", "documents"), ("complexity_breakdown", "benchmark"), ("dynamic_k", "benchmark"), ("query_class", "benchmark"), ("rerank_features", "documents"), ("repeated_word_test", "documents"), ("parse_decisions", "documents")])
@@ -23,3 +25,41 @@ def test_texts_without_sql_cover_tables(spark, data):
     assert facts.count() == sum(1 for r in turns.collect() if re.sub(r"\s+", " ", r["text"] or "", flags=re.A).strip(" "))
     assert QUERIES["insert_normalize_whole"](spark, data).count() == docs.filter(F.trim("text") != "").count()
     assert all(QUERIES[f"{n}_whole"](spark, data).count() >= 0 for n in ("relation_regex", "entity_regex", "parse_entity_lines", "parse_relation_lines"))
+
+
+def test_near_dup_drop_is_whole(spark):
+    import random
+
+    rng = random.Random(5)
+    rows, base = [], [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 40))] for _ in range(25)]
+    for i in range(300):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            if words:
+                words[rng.randrange(len(words))] = f"w{rng.randrange(60)}"
+        rows.append((i % 3, 1000 + i, " ".join(words) if i % 50 else None))
+    want = []
+    for k in range(3):
+        kept = []
+        for q, i, t in rows:
+            w = None if t is None else set(t.split())
+            near = lambda v: w is not None and v is not None and (not (w | v) or len(w & v) / len(w | v) > 0.85)  # noqa: B023, E731
+            if q == k and not any(near(v) for _, v in kept):
+                kept.append((i, w))
+        want += [(k, p, i) for p, (i, _) in enumerate(kept)]
+    df = spark.createDataFrame(rows, "q long, id long, t string")
+    got = pack.near_dup_drop(df, "q", F.col("id"), F.array_distinct(X.fields(F.col("t"))), ["id"])
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_selections_pass_the_old_bounds(spark, data, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    more = docs.limit(20).select((F.col("doc_id") + 100_000).alias("doc_id"), F.concat(F.lit("own "), F.col("doc_id").cast("string")).alias("text"), "lang", "source", "n_chars")
+    for t in ("labels", "events"):
+        spark.read.parquet(f"{data}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs.unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    new = {r["doc_id"] for r in more.collect()}
+    assert new <= {r["id"] for r in QUERIES["near_dup_drop"](spark, str(tmp_path)).collect()}
+    assert {r["id"] for r in QUERIES["greedy_skip_pack_whole"](spark, str(tmp_path)).collect()} & new
+    kept = {r["source"] for r in QUERIES["chunk_merge"](spark, str(tmp_path)).collect()}
+    assert {str(s) for s in kept} & {str(i) for i in new}
