@@ -76,13 +76,13 @@ MEMORIES_SQL = FACTS_SQL + """, memories AS (
   FROM facts f JOIN embeddings v ON v.vec_id = f.id)"""
 
 
-def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) from nations, regions, customers, suppliers and who bought from whom."""
+def graph(spark: SparkSession, sf_dir: str, orders: str = "o_orderkey % 10 = 1") -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) from nations, regions, customers, suppliers and who bought from whom in ``orders``, a tenth or (:func:`whole_graph`) all of them."""
     nation, region, customer, supplier = (read(spark, sf_dir, n) for n in ("nation", "region", "customer", "supplier"))
     node = lambda df, kind, key, name: df.select(F.concat(F.lit(kind + ":"), F.col(key).cast("string")).alias("entity"), F.col(name).alias("name"), F.lit(kind).alias("entity_type"))
     entities = node(nation, "nation", "n_nationkey", "n_name").unionByName(node(region, "region", "r_regionkey", "r_name")).unionByName(node(customer, "customer", "c_custkey", "c_name")).unionByName(node(supplier, "supplier", "s_suppkey", "s_name"))
     edge = lambda df, s, sk, t, tk, kind, conf: df.select(F.concat(F.lit(s + ":"), F.col(sk).cast("string")).alias("source"), F.concat(F.lit(t + ":"), F.col(tk).cast("string")).alias("target"), F.lit(kind).alias("relation_type"), F.lit(conf).alias("confidence"))
-    bought = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).filter("o_orderkey % 10 = 1").select("o_custkey", "l_suppkey").distinct()
+    bought = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).filter(orders).select("o_custkey", "l_suppkey").distinct()
     relations = (
         edge(customer, "customer", "c_custkey", "nation", "c_nationkey", "lives_in", 0.8).unionByName(edge(nation, "nation", "n_nationkey", "region", "n_regionkey", "member_of", 0.75))
         .unionByName(edge(supplier, "supplier", "s_suppkey", "nation", "s_nationkey", "lives_in", 0.8)).unionByName(edge(bought, "customer", "o_custkey", "supplier", "l_suppkey", "knows", 0.7))
@@ -90,6 +90,10 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return entities, relations
 
 
+def whole_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return graph(spark, sf_dir, "true")
+
+
 GRAPH_SQL = """entities AS (
   SELECT 'nation:' || n_nationkey AS entity, n_name AS name, 'nation' AS entity_type FROM nation
   UNION ALL SELECT 'region:' || r_regionkey, r_name, 'region' FROM region

@@ -63,3 +63,11 @@ def test_selections_pass_the_old_bounds(spark, data, tmp_path):
     assert {r["id"] for r in QUERIES["greedy_skip_pack_whole"](spark, str(tmp_path)).collect()} & new
     kept = {r["source"] for r in QUERIES["chunk_merge"](spark, str(tmp_path)).collect()}
     assert {str(s) for s in kept} & {str(i) for i in new}
+
+
+def test_graph_is_whole(spark, data):
+    orders, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("orders", "lineitem"))
+    bought = {tuple(r) for r in orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct().collect()}
+    assert {r["kind"]: r["n"] for r in QUERIES["graph_stats_whole"](spark, data).collect()}["knows"] == len(bought)
+    first = {r["path"].split(">")[1] for r in QUERIES["bfs_paths"](spark, data).collect()}
+    assert {f"supplier:{s}" for c, s in bought if c in (1, 4)} <= first
