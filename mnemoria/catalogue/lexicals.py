@@ -47,12 +47,15 @@ x AS (SELECT id, len(ws) AS len, unnest(ws) AS w FROM d), p AS (SELECT id, len,
 qx AS (SELECT item_id AS query_id, unnest({STOPPED.format(c='text')}) AS w FROM benchmark WHERE item_id < 10 AND item_id IN (SELECT vec_id FROM embeddings)), q AS (SELECT DISTINCT query_id, {STEM} AS term FROM qx),
 s AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * len / av))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), n GROUP BY query_id, id),
 r AS (SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS INTEGER) AS rank FROM s) SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
-def bm25_topk(spark, sf):
-    q = bench_queries(spark, sf).select("query_id", F.col("text").alias("query"))
+def bm25_topk(spark, sf, some="item_id < 10"):
+    q = bench_queries(spark, sf, some).select("query_id", F.col("text").alias("query"))
     docs = T.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("atomic_text"))
     return lexical.bm25(docs, q).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+whole(bm25_topk, " item_id < 10 AND", "true")
+
+
 def _pairs(rows, key, value):
     """All pairs of rows, with the values of both."""
     return rows.select(F.col(key).alias("a"), value.alias("x")).join(rows.select(F.col(key).alias("b"), value.alias("y")), F.col("a") < F.col("b"))

@@ -11,7 +11,7 @@ from ..functions import vector as V
 from ..operators import ann, lifecycle, pack, topk
 from ..plans import retrieve
 from ..sources import tables as T
-from .registry import query
+from .registry import query, whole
 
 
 def q_vec(spark, sf, vec_id=0):
@@ -52,19 +52,28 @@ def semantic_topk_batch(spark, sf):
 
 
 @query(scored_sql("vec_id < 5", COS.format(a="v", b="qv"), "raw DESC", 15))
-def cosine_unclamped_topk(spark, sf):
-    return topk.exact_topk(emb(spark, sf).drop("label"), q_table(spark, sf, "vec_id < 5"), 15, V.cosine).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+def cosine_unclamped_topk(spark, sf, asked="vec_id < 5"):
+    return topk.exact_topk(emb(spark, sf).drop("label"), q_table(spark, sf, asked), 15, V.cosine).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+whole(cosine_unclamped_topk, "vec_id < 5", "vec_id % 100 = 0", "vec_id % 100 = 0")
 
 
 @query(scored_sql("vec_id < 5", COS.format(a="v", b="qv"), "raw DESC", 1000000, "score >= 0.2e0", "query_id, id, score"))
-def cosine_both_norms_min_score(spark, sf):
-    out = topk.exact_topk(emb(spark, sf).drop("label"), q_table(spark, sf, "vec_id < 5"), 1_000_000, lambda a, b: F.round(V.cosine(a, b), 6), 0.2)
+def cosine_both_norms_min_score(spark, sf, asked="vec_id < 5"):
+    out = topk.exact_topk(emb(spark, sf).drop("label"), q_table(spark, sf, asked), 1_000_000, lambda a, b: F.round(V.cosine(a, b), 6), 0.2)
     return out.select("query_id", "id", "score")
 
 
+whole(cosine_both_norms_min_score, "vec_id < 5", "vec_id % 100 = 0", "vec_id % 100 = 0")
+
+
 @query(scored_sql("vec_id < 5", "list_sum(list_transform(list_zip(v, qv), lambda p: (p[1] - p[2]) * (p[1] - p[2])))", "raw", 10))
-def l2_topk(spark, sf):
-    return topk.exact_topk(emb(spark, sf).drop("label"), q_table(spark, sf, "vec_id < 5"), 10, V.l2_squared, ascending=True).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+def l2_topk(spark, sf, asked="vec_id < 5"):
+    return topk.exact_topk(emb(spark, sf).drop("label"), q_table(spark, sf, asked), 10, V.l2_squared, ascending=True).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+whole(l2_topk, "vec_id < 5", "vec_id % 100 = 0", "vec_id % 100 = 0")
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS l FROM e)
@@ -208,9 +217,9 @@ def update_decision_candidates(spark, sf):
     return out.select("fact_id", "best_id", F.round("best_score", 6).alias("best_score"), "decision")
 
 
-def bench_queries(spark, sf, n=10):
+def bench_queries(spark, sf, some="true"):
     """Query texts from the benchmark table, each with the vector of the same number."""
-    b = T.read(spark, sf, "benchmark").filter(F.col("item_id") < n)
+    b = T.read(spark, sf, "benchmark").filter(some)
     return b.join(T.read(spark, sf, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("query"))
 
 
@@ -251,7 +260,7 @@ def rag_hybrid_retrieve(spark, sf):
 
 @query()
 def mmr_select(spark, sf):
-    rows = topk.exact_topk(emb(spark, sf).drop("label"), q_table(spark, sf, "vec_id < 5"), 30, V.cosine).withColumn("semantic", F.col("score"))
+    rows = topk.exact_topk(emb(spark, sf).drop("label"), q_table(spark, sf, "vec_id % 100 = 0"), 30, V.cosine).withColumn("semantic", F.col("score"))
     return pack.mmr(rows.select("query_id", "id", "score", "semantic"), "query_id", 8)
 
 
@@ -299,12 +308,15 @@ def rag_combined_score(spark, sf):
 @query(f"""WITH {E_SQL.format(cond='vec_id < 20')}, s AS (SELECT query_id, id, {CLAMP} AS a, list_dot_product(v, qv) AS b FROM e, q),
 x AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, id) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, id) AS rb FROM s)
 SELECT query_id, count(*) FILTER (WHERE ra <= 10 AND rb <= 10) / 10e0 AS overlap FROM x GROUP BY query_id""")
-def overlap_at_k(spark, sf):
-    e, q = emb(spark, sf).drop("label"), q_table(spark, sf, "vec_id < 20")
+def overlap_at_k(spark, sf, asked="vec_id < 20"):
+    e, q = emb(spark, sf).drop("label"), q_table(spark, sf, asked)
     a, b = topk.exact_topk(e, q, 10).select("query_id", "id"), topk.exact_topk(e, q, 10, V.dot).select("query_id", "id")
     return a.join(b.withColumn("hit", F.lit(1)), ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") / 10).alias("overlap"))
 
 
+whole(overlap_at_k, "vec_id < 20", "vec_id % 100 = 0", "vec_id % 100 = 0")
+
+
 @query(f"WITH {T.FACTS_SQL} SELECT id, CAST(ceil(strlen(atomic_text) / 4e0) AS BIGINT) AS ceil_bytes, CAST(length(atomic_text) // 4 AS BIGINT) AS floor_chars, CAST(strlen(atomic_text) // 4 AS BIGINT) AS floor_bytes FROM facts")
 def token_estimates(spark, sf):
     t = F.col("atomic_text")

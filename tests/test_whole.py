@@ -71,3 +71,8 @@ def test_graph_is_whole(spark, data):
     assert {r["kind"]: r["n"] for r in QUERIES["graph_stats_whole"](spark, data).collect()}["knows"] == len(bought)
     first = {r["path"].split(">")[1] for r in QUERIES["bfs_paths"](spark, data).collect()}
     assert {f"supplier:{s}" for c, s in bought if c in (1, 4)} <= first
+
+
+def test_all_benchmark_items_are_asked(spark, data):
+    items = {r[0] for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id").collect()} & {r[0] for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()}
+    assert len(items) > 10 and {r["query_id"] for r in QUERIES["rag_hybrid_retrieve"](spark, data).collect()} == items
