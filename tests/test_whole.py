@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemoria.catalogue import QUERIES
 from mnemoria.functions import text as X
 from mnemoria.operators import pack
+from mnemoria.sources import tables as T
 
 
 @pytest.mark.parametrize("name,table", [("temporal_anchor", "documents"), ("metadata_flags", "documents"), ("truncate_tokens", "documents"), ("complexity_breakdown", "benchmark"), ("dynamic_k", "benchmark"), ("query_class", "benchmark"), ("rerank_features", "documents"), ("repeated_word_test", "documents"), ("parse_decisions", "documents")])
@@ -69,8 +70,22 @@ def test_graph_is_whole(spark, data):
     orders, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("orders", "lineitem"))
     bought = {tuple(r) for r in orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct().collect()}
     assert {r["kind"]: r["n"] for r in QUERIES["graph_stats_whole"](spark, data).collect()}["knows"] == len(bought)
-    first = {r["path"].split(">")[1] for r in QUERIES["bfs_paths"](spark, data).collect()}
-    assert {f"supplier:{s}" for c, s in bought if c in (1, 4)} <= first
+    _, relations = T.whole_graph(spark, data)
+    out = {}
+    for r in relations.collect():
+        out.setdefault(r["source"], []).append((r["target"], r["confidence"]))
+    frontier, want = {s: [s] for s in ("customer:1", "customer:4")}, set()
+    seen = set(frontier)
+    for _ in range(3):
+        want |= {">".join(p) for e, p in frontier.items() if e not in out and len(p) > 1}
+        best = {}
+        for e, p in frontier.items():
+            for t, c in out.get(e, []):
+                if t not in seen:
+                    best[t] = min(best.get(t, (1, [])), (-c, p))
+        frontier = {t: p + [t] for t, (_, p) in best.items()}
+        seen |= set(frontier)
+    assert {r["path"] for r in QUERIES["bfs_paths"](spark, data).collect()} == want | {">".join(p) for p in frontier.values()}
 
 
 def test_all_benchmark_items_are_asked(spark, data):
