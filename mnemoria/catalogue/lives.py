@@ -112,7 +112,7 @@ def supersede_chain(spark, sf):
 
 
 @query(f"""WITH {FACTS}, a AS (SELECT user_id * 2 AS fact_id, count(*) AS n, max(ts) AS t FROM events WHERE event_type = 'view' GROUP BY 1)
-SELECT f.id, CAST(f.access_count + coalesce(a.n, 0) AS BIGINT) AS access_count, CAST(epoch(greatest(f.last_accessed, coalesce(a.t, f.last_accessed))) AS BIGINT) AS last_s FROM facts f LEFT JOIN a ON a.fact_id = f.id""")
+SELECT f.id, CAST(f.access_count + coalesce(a.n, 0) AS BIGINT) AS access_count, CAST(floor(epoch(greatest(f.last_accessed, coalesce(a.t, f.last_accessed)))) AS BIGINT) AS last_s FROM facts f LEFT JOIN a ON a.fact_id = f.id""")
 def access_rollup(spark, sf):
     log = T.read(spark, sf, "events").filter("event_type = 'view'").select((F.col("user_id") * 2).alias("fact_id"), F.col("ts").cast("timestamp").alias("ts"))
     return lifecycle.touch(T.facts(spark, sf), log).select("id", F.col("access_count").cast("long").alias("access_count"), F.unix_timestamp("last_accessed").alias("last_s"))

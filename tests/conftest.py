@@ -36,10 +36,3 @@ def duck():
 @pytest.fixture(scope="session")
 def data():
     return DATA
-
-
-def rows_of(frame):
-    """Rows as sorted tuples with rounded floats, columns by name."""
-    frame = frame[sorted(frame.columns)]
-    show = lambda v: f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) and v == v else "" if v is None or v != v else str(v)
-    return sorted(tuple(show(v) for v in r) for r in frame.astype(object).itertuples(index=False, name=None))

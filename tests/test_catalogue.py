@@ -1,7 +1,7 @@
 """Every query with SQL gives what DuckDB gives on the same tables."""
 
 import pytest
-from conftest import rows_of
+from comparing import rows_of
 
 from mnemoria.catalogue import ORACLES, QUERIES
 
