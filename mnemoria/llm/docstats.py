@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from . import kernels as K
 
 #: The symbols that count as such.
-SYMBOLS = b"[#*$%&|<>]"[1:-1]
+SYMBOLS = b"#*$%&|<>"
 NAMES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_word_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_chars", "n_letters", "n_upper", "n_digits", "n_punct", "n_bangs", "n_pipes", "n_wide")
 
 

@@ -2,8 +2,12 @@
 
 Texts are handled as one run of UTF-8 bytes with row offsets, in slices of
 about a megabyte, so that memory stays bounded whatever a batch holds. Hashes
-are polynomial prefix sums modulo 2**64 over random byte values: the hash of
-any byte range is a subtraction of two prefix sums, and two lanes give 128 bits.
+are polynomials over random byte values modulo the prime 2**31 - 1, kept as
+prefix sums: the hash of any byte range is a subtraction of two of them. A lane
+has two such polynomials with bases of their own, so different strings of n
+bytes agree in a lane with probability (n / 2**31)**2 and in both lanes with
+its square. (Modulo a power of two this would not hold: Thue-Morse strings
+collide under every odd base.)
 """
 
 from __future__ import annotations
@@ -16,10 +20,11 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
 U = np.uint64
+PRIME = U((1 << 31) - 1)
 _rng = np.random.default_rng(20240229)
-#: A random odd value for each byte, for each of two lanes.
-BYTE_VALUES = _rng.integers(0, 1 << 63, size=(2, 256), dtype=np.uint64) * U(2) + U(1)
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: A random value below the prime for each byte, and a random base, for each of two polynomials in each of two lanes.
+BYTE_VALUES = _rng.integers(1, int(PRIME), size=(4, 256), dtype=np.uint64)
+BASES = [int(x) for x in _rng.integers(1 << 20, int(PRIME) - 1, size=4)]
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -27,17 +32,26 @@ LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the lane's base and of its inverse modulo 2**64, at least ``n`` of each."""
-    have = _powers.get(lane)
+def fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same remainder modulo 2**31 - 1."""
+    return (x & PRIME) + (x >> U(31))
+
+
+def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a polynomial's base and of its inverse modulo 2**31 - 1, at least ``n`` of each."""
+    have = _powers.get(which)
     if have is None or len(have[0]) < n:
         size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
         out = []
-        for base in (BASES[lane], pow(BASES[lane], -1, 1 << 64)):
-            p = np.full(size, U(base), np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = _powers[lane] = (out[0], out[1])
+        for base in (BASES[which], pow(BASES[which], -1, int(PRIME))):
+            p = np.ones(size, np.uint64)
+            done = 1
+            while done < size:  # the known stretch times base**done
+                more = min(done, size - done)
+                p[done : done + more] = fold(fold(p[:more] * U(pow(base, done, int(PRIME)))))
+                done += more
+            out.append(p % PRIME)
+        have = _powers[which] = (out[0], out[1])
     return have
 
 
@@ -49,15 +63,29 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Hashes of byte ranges of ``data``."""
+    """Hashes of byte ranges of ``data``, 62 bits a lane."""
 
     def __init__(self, data: np.ndarray, lane: int = 0):
-        self.p, self.inv = powers(lane, len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[lane][data] * self.p[: len(data)], out=self.sums[1:])
+        self.parts = []
+        for which in (2 * lane, 2 * lane + 1):
+            p, inverse = powers(which, len(data) + 1)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(fold(BYTE_VALUES[which][data] * p[: len(data)]), out=sums[1:])
+            self.parts.append((sums, inverse))
+
+    @staticmethod
+    def _shifted(difference: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        x = fold(fold(fold(fold(difference)) * inverse))
+        return np.where(x >= PRIME, x - PRIME, x)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inv[start] + (end - start).astype(np.uint64))
+        one, two = (self._shifted(sums[end] - sums[start], inverse[start]) for sums, inverse in self.parts)
+        return mix(mix((one << U(31)) | two) + (end - start).astype(np.uint64))
+
+    def windows(self, width: int) -> np.ndarray:
+        """A hash of 31 bits, spread over 64, of each ``width`` bytes."""
+        sums, inverse = self.parts[0]
+        return mix(self._shifted(sums[width:] - sums[:-width], inverse[: len(sums) - width]))
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -39,8 +39,7 @@ def triggers(data: np.ndarray, offsets: np.ndarray, prefix: K.Prefix) -> np.ndar
     n = len(data) - W + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    h = K.mix((prefix.sums[W:] - prefix.sums[:-W]) * prefix.inv[:n])
-    at = np.flatnonzero(h < K.U((1 << 64) // EVERY))
+    at = np.flatnonzero(prefix.windows(W) < K.U((1 << 64) // EVERY))
     return at[at + W <= offsets[np.searchsorted(offsets, at, side="right")]]
 
 
