@@ -5,18 +5,24 @@ with equal sets are one node. Sets x and y link when den * |x & y| >= num *
 |x | y|, which takes an overlap T(x, y), so both hold a common shingle among
 their first |x| - ceil(num |x| / den) + 1 in any order that all sets share. The
 order puts shingles last that are frequent anywhere, so inverted lists of
-these index shingles are short. They are merged by counting: a pair stays when
-the list entries it shares, with what may follow beyond the index, still reach
-T. Pairs aren't listed within a list: first each member against the list's
-first node only; then, for lists that still hold several components, members
-outside the largest one against the others. Both rounds verify with DivideSkip
-over full sets: lists in few of the records are merged, long ones are probed
-by binary search for the records that came close enough. Links within one
+these index shingles are short; a set that has used up too much of itself
+before a list can reach no T with anyone there.
+
+Lists are searched, not paired. First a list's most ordinary member (the one
+with the least rare shingles, so the likeliest source of the others) is
+searched in the list; the links give components. Then every list that still
+holds several components has its members outside the largest one searched
+against all its members, in blocks: of those only one link between two
+components comes back. A search is DivideSkip over the members' full sets: the
+query's short inverted lists are merged by a heap, and members that come close
+enough are looked up in the long ones by binary search. Links within one
 component change nothing, so components are those of all links.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 
 import numpy as np
@@ -29,10 +35,10 @@ from . import kernels as K
 from .common import drop_table, parallelism, write_table
 from .components import connected_components, merge_components
 
-#: Members that stand for a large component at first.
-SOME = 4
-#: Records per group that one query is searched in.
-GROUP = 128
+#: Records that a query is searched in at a time, and queries that share a list's records.
+GROUP, ASKED = 128, 512
+#: DivideSkip's weight of a probe: of L lists, the T / (MU * log2(longest) + 1) longest are probed.
+MU = 0.01
 LANE2 = K.U(0xA0761D6478BD642F)
 FREQUENT_WINDOW = 3_000_000
 
@@ -74,25 +80,29 @@ def _frequent(batches, k: int, least: int):
 
 
 def frequent_shingles(texts: DataFrame, k: int, least: int = 2, most: int = 1_000_000) -> np.ndarray:
-    """Up to ``most`` (8 bytes each) of the most frequent shingles, rarest first: an order, so it has no say in results.
+    """About ``most`` (8 bytes each) of the most frequent shingles, rarest first: an order, so it has no say in results.
 
-    What a stretch of the corpus holds twice is counted over all of it; the
-    least count that goes in is read off a histogram of counts.
+    What a stretch of the corpus holds twice is counted over all of it. Whole
+    steps of a histogram of counts go in from the top; of the step that no
+    longer fits, a share by hash.
     """
     counted = texts.mapInArrow(lambda it: _frequent(it, k, least), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 3")
     counted, path = write_table(counted, "frequent")
-    floor, total = 1 << 62, 0
-    for n, tokens in sorted(map(tuple, counted.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*")).collect()), reverse=True):
-        if total + tokens > most:
+    step = F.floor(F.log2("n") * 16).cast("int")
+    floor, share, left = 1 << 30, 0.0, most
+    for at, tokens in sorted(map(tuple, counted.groupBy(step).agg(F.count("*")).collect()), reverse=True):
+        floor, share = at, min(1.0, left / tokens)
+        left -= tokens
+        if left <= 0:
             break
-        floor, total = n, total + tokens
-    found = counted.filter(F.col("n") >= floor).toPandas().sort_values(["n", "token"])
+    some = (step > floor) | ((step == floor) & (F.pmod(F.xxhash64("token"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    found = counted.filter(some).toPandas().sort_values(["n", "token"])
     drop_table(texts.sparkSession, path)
     return found["token"].to_numpy(np.int64).view(np.uint64)
 
 
 class Index:
-    """doc_id, set size, fingerprint and index shingles of each row."""
+    """doc_id, set size, fingerprint, number of rare shingles and index shingles of each row."""
 
     def __init__(self, frequent, k: int, num: int, den: int):
         self.frequent, self.k, self.num, self.den = frequent, k, num, den
@@ -103,7 +113,7 @@ class Index:
         known = last[by_value]
         for batch in batches:
             for lo, hi, data, offsets in K.text_slices(batch.column(1)):
-                sizes, f1, f2, prefix = [], [], [], []
+                sizes, f1, f2, prefix, odd = [], [], [], [], []
                 for s in row_sets(data, offsets, self.k):
                     n = len(s)
                     f = fingerprint(s)
@@ -111,10 +121,12 @@ class Index:
                     f1.append(f[0])
                     f2.append(f[1])
                     take = n - -(-self.num * n // self.den) + 1 if n else 0
+                    odd.append(n)
                     if n and len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         late = known[at] == s
                         rare = s[~late]
+                        odd[-1] = len(rare)
                         if len(rare) < take:  # the rarest of the frequent ones fill up
                             s = np.concatenate([rare, s[late][np.argsort(by_value[at[late]], kind="stable")]])
                         else:
@@ -123,82 +135,105 @@ class Index:
                 ends = np.append(0, np.cumsum([len(p) for p in prefix])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))
                 longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f1, f2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), *longs, lists], ["doc_id", "n", "f1", "f2", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), *longs, pa.array(odd, pa.int64()), lists], ["doc_id", "n", "f1", "f2", "rare", "prefix"])
 
 
 def _sets(batches, wanted, k: int):
-    """Full sets of rows whose id may be wanted (a bitmap of bounded size), as bytes."""
+    """Full sets, as bytes, of rows whose id may be wanted (a bitmap of bounded size) or is null."""
     for batch in batches:
         ids = batch.column(0)
         known = ids.is_valid().to_numpy(zero_copy_only=False)
-        values = ids.fill_null(0).to_numpy()
-        keep = np.flatnonzero(known & bitmap.contains(wanted.value, np.ascontiguousarray(values)))
+        keep = np.flatnonzero(~known | bitmap.contains(wanted.value, np.ascontiguousarray(ids.fill_null(0).to_numpy())))
         if len(keep):
             text = batch.column(1).take(pa.array(keep))
-            for lo, hi, data, offsets in K.text_slices(text):
+            for _, _, data, offsets in K.text_slices(text):
                 sets = row_sets(data, offsets, k)
                 f = [fingerprint(s) for s in sets]
                 longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*f, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(values[keep[lo:hi]]), *longs, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "f1", "f2", "words"])
-
-
-def divide_skip(query: np.ndarray, records: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Which records reach the overlap T with the query (DivideSkip over the records' inverted lists).
-
-    The query's lists are sorted by length. The longest, fewer than the least
-    T, are set aside; the short ones are merged and counted; a record whose
-    count could still reach its T is looked up, by binary search, in the long
-    ones.
+                yield pa.RecordBatch.from_arrays([*longs, pa.array([s.tobytes() for s in sets], pa.binary())], ["f1", "f2", "words"])
+
+
+class Lists:
+    """The inverted lists of some records (sorted sets): a list is a stretch of ``owner``, its entries sort by (token, owner)."""
+
+    def __init__(self, records: list[np.ndarray]):
+        self.size = np.array([len(r) for r in records])
+        tokens = np.concatenate(records)
+        owner = np.repeat(np.arange(len(records)), self.size)
+        order = np.argsort(tokens, kind="stable")
+        self.owner = owner[order]
+        self.tokens, self.start = np.unique(tokens[order], return_index=True)
+        self.end = np.append(self.start[1:], len(tokens))
+        self.entries = np.repeat(np.arange(len(self.tokens)), self.end - self.start) << 32 | self.owner
+
+    def reach(self, query: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Records whose overlap with the query reaches T, by DivideSkip.
+
+        A record that the merged short lists name fewer than T times less the
+        number of long ones can't reach T; the others are looked up, by binary
+        search, in the long lists.
+        """
+        need = -(-num * (len(query) + self.size) // (num + den))  # den * o >= num * (|q| + |r| - o)
+        at = np.searchsorted(self.tokens, query)
+        own = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == query] if len(self.tokens) else at[:0]
+        t = int(need.min())
+        if t < 1 or len(own) < t:
+            return np.zeros(0, np.int64)
+        length = self.end[own] - self.start[own]
+        n_long = min(t - 1, int(t / (MU * math.log2(max(2, int(length.max()))) + 1)))
+        own = own[np.argsort(-length, kind="stable")]
+        long, short = own[:n_long], own[n_long:]
+        count = np.zeros(len(self.size), np.int64)
+        for record, times in itertools.groupby(heapq.merge(*(self.owner[a:b].tolist() for a, b in zip(self.start[short], self.end[short], strict=True)))):
+            count[record] = sum(1 for _ in times)
+        near = np.flatnonzero(count >= need - n_long)
+        for i in range(0, len(near), 64):
+            some = near[i : i + 64]
+            probes = long[:, None] << 32 | some[None, :]
+            spot = np.searchsorted(self.entries, probes)
+            count[some] += (self.entries[np.minimum(spot, len(self.entries) - 1)] == probes).sum(0)
+        return near[count[near] >= need[near]]
+
+
+def _search(batches, num: int, den: int):
+    """Rows (g, salt, role, node, component, words) by g, salt and role; a group's queries (role 0) are searched in its records (role 1).
+
+    Records are held GROUP at a time. A link comes back where it joins two
+    components that the group has not joined before.
     """
-    size = np.array([len(r) for r in records])
-    need = -(-num * (len(query) + size) // (num + den))  # den * o >= num * (|q| + |r| - o)
-    tokens = np.concatenate(records)
-    owner = np.repeat(np.arange(len(records)), size)
-    order = np.argsort(tokens, kind="stable")  # inverted lists: equal tokens, owners rising
-    tokens, owner = tokens[order], owner[order]
-    lo, hi = np.searchsorted(tokens, query), np.searchsorted(tokens, query, side="right")
-    length = hi - lo
-    t = int(need.min())
-    skip = min(len(query), max(0, int(t / (0.01 * math.log2(max(2, length.max(initial=0))) + 1)) - 1), max(0, t - 1))
-    by_length = np.argsort(length, kind="stable")
-    short, long = by_length[: len(query) - skip], by_length[len(query) - skip :]
-    n = length[short]
-    spots = np.repeat(lo[short] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    count = np.bincount(owner[spots], minlength=len(records)) if len(spots) else np.zeros(len(records), np.int64)
-    near = np.flatnonzero(count >= need - len(long))
-    probes = query[long]
-    for r in near:
-        own = records[r]
-        at = np.minimum(np.searchsorted(own, probes), len(own) - 1)
-        count[r] += int((own[at] == probes).sum()) if len(own) else 0
-    out = np.zeros(len(records), bool)
-    out[near] = count[near] >= need[near]
-    return out
-
-
-def _verify(batches, num: int, den: int):
-    """Rows come by (a, salt), the query's own row first; yields the linked pairs."""
-    key, query, ids, records = None, None, [], []
+    key, asked, held, root = None, [], [], {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            x = up
+        return x
 
     def out():
-        if ids:
-            good = divide_skip(query, records, num, den)
-            b = np.array(ids)[good]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), key[0])), pa.array(b)], ["a", "b"])
+        a, b = [], []
+        if asked and held:
+            lists = Lists([s for _, _, s in held])
+            for node, component, query in asked:
+                own = find(component)
+                if all(find(c) == own for _, c, _ in held):
+                    continue
+                for r in lists.reach(query, num, den):
+                    x, y = find(component), find(held[r][1])
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        a.append(node)
+                        b.append(held[r][0])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for a, salt, b, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            s = np.frombuffer(words.as_buffer(), np.uint64) if len(words.as_buffer()) else np.zeros(0, np.uint64)
-            if (a, salt) != key or len(ids) >= 2 * GROUP:
+        for g, salt, role, node, component, words in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), strict=True):
+            if (g, salt) != key or len(held) >= GROUP:
                 yield from out()
-                ids, records = [], []
-            if (a, salt) != key:
-                key, query = (a, salt), None
-            if b is None:
-                query = s.copy()
-            elif query is not None:
-                ids.append(b)
-                records.append(s.copy())
+                held = []
+            if (g, salt) != key:
+                key, asked, root = (g, salt), [], {}
+            row = (node, component, np.frombuffer(words.as_buffer(), np.uint64).copy())
+            (held if role else asked).append(row)
     yield from out()
 
 
@@ -225,70 +260,80 @@ class Join:
         need = F.ceil(self.num * (nx + ny) / (self.num + self.den))
         return (common + F.greatest(beyond(nx), beyond(ny)) >= need) & (F.least(nx, ny) * self.den >= F.greatest(nx, ny) * self.num)
 
-    def links(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b: nodes) that link."""
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def links(self, queries: DataFrame, records: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Links (a, b: nodes) between queries and records (g, salt, node, component) of one (g, salt)."""
+        ends = queries.select("node").union(records.select("node")).distinct()
         wanted = self.table(ends.join(nodes.select("node", "doc_id", "f1", "f2"), "node"), "wanted")
         bits = bitmap.build(wanted.select("doc_id").filter("doc_id is not null"), bitmap.bits_for(wanted.count()))
         shared = self.spark.sparkContext.broadcast(bits)
         k, num, den = self.k, self.num, self.den
-        found = self.texts.mapInArrow(lambda it: _sets(it, shared, k), "doc_id long, f1 long, f2 long, words binary")
-        sets = self.table(found.join(wanted, ["doc_id", "f1", "f2"]).select("node", "words").dropDuplicates(["node"]), "sets")
-        degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
-        salted = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / GROUP)).cast("int"))
-        salted = self.table(salted.select("a", "b", "salt"), "pairs")
-        asks = salted.select("a", "salt").distinct().join(sets, F.col("a") == sets["node"]).select("a", "salt", F.lit(None).cast("long").alias("b"), "words")
-        rows = asks.union(salted.join(sets, F.col("b") == sets["node"]).select("a", "salt", "b", "words"))
-        dealt = rows.repartition(parallelism(self.spark), "a", "salt").sortWithinPartitions("a", "salt", "b")
-        out = self.table(dealt.mapInArrow(lambda it: _verify(it, num, den), "a long, b long"), "links")
-        self.drop("wanted", "sets", "pairs")
+        found = self.texts.mapInArrow(lambda it: _sets(it, shared, k), "f1 long, f2 long, words binary")
+        sets = self.table(found.join(wanted.select("node", "f1", "f2"), ["f1", "f2"]).select("node", "words").dropDuplicates(["node"]), "sets")
+        shared.unpersist()
+        both = queries.withColumn("role", F.lit(0)).unionByName(records.withColumn("role", F.lit(1)))
+        rows = both.join(sets, "node").select("g", "salt", "role", "node", "component", "words")
+        dealt = rows.repartition(parallelism(self.spark), "g", "salt").sortWithinPartitions("g", "salt", "role", "node")
+        out = self.table(dealt.mapInArrow(lambda it: _search(it, num, den), "a long, b long"), "links")
+        self.drop("wanted", "sets")
         return out
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(doc_id, n, f1, f2) for each row, and (f1, f2, first) for each node: the smallest doc_id of its component."""
         frequent = self.spark.sparkContext.broadcast(frequent_shingles(self.texts.select("text"), self.k))
-        rows = self.table(self.texts.mapInArrow(Index(frequent, self.k, self.num, self.den), "doc_id long, n long, f1 long, f2 long, prefix array<long>"), "index")
-        nodes = rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix"))
+        rows = self.table(self.texts.mapInArrow(Index(frequent, self.k, self.num, self.den), "doc_id long, n long, f1 long, f2 long, rare long, prefix array<long>"), "index")
+        nodes = rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
         nodes = self.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-        entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-        first = entries.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("x"), F.max("node").alias("z")).filter("x.node <> z")
-        shared = self.table(entries.join(first.select("token", F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("pa")), "token"), "postings")
-        stars = shared.filter("node <> a").groupBy("a", F.col("node").alias("b"), F.col("na").alias("nx"), F.col("n").alias("ny")).agg(F.count("*").alias("common"), F.bool_or(self.in_time("na", "pa", "n", "pos")).alias("early"))
-        stars = self.table(stars.filter(F.col("early") & self.reachable(F.col("common"), F.col("nx"), F.col("ny"))).select("a", "b"), "stars")
-        found = self.links(stars, nodes)
-        component = self.table(connected_components(found), "components")
-        # lists that still hold several components: members outside the largest, against a few members of
-        # each large component first, as that joins most; then against all others
-        for every in (False, True):
-            pairs = self.cross(shared, component, nodes, every).join(stars, ["a", "b"], "left_anti")
-            pairs = self.table(pairs, "cross")
-            if not pairs.isEmpty():
-                more = self.links(pairs, nodes)
-                stars = stars.unionByName(pairs)
-                if not more.isEmpty():
-                    component = self.table(merge_components(component, more), "components")
-        self.drop("postings", "stars", "entries", "cross")
+        postings, stars = self.star(nodes)
+        component = self.table(connected_components(self.links(*stars, nodes)), "components")
+        self.drop("stars")
+        rest = self.mixed_lists(postings, component)
+        if rest:
+            more = self.links(*rest, nodes)
+            if not more.isEmpty():
+                component = self.table(merge_components(component, more), "components")
+        self.drop("postings", "feasible", "lists")
         named = nodes.select("node", "n", "f1", "f2", "doc_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = named.groupBy("component").agg(F.min("doc_id").alias("first"))
         return rows.select("doc_id", "n", "f1", "f2"), named.join(least, "component").select("n", "f1", "f2", "first")
 
-    def cross(self, shared: DataFrame, component: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
-        """Pairs (a, b) of different components that may link; unless ``every``, b is one of a few members of a large component."""
-        entries = shared.select("token", "node", "n", "pos").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        own = entries.groupBy("token", "component").agg(F.count("*").alias("members"))
-        largest = own.groupBy("token").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("components")).filter("components > 1")
-        mixed = entries.join(largest.select("token", "largest"), "token")
-        minor = mixed.filter("component <> largest").select("token", F.col("node").alias("a"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("ca"))
-        other = mixed.select("token", F.col("node").alias("b"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("major"))
-        if not every:
-            large = component.groupBy("component").agg(F.count("*").alias("n"), F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(SOME)])).alias("some")).filter(F.col("n") > SOME)
-            other = other.join(large.select(F.explode("some").alias("b")), "b")
-        first = F.lit(True) if not every else F.col("major") | (F.col("a") < F.col("b"))
-        meet = (minor["token"] == other["token"]) & (F.col("ca") != F.col("cb")) & first & self.in_time("nx", "px", "ny", "py")
-        pairs = minor.join(other, meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("prefix").alias("p" + c)) for c in "ab")
-        full = pairs.join(x, "a").join(y, "b")
-        return full.filter(self.reachable(F.size(F.array_intersect("pa", "pb")), F.col("na"), F.col("nb"))).select("a", "b")
+    def star(self, nodes: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+        """The lists of two members or more, and each list's most ordinary member as a query for the others that may reach T."""
+        entries = nodes.select("node", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
+        ordinary = F.struct(F.round(F.col("rare") / F.col("n"), 2).alias("odd"), (-F.col("n")).alias("m"), "node", "n", "pos")
+        first = entries.groupBy("token").agg(F.min(ordinary).alias("x"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+        first = self.table(first.select("token", F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("pa")), "stars")
+        postings = self.table(entries.drop("rare").join(first, "token"), "postings")
+        pairs = postings.filter("node <> a").groupBy("a", F.col("node").alias("b"), F.col("na").alias("nx"), F.col("n").alias("ny")).agg(F.count("*").alias("common"), F.bool_or(self.in_time("na", "pa", "n", "pos")).alias("early"))
+        pairs = self.table(pairs.filter(F.col("early") & self.reachable(F.col("common"), F.col("nx"), F.col("ny"))).select("a", "b"), "stars")
+        degree = self.table(pairs.groupBy("a").agg(F.count("*").alias("degree")), "stars")
+        blocks = F.ceil(F.col("degree") / GROUP).cast("int")
+        queries = degree.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"), F.col("a").alias("node"), F.col("a").alias("component"))
+        records = pairs.join(degree, "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), blocks).cast("int").alias("salt"), F.col("b").alias("node"), F.col("b").alias("component"))
+        return postings, (queries, records)
+
+    def mixed_lists(self, postings: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+        """For lists that hold several components: members outside the largest as queries, in blocks, and all members as records.
+
+        Members that no other's size and place let reach T are left out. Lists
+        of two are done, as one of them was the other's query. Of lists with
+        the same members one stays.
+        """
+        entries = postings.select("token", "node", "n", "pos").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.min("n").alias("least"))
+        several = self.table(several.filter("low <> high and members > 2").select("token", "least"), "lists")
+        smallest = F.greatest("least", F.ceil(self.num * F.col("n") / self.den))
+        feasible = F.col("n") - F.col("pos") >= F.ceil(self.num * (F.col("n") + smallest) / (self.num + self.den))
+        kept = self.table(entries.join(several, "token").filter(feasible).select("token", "node", "component"), "feasible")
+        by = kept.groupBy("token", "component").agg(F.count("*").alias("members"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)])
+        lists = by.groupBy("token").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.max("members").alias("major"), F.sum("members").alias("members"), F.count("*").alias("n"), *[F.bit_xor(x).alias(x) for x in ("x0", "x1")])
+        lists = lists.filter("n > 1").groupBy("x0", "x1", "members").agg(F.min("token").alias("token"), F.max("largest").alias("largest"), F.max("major").alias("major"))
+        lists = self.table(lists.select("token", "largest", F.ceil((F.col("members") - F.col("major")) / ASKED).cast("int").alias("blocks")), "lists")
+        if lists.isEmpty():
+            return None
+        both = kept.join(lists, "token").withColumnRenamed("token", "g")
+        queries = both.filter("component <> largest").select("g", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("salt"), "node", "component")
+        records = both.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), "node", "component")
+        return queries, records
 
     def in_time(self, nx: str, px: str, ny: str, py: str):
         """Whether sets that first meet at these places of their order may still reach T, by size and by what is left."""
@@ -312,10 +357,13 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Da
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Of each component's documents the one with the smallest doc_id; documents without words stay.
+    """Of each component's documents the one with the smallest doc_id, in the columns of ``docs``; documents without words stay.
 
-    Rows that repeat a doc_id are one document, so they stay or go together.
+    Rows that repeat a doc_id are one document, so they stay or go together;
+    rows with a null doc_id, a null or an empty text stay. Texts of any length
+    are compared whole. An empty table gives an empty one; any column names
+    will do, as only doc_id and text are read.
     """
-    found = components(docs, k, num, den)
+    found = components(docs.select("doc_id", "text"), k, num, den)
     gone = found.filter((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemoria.llm import line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, tokens, topk_search
+from mnemoria.llm.docstats import slice_stats
 from mnemoria.llm.bitmap import bits_for, build, contains
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -239,12 +240,61 @@ def test_ngram_join(spark, k, num, den):
     assert kept == {d for d, (n, c) in got.items() if c == d or not n}
 
 
+def test_ngram_join_of_near_copies(spark):
+    """One large group whose members mostly miss each other, so that lists hold several components."""
+    rng = np.random.default_rng(10)
+    base = [f"w{i}" for i in range(120)]
+    texts = {d: " ".join(w if rng.random() > p else f"n{int(rng.integers(1 << 30))}" for w in base) for d, p in enumerate(rng.choice([0.005, 0.012, 0.02, 0.03], 400))}
+    # chains beside the group's centre: each link in reach of the next only
+    chain = base[:60] + [f"c{i}" for i in range(60)]
+    for step in range(12):
+        chain = [f"s{step}" if i == 3 + 9 * step else w for i, w in enumerate(chain)]
+        texts[len(texts)] = " ".join(chain)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.components(df, 4, 85, 100).collect()}
+    assert got == brute_components(texts, 4, 85, 100)
+
+
+def test_null_id_bridges(spark):
+    words = [f"w{i}" for i in range(150)]
+    rows = [(1, [f"x{i}" if i in (10, 30) else w for i, w in enumerate(words)]), (None, words), (3, [f"y{i}" if i in (60, 80) else w for i, w in enumerate(words)])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    assert brute_components({d or 2: " ".join(w) for d, w in rows}, 4, 85, 100)[3][1] == 1
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.components(df, 4, 85, 100).collect()} == {1: 1, None: 1, 3: 1}
+
+
+def thue_morse(n):
+    """A string of a and b and its complement: they collide in every polynomial hash modulo a power of two."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_thue_morse_apart(spark):
+    one, two = thue_morse(2048)
+    df = spark.createDataFrame([(i, (one, two)[i % 2]) for i in range(10)], "doc_id long, text string")
+    assert {r["n_dropped"] for r in line_dedup.drop_common_lines(df, min_docs=10).collect()} == {0}
+    assert {r["component_id"] for r in ngram_join.components(df, 4, 85, 100).collect()} == {0, 1}
+    pair = df.filter("doc_id < 2")
+    assert {r["n_removed"] for r in suffix_dedup.remove_repeats(pair, 1024).collect()} == {2048 if two[1024:] in one else 0}
+    assert slice_stats(*one_row(f"{one}\n{two} {one} {two} {two}"))["n_dup_lines"][0] == 0
+    assert slice_stats(*one_row(f"{one} {two} {one} {two} {one} {one} {two}"))["n_distinct_words"][0] == 2
+    ids = {r["ids_crc32"] for r in packing.pack(pair).collect()}
+    assert len(ids) == packing.pack(pair).count()
+
+
+def one_row(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return data, np.array([0, len(data)])
+
+
 def test_divide_skip():
     rng = np.random.default_rng(9)
     query = np.unique(rng.integers(0, 1000, 300).astype(np.uint64))
     records = [np.unique(np.append(query[rng.random(len(query)) < p], rng.integers(1000, 2000, m).astype(np.uint64))) for p, m in ((1, 0), (0.95, 5), (0.9, 20), (0.5, 100), (0.0, 10))]
     want = [100 * len(set(query) & set(r)) >= 80 * len(set(query) | set(r)) for r in records]
-    assert list(ngram_join.divide_skip(query, records, 80, 100)) == want
+    assert np.isin(np.arange(len(records)), ngram_join.Lists(records).reach(query, 80, 100)).tolist() == want
 
 
 def test_mixing_meets_targets(spark, docs, labels):
@@ -300,7 +350,7 @@ def test_pipeline(spark, data, docs):
 
 
 def test_oracle(spark, duck, data):
-    from conftest import rows_of
+    from comparing import rows_of
 
     from mnemoria.llm.queries import ORACLES, QUERIES
 
