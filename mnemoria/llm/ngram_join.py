@@ -195,47 +195,104 @@ class Lists:
         return near[count[near] >= need[near]]
 
 
-def _search(batches, num: int, den: int):
-    """Rows (g, salt, role, node, component, words) by g, salt and role; a group's queries (role 0) are searched in its records (role 1).
+def _groups(batches, at_a_time: int):
+    """(key, queries, some records) from rows (g, salt, role, node, component, ...) by g, salt and role: 0 asks and is held, 1 is held.
 
-    Records are held GROUP at a time. A link comes back where it joins two
-    components that the group has not joined before.
+    Each two rows of which one asks meet once at least: those that ask come
+    first and ask to the end. A query or record is (node, component, n, ...).
     """
-    key, asked, held, root = None, [], [], {}
+    key, asked, held = None, [], []
+    for batch in batches:
+        raw = [_values(batch.column(c)) for c in range(6, batch.num_columns)]
+        for i, (g, salt, role, node, component, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
+            if (g, salt) != key or len(held) >= at_a_time:
+                if asked and held:
+                    yield key, asked, held
+                held = []
+            if (g, salt) != key:
+                key, asked = (g, salt), []
+            row = (node, component, n, *(own(i) for own in raw))
+            held.append(row)
+            if not role:
+                asked.append(row)
+    if asked and held:
+        yield key, asked, held
+
+
+def _values(column):
+    """The array of each row of a column of lists, or of binaries that hold 64-bit numbers."""
+    if pa.types.is_binary(column.type):
+        return lambda i: np.frombuffer(column[i].as_buffer(), np.uint64).copy()
+    flat, ends = column.flatten().to_numpy(), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+    return lambda i: flat[ends[i] : ends[i + 1]].copy()
+
+
+def _prune(batches, num: int, den: int):
+    """Members that may still reach T with one of another component, by what their index shingles share and where they first meet."""
+    for (g, salt), asked, held in _groups(batches, 8 * GROUP):
+        size, component = (np.array([r[c] for r in held]) for c in (2, 1))
+        tokens, place = (np.concatenate([r[c] for r in held]) for c in (3, 4))
+        owner = np.repeat(np.arange(len(held)), [len(r[3]) for r in held])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner, place = tokens[order], owner[order], place[order]
+        may_ask, may_answer = [], np.zeros(len(held), bool)
+        for q, (_, own, n, shingles, at) in enumerate(asked):
+            lo = np.searchsorted(tokens, shingles)
+            times = np.searchsorted(tokens, shingles, side="right") - lo
+            spots = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+            who, first, common = np.unique(owner[spots], return_index=True, return_counts=True)
+            m = size[who]
+            need = -(-num * (n + m) // (num + den))
+            left = np.minimum(n - np.repeat(at, times)[first], m - place[spots][first])
+            beyond = -(-num * np.maximum(n, m) // den) - 1
+            may = (left >= need) & (common + beyond >= need) & (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (component[who] != own)
+            may_answer[who[may]] = True
+            if may.any():
+                may_ask.append(q)
+        if may_ask:
+            rows = [(0, *asked[q][:2]) for q in may_ask] + [(1, *held[r][:2]) for r in np.flatnonzero(may_answer)]
+            columns = [[g] * len(rows), [salt] * len(rows), *zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["g", "salt", "role", "node", "component"])
+
+
+def _shared_entries(batches, several):
+    """(node, n, rare, pos, token) of index shingles that a bitmap says several sets may have."""
+    for batch in batches:
+        flat = batch.column(3).flatten().to_numpy()
+        size = batch.column(3).value_lengths().to_numpy()
+        at = np.flatnonzero(bitmap.contains(several.value, np.ascontiguousarray(flat)))
+        row = np.repeat(np.arange(batch.num_rows), size)[at]
+        pos = at - (np.cumsum(size) - size)[row]
+        own = [batch.column(c).take(pa.array(row)) for c in range(3)]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(pos.astype(np.int32)), pa.array(flat[at])], ["node", "n", "rare", "pos", "token"])
+
+
+def _search(batches, num: int, den: int):
+    """Links (a, b) between each group's queries and records, where they join two components that the group has not joined before."""
+    key, root = None, {}
 
     def find(x):
         while (up := root.get(x, x)) != x:
             x = up
         return x
 
-    def out():
-        a, b = [], []
-        if asked and held:
-            lists = Lists([s for _, _, s in held])
-            for node, component, query in asked:
-                own = find(component)
-                if all(find(c) == own for _, c, _ in held):
-                    continue
-                for r in lists.reach(query, num, den):
-                    x, y = find(component), find(held[r][1])
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        a.append(node)
-                        b.append(held[r][0])
+    for group, asked, held in _groups(batches, GROUP):
+        if group != key:
+            key, root = group, {}
+        a, b, lists = [], [], Lists([r[3] for r in held])
+        for node, component, _, query in asked:
+            own = find(component)
+            if all(find(r[1]) == own for r in held):
+                continue
+            for r in lists.reach(query, num, den):
+                x, y = find(component), find(held[r][1])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(node)
+                    b.append(held[r][0])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    for batch in batches:
-        for g, salt, role, node, component, words in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), strict=True):
-            if (g, salt) != key or len(held) >= GROUP:
-                yield from out()
-                held = []
-            if (g, salt) != key:
-                key, asked, root = (g, salt), [], {}
-            row = (node, component, np.frombuffer(words.as_buffer(), np.uint64).copy())
-            (held if role else asked).append(row)
-    yield from out()
-
 
 class Join:
     """The stages of one self-join."""
@@ -260,20 +317,21 @@ class Join:
         need = F.ceil(self.num * (nx + ny) / (self.num + self.den))
         return (common + F.greatest(beyond(nx), beyond(ny)) >= need) & (F.least(nx, ny) * self.den >= F.greatest(nx, ny) * self.num)
 
-    def links(self, queries: DataFrame, records: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Links (a, b: nodes) between queries and records (g, salt, node, component) of one (g, salt)."""
-        ends = queries.select("node").union(records.select("node")).distinct()
-        wanted = self.table(ends.join(nodes.select("node", "doc_id", "f1", "f2"), "node"), "wanted")
+    def dealt(self, rows: DataFrame, own: DataFrame, *what: str) -> DataFrame:
+        """``rows`` (g, salt, role, node, component), each with n and ``what`` of its node, a group together."""
+        both = rows.join(own.select("node", "n", *what), "node").select("g", "salt", "role", "node", "component", "n", *what)
+        return both.repartition(parallelism(self.spark), "g", "salt").sortWithinPartitions("g", "salt", "role", "node")
+
+    def links(self, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Links (a, b: nodes) between queries and records of one (g, salt)."""
+        wanted = self.table(rows.select("node").distinct().join(nodes.select("node", "doc_id", "n", "f1", "f2"), "node"), "wanted")
         bits = bitmap.build(wanted.select("doc_id").filter("doc_id is not null"), bitmap.bits_for(wanted.count()))
         shared = self.spark.sparkContext.broadcast(bits)
         k, num, den = self.k, self.num, self.den
         found = self.texts.mapInArrow(lambda it: _sets(it, shared, k), "f1 long, f2 long, words binary")
-        sets = self.table(found.join(wanted.select("node", "f1", "f2"), ["f1", "f2"]).select("node", "words").dropDuplicates(["node"]), "sets")
+        sets = self.table(found.join(wanted.select("node", "n", "f1", "f2"), ["f1", "f2"]).select("node", "n", "words").dropDuplicates(["node"]), "sets")
         shared.unpersist()
-        both = queries.withColumn("role", F.lit(0)).unionByName(records.withColumn("role", F.lit(1)))
-        rows = both.join(sets, "node").select("g", "salt", "role", "node", "component", "words")
-        dealt = rows.repartition(parallelism(self.spark), "g", "salt").sortWithinPartitions("g", "salt", "role", "node")
-        out = self.table(dealt.mapInArrow(lambda it: _search(it, num, den), "a long, b long"), "links")
+        out = self.table(self.dealt(rows, sets, "words").mapInArrow(lambda it: _search(it, num, den), "a long, b long"), "links")
         self.drop("wanted", "sets")
         return out
 
@@ -284,21 +342,26 @@ class Join:
         nodes = rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
         nodes = self.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
         postings, stars = self.star(nodes)
-        component = self.table(connected_components(self.links(*stars, nodes)), "components")
+        component = self.table(connected_components(self.links(stars, nodes)), "components")
         self.drop("stars")
         rest = self.mixed_lists(postings, component)
-        if rest:
-            more = self.links(*rest, nodes)
+        if not rest.isEmpty():
+            more = self.links(rest, nodes)
             if not more.isEmpty():
                 component = self.table(merge_components(component, more), "components")
-        self.drop("postings", "feasible", "lists")
+        self.drop("entries", "several", "postings", "feasible", "lists", "rest")
         named = nodes.select("node", "n", "f1", "f2", "doc_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = named.groupBy("component").agg(F.min("doc_id").alias("first"))
         return rows.select("doc_id", "n", "f1", "f2"), named.join(least, "component").select("n", "f1", "f2", "first")
 
-    def star(self, nodes: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    def star(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The lists of two members or more, and each list's most ordinary member as a query for the others that may reach T."""
-        entries = nodes.select("node", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
+        several = nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token")
+        several = self.table(several, "several")
+        hits = self.spark.sparkContext.broadcast(bitmap.build(several, bitmap.bits_for(several.count())))
+        entries = nodes.select("node", "n", "rare", "prefix").mapInArrow(lambda it: _shared_entries(it, hits), "node long, n long, rare long, pos int, token long")
+        entries = self.table(entries, "entries")
+        hits.unpersist()
         ordinary = F.struct(F.round(F.col("rare") / F.col("n"), 2).alias("odd"), (-F.col("n")).alias("m"), "node", "n", "pos")
         first = entries.groupBy("token").agg(F.min(ordinary).alias("x"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
         first = self.table(first.select("token", F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("pa")), "stars")
@@ -307,33 +370,39 @@ class Join:
         pairs = self.table(pairs.filter(F.col("early") & self.reachable(F.col("common"), F.col("nx"), F.col("ny"))).select("a", "b"), "stars")
         degree = self.table(pairs.groupBy("a").agg(F.count("*").alias("degree")), "stars")
         blocks = F.ceil(F.col("degree") / GROUP).cast("int")
-        queries = degree.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"), F.col("a").alias("node"), F.col("a").alias("component"))
-        records = pairs.join(degree, "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), blocks).cast("int").alias("salt"), F.col("b").alias("node"), F.col("b").alias("component"))
-        return postings, (queries, records)
+        queries = degree.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("node"), F.col("a").alias("component"))
+        records = pairs.join(degree, "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), blocks).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("node"), F.col("b").alias("component"))
+        return postings, queries.unionByName(records)
 
-    def mixed_lists(self, postings: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-        """For lists that hold several components: members outside the largest as queries, in blocks, and all members as records.
+    def mixed_lists(self, postings: DataFrame, component: DataFrame) -> DataFrame:
+        """For lists that hold several components: members outside the largest as queries, in blocks, among all members.
 
-        Members that no other's size and place let reach T are left out. Lists
-        of two are done, as one of them was the other's query. Of lists with
-        the same members one stays.
+        Lists of two are done, as one of them was the other's query. Lists with
+        the same most ordinary member go together, so that a set travels once.
+        Members that can't reach T with any other are left out: first by size
+        and place alone, then by a merge of the groups' index shingles.
         """
-        entries = postings.select("token", "node", "n", "pos").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        entries = postings.select("token", "a", "node", "n", "pos").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.min("n").alias("least"))
         several = self.table(several.filter("low <> high and members > 2").select("token", "least"), "lists")
         smallest = F.greatest("least", F.ceil(self.num * F.col("n") / self.den))
         feasible = F.col("n") - F.col("pos") >= F.ceil(self.num * (F.col("n") + smallest) / (self.num + self.den))
-        kept = self.table(entries.join(several, "token").filter(feasible).select("token", "node", "component"), "feasible")
-        by = kept.groupBy("token", "component").agg(F.count("*").alias("members"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)])
-        lists = by.groupBy("token").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.max("members").alias("major"), F.sum("members").alias("members"), F.count("*").alias("n"), *[F.bit_xor(x).alias(x) for x in ("x0", "x1")])
-        lists = lists.filter("n > 1").groupBy("x0", "x1", "members").agg(F.min("token").alias("token"), F.max("largest").alias("largest"), F.max("major").alias("major"))
-        lists = self.table(lists.select("token", "largest", F.ceil((F.col("members") - F.col("major")) / ASKED).cast("int").alias("blocks")), "lists")
-        if lists.isEmpty():
-            return None
-        both = kept.join(lists, "token").withColumnRenamed("token", "g")
-        queries = both.filter("component <> largest").select("g", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("salt"), "node", "component")
-        records = both.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), "node", "component")
-        return queries, records
+        kept = self.table(entries.join(several, "token").filter(feasible).select("token", "a", "node", "component"), "feasible")
+        mixed = kept.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+        mixed = self.table(mixed, "lists")
+        members = self.table(kept.join(mixed, "token").select(F.col("a").alias("g"), "node", "component").distinct(), "feasible")
+        by = members.groupBy("g", "component").agg(F.count("*").alias("members"))
+        lists = by.groupBy("g").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.max("members").alias("major"), F.sum("members").alias("members"))
+        lists = self.table(lists.select("g", "largest", F.ceil((F.col("members") - F.col("major")) / ASKED).cast("int").alias("blocks")), "lists")
+        both = members.join(lists, "g").filter("blocks > 0")
+        salt = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        rows = both.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), (F.when(F.col("component") != F.col("largest"), salt)).alias("own"), "node", "component")
+        rows = rows.select("g", "salt", F.when(F.col("own") == F.col("salt"), 0).otherwise(1).alias("role"), "node", "component")
+        index = postings.join(members.select("node").distinct(), "node").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("x"))
+        index = index.select("node", "n", F.col("x.token").alias("tokens"), F.col("x.pos").alias("places"))
+        num, den = self.num, self.den
+        found = self.dealt(rows, index, "tokens", "places").mapInArrow(lambda it: _prune(it, num, den), "g long, salt int, role int, node long, component long")
+        return self.table(found.groupBy("g", "salt", "node", "component").agg(F.min("role").alias("role")), "rest")
 
     def in_time(self, nx: str, px: str, ny: str, py: str):
         """Whether sets that first meet at these places of their order may still reach T, by size and by what is left."""
