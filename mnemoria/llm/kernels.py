@@ -1,9 +1,8 @@
 """Vectorised NumPy kernels over Arrow string columns.
 
-Texts are handled as one run of UTF-8 bytes with row offsets, in slices of
-about a megabyte, so that memory stays bounded whatever a batch holds. Hashes
-are polynomials over random byte values modulo the prime 2**31 - 1, kept as
-prefix sums: the hash of any byte range is a subtraction of two of them. A lane
+Texts are handled as one run of UTF-8 bytes with row offsets, in slices that
+fit a processor's cache, so that memory stays bounded whatever a batch holds. Hashes
+are polynomials over the bytes modulo the prime 2**31 - 1, kept as prefix sums: the hash of any byte range is a subtraction of two of them. A lane
 has two such polynomials with bases of their own, so different strings of n
 bytes agree in a lane with probability (n / 2**31)**2 and in both lanes with
 its square. (Modulo a power of two this would not hold: Thue-Morse strings
@@ -18,12 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 U = np.uint64
 PRIME = U((1 << 31) - 1)
 _rng = np.random.default_rng(20240229)
-#: A random value below the prime for each byte, and a random base, for each of two polynomials in each of two lanes.
-BYTE_VALUES = _rng.integers(1, int(PRIME), size=(4, 256), dtype=np.uint64)
+#: A random base for each of two polynomials in each of two lanes.
 BASES = [int(x) for x in _rng.integers(1 << 20, int(PRIME) - 1, size=4)]
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
@@ -34,7 +32,9 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def fold(x: np.ndarray) -> np.ndarray:
     """A smaller number with the same remainder modulo 2**31 - 1."""
-    return (x & PRIME) + (x >> U(31))
+    out = x & PRIME
+    out += x >> U(31)
+    return out
 
 
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,25 +67,32 @@ class Prefix:
 
     def __init__(self, data: np.ndarray, lane: int = 0):
         self.parts = []
+        values = data.astype(np.uint64)
+        values += U(1)
         for which in (2 * lane, 2 * lane + 1):
             p, inverse = powers(which, len(data) + 1)
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(fold(BYTE_VALUES[which][data] * p[: len(data)]), out=sums[1:])
+            terms = values * p[: len(data)]  # under 2**40
+            sums = np.empty(len(data) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(terms if len(data) < 1 << 22 else fold(terms), out=sums[1:])
             self.parts.append((sums, inverse))
 
     @staticmethod
     def _shifted(difference: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-        x = fold(fold(fold(fold(difference)) * inverse))
-        return np.where(x >= PRIME, x - PRIME, x)
+        x = fold(difference)  # under 2**32, as sums stay under 2**63
+        x *= inverse
+        x = fold(fold(x))
+        np.subtract(x, PRIME, out=x, where=x >= PRIME)
+        return x
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         one, two = (self._shifted(sums[end] - sums[start], inverse[start]) for sums, inverse in self.parts)
         return mix(mix((one << U(31)) | two) + (end - start).astype(np.uint64))
 
     def windows(self, width: int) -> np.ndarray:
-        """A hash of 31 bits, spread over 64, of each ``width`` bytes."""
+        """A hash below 2**31 - 1 of each ``width`` bytes."""
         sums, inverse = self.parts[0]
-        return mix(self._shifted(sums[width:] - sums[:-width], inverse[: len(sums) - width]))
+        return self._shifted(sums[width:] - sums[:-width], inverse[: len(sums) - width])
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

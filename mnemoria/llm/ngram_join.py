@@ -139,7 +139,8 @@ class Index:
 
 
 def _sets(batches, wanted, k: int):
-    """Full sets, as bytes, of rows whose id may be wanted (a bitmap of bounded size) or is null."""
+    """Full sets, as bytes, of rows whose id may be wanted (a bitmap of bounded size) or is null; equal ones of a partition once."""
+    seen = set()
     for batch in batches:
         ids = batch.column(0)
         known = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -147,10 +148,13 @@ def _sets(batches, wanted, k: int):
         if len(keep):
             text = batch.column(1).take(pa.array(keep))
             for _, _, data, offsets in K.text_slices(text):
-                sets = row_sets(data, offsets, k)
-                f = [fingerprint(s) for s in sets]
-                longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*f, strict=True)]
-                yield pa.RecordBatch.from_arrays([*longs, pa.array([s.tobytes() for s in sets], pa.binary())], ["f1", "f2", "words"])
+                new = {}
+                for s in row_sets(data, offsets, k):
+                    if len(s) and (f := fingerprint(s)) not in seen:
+                        seen.add(f)
+                        new[f] = s.tobytes()
+                longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*new, strict=True)] if new else [pa.array([], pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([*longs, pa.array(new.values(), pa.binary())], ["f1", "f2", "words"])
 
 
 class Lists:
@@ -201,7 +205,7 @@ def _groups(batches, at_a_time: int):
     Each two rows of which one asks meet once at least: those that ask come
     first and ask to the end. A query or record is (node, component, n, ...).
     """
-    key, asked, held = None, [], []
+    key, asked, held, last = None, [], [], None
     for batch in batches:
         raw = [_values(batch.column(c)) for c in range(6, batch.num_columns)]
         for i, (g, salt, role, node, component, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
@@ -210,7 +214,10 @@ def _groups(batches, at_a_time: int):
                     yield key, asked, held
                 held = []
             if (g, salt) != key:
-                key, asked = (g, salt), []
+                key, asked, last = (g, salt), [], None
+            if node == last:  # a set that two partitions have sent
+                continue
+            last = node
             row = (node, component, n, *(own(i) for own in raw))
             held.append(row)
             if not role:
@@ -329,10 +336,10 @@ class Join:
         shared = self.spark.sparkContext.broadcast(bits)
         k, num, den = self.k, self.num, self.den
         found = self.texts.mapInArrow(lambda it: _sets(it, shared, k), "f1 long, f2 long, words binary")
-        sets = self.table(found.join(wanted.select("node", "n", "f1", "f2"), ["f1", "f2"]).select("node", "n", "words").dropDuplicates(["node"]), "sets")
-        shared.unpersist()
+        sets = found.join(wanted.select("node", "n", "f1", "f2"), ["f1", "f2"])
         out = self.table(self.dealt(rows, sets, "words").mapInArrow(lambda it: _search(it, num, den), "a long, b long"), "links")
-        self.drop("wanted", "sets")
+        shared.unpersist()
+        self.drop("wanted")
         return out
 
     def run(self) -> tuple[DataFrame, DataFrame]:
@@ -340,8 +347,12 @@ class Join:
         frequent = self.spark.sparkContext.broadcast(frequent_shingles(self.texts.select("text"), self.k))
         rows = self.table(self.texts.mapInArrow(Index(frequent, self.k, self.num, self.den), "doc_id long, n long, f1 long, f2 long, rare long, prefix array<long>"), "index")
         nodes = rows.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
-        nodes = self.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-        postings, stars = self.star(nodes)
+        full = self.table(nodes.withColumn("node", F.monotonically_increasing_id()), "full")
+        rows = self.table(rows.select("doc_id", "n", "f1", "f2"), "rows")
+        nodes = self.table(full.select("node", "n", "f1", "f2", "doc_id"), "nodes")
+        self.drop("index")
+        postings, stars = self.star(full)
+        self.drop("full", "several", "entries")
         component = self.table(connected_components(self.links(stars, nodes)), "components")
         self.drop("stars")
         rest = self.mixed_lists(postings, component)
@@ -349,10 +360,10 @@ class Join:
             more = self.links(rest, nodes)
             if not more.isEmpty():
                 component = self.table(merge_components(component, more), "components")
-        self.drop("entries", "several", "postings", "feasible", "lists", "rest")
+        self.drop("postings", "feasible", "lists", "rest")
         named = nodes.select("node", "n", "f1", "f2", "doc_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = named.groupBy("component").agg(F.min("doc_id").alias("first"))
-        return rows.select("doc_id", "n", "f1", "f2"), named.join(least, "component").select("n", "f1", "f2", "first")
+        return rows, named.join(least, "component").select("n", "f1", "f2", "first")
 
     def star(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The lists of two members or more, and each list's most ordinary member as a query for the others that may reach T."""
@@ -372,7 +383,7 @@ class Join:
         blocks = F.ceil(F.col("degree") / GROUP).cast("int")
         queries = degree.select(F.col("a").alias("g"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("node"), F.col("a").alias("component"))
         records = pairs.join(degree, "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), blocks).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("node"), F.col("b").alias("component"))
-        return postings, queries.unionByName(records)
+        return postings, self.table(queries.unionByName(records), "stars")
 
     def mixed_lists(self, postings: DataFrame, component: DataFrame) -> DataFrame:
         """For lists that hold several components: members outside the largest as queries, in blocks, among all members.

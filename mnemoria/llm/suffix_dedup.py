@@ -35,11 +35,11 @@ ADDED = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "bin
 
 
 def triggers(data: np.ndarray, offsets: np.ndarray, prefix: K.Prefix) -> np.ndarray:
-    """Where the hash of the next W bytes, all of one row, is under 2**64 / EVERY."""
+    """Where the hash of the next W bytes, all of one row, is under an EVERYth of its range."""
     n = len(data) - W + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    at = np.flatnonzero(prefix.windows(W) < K.U((1 << 64) // EVERY))
+    at = np.flatnonzero(prefix.windows(W) < K.PRIME // K.U(EVERY))
     return at[at + W <= offsets[np.searchsorted(offsets, at, side="right")]]
 
 
@@ -115,12 +115,17 @@ def _units(batches, repeated, length: int):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["uid", "lo", "hi", "c1", "c2"])
 
 
-def _row_windows(text: bytes, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in the given runs and both hashes of their strings."""
-    data = np.frombuffer(text, np.uint8)
-    n = hi - lo
-    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return at, np.stack([K.Prefix(data, lane)(at, at + length) for lane in (0, 1)], 1)
+class RowWindows:
+    """The starts in the given runs of a text, and one lane of their strings' hashes at a time."""
+
+    def __init__(self, text: bytes, lo: np.ndarray, hi: np.ndarray, length: int):
+        n = hi - lo
+        self.data, self.length = np.frombuffer(text, np.uint8), length
+        self.at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+    def keys(self, lane: int, some=slice(None)) -> np.ndarray:
+        at = self.at[some]
+        return K.Prefix(self.data, lane)(at, at + self.length)
 
 
 def _judged_rows(batch):
@@ -134,29 +139,53 @@ def _judged_rows(batch):
         yield i, uid[i].as_py(), text[i].as_py().encode(), lo[part].astype(np.int64), hi[part].astype(np.int64), again[part].astype(bool)
 
 
+#: Windows that go out at a time.
+OUT = 1 << 17
+
+
 def _windows(batches, length: int, inner: bool, near=None, keys_only: bool = False):
     """Edge (or inner) starts whose class ``near`` may hold, one for each different string of a row, with its number."""
+
+    def out(parts):
+        keys, uid, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(uid), pa.array(at), pa.array(n)], ["h1", "h2", "uid", "at", "n"])
+
     for batch in batches:
-        parts = []
+        parts, halves, held = [], [], 0
         for _, uid, text, lo, hi, again in _judged_rows(batch):
             own = again if inner else ~again
             if own.any():
-                at, keys = _row_windows(text, lo[own], hi[own], length)
+                windows = RowWindows(text, lo[own], hi[own], length)
+                at, one = windows.at, windows.keys(0)
                 if near is not None:
-                    hit = bitmap.contains(near.value, np.ascontiguousarray(keys[:, 0]))
-                    at, keys = at[hit], keys[hit]
+                    hit = np.flatnonzero(bitmap.contains(near.value, one))
+                    if not len(hit):
+                        continue
+                    at, one = at[hit], one[hit]
+                if keys_only:  # half a key will do: a string that a row holds twice counts twice
+                    one.sort()
+                    new = np.append(True, one[1:] != one[:-1])
+                    halves.append(one[new | np.append(True, new[:-1])].view(np.int64))
+                    held += len(halves[-1])
+                    if held >= OUT:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(halves))], ["h1"])
+                        halves, held = [], 0
+                    continue
+                keys = np.stack([one, windows.keys(1, hit if near is not None else slice(None))], 1)
                 order = np.lexsort((at, keys[:, 1], keys[:, 0]))
                 at, keys = at[order], keys[order]
                 first = np.ones(len(at), bool)
                 first[1:] = (keys[1:] != keys[:-1]).any(1)
                 start = np.flatnonzero(first)
                 parts.append((keys[start].view(np.int64), np.full(len(start), uid), at[start].astype(np.int32), np.diff(np.append(start, len(at)))))
+                held += len(start)
+                if held >= OUT:
+                    yield out(parts)
+                    parts, held = [], 0
         if parts:
-            keys, uid, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if keys_only:  # a string that a row holds twice counts twice
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[:, 0], np.minimum(n, 2)))], ["h1"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(uid), pa.array(at), pa.array(n)], ["h1", "h2", "uid", "at", "n"])
+            yield out(parts)
+        if halves:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(halves))], ["h1"])
 
 
 def _remove(batches, names: list[str], length: int):
@@ -168,14 +197,16 @@ def _remove(batches, names: list[str], length: int):
             mark = np.zeros(n + 1, np.int64)
             np.add.at(mark, lo[again], 1)
             np.add.at(mark, hi[again] - 1 + length, -1)
-            if not again.all():
-                at, keys = _row_windows(text, lo[~again], hi[~again], length)
-                known = set(found[i].as_py() or ())
-                which = np.array([x in known for x in at], bool)
-                lead = {tuple(k) for k in keys[which].tolist()}
-                which = np.array([tuple(k) in lead for k in keys.tolist()], bool) if lead else which
-                np.add.at(mark, at[which], 1)
-                np.add.at(mark, at[which] + length, -1)
+            known = found[i].as_py()
+            if known:  # the strings that begin there, wherever else in the row they are
+                windows = RowWindows(text, lo[~again], hi[~again], length)
+                at, one = windows.at, windows.keys(0)
+                same = np.flatnonzero(np.isin(one, one[np.isin(at, known)]))
+                two = windows.keys(1, same)
+                lead = {*zip(one[same][np.isin(at[same], known)].tolist(), two[np.isin(at[same], known)].tolist())}
+                hit = at[same[[x in lead for x in zip(one[same].tolist(), two.tolist(), strict=True)]]]
+                np.add.at(mark, hit, 1)
+                np.add.at(mark, hit + length, -1)
             out = np.cumsum(mark)[:n] > 0
             size.append(n)
             gone.append(int(out.sum()))
@@ -207,12 +238,13 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     filled = inner.withColumn("text", F.coalesce("text", F.lit("")))
     affected, affected_path = write_table(filled.mapInArrow(lambda it: _by_affected(it, repeated, length, True), filled.schema).withColumn("uid", F.monotonically_increasing_id()), "affected")
     found, unit_path = write_table(affected.select("uid", "text").mapInArrow(lambda it: _units(it, repeated, length), "uid long, lo int, hi int, c1 long, c2 long"), "units")
-    twice = found.groupBy("c1", "c2").agg(F.count("*").alias("n")).filter("n > 1").select("c1", "c2", F.lit(True).alias("again"))
+    # as a table of its own, so that the join below may split a unit that very many rows hold
+    twice, twice_path = write_table(found.groupBy("c1", "c2").agg(F.count("*").alias("n")).filter("n > 1").select("c1", "c2", F.lit(True).alias("again")), "twice")
     drop_table(spark, phrase_path)
     runs = found.join(twice, ["c1", "c2"], "left").groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", F.coalesce("again", F.lit(False)).alias("again"))).alias("units"))
     judged, _ = write_table(affected.join(runs, "uid"), "judged")
     n_edges = judged.agg(F.sum(F.aggregate("units", F.lit(0).cast("long"), lambda s, u: s + F.when(u["again"], 0).otherwise(u["hi"] - u["lo"])))).first()[0] or 0
-    for path in (unit_path, affected_path):
+    for path in (unit_path, twice_path, affected_path):
         drop_table(spark, path)
     window = "h1 long, h2 long, uid long, at int, n long"
     slim = judged.select("uid", "text", "units")
@@ -226,6 +258,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     edges = slim.mapInArrow(lambda it: _windows(it, length, False, twofold), window)
     matches = slim.mapInArrow(lambda it: _windows(it, length, True, twofold), window)
     classes = edges.select("h1", "h2", "n").unionByName(matches.select("h1", "h2", "n")).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2")
+    classes, _ = write_table(classes, "classes")
     hits = edges.join(classes, ["h1", "h2"]).groupBy("uid").agg(F.collect_list("at").alias("found"))
     schema = with_fields(filled, **ADDED)
     cut = judged.join(hits, "uid", "left").mapInArrow(lambda it: _remove(it, plain, length), schema)
