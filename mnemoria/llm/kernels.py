@@ -89,6 +89,11 @@ class Prefix:
         one, two = (self._shifted(sums[end] - sums[start], inverse[start]) for sums, inverse in self.parts)
         return mix(mix((one << U(31)) | two) + (end - start).astype(np.uint64))
 
+    def every(self, width: int) -> np.ndarray:
+        """The hash of each ``width`` bytes, as a call gives it."""
+        one, two = (self._shifted(sums[width:] - sums[:-width], inverse[: len(sums) - width]) for sums, inverse in self.parts)
+        return mix(mix((one << U(31)) | two) + U(width))
+
     def windows(self, width: int) -> np.ndarray:
         """A hash below 2**31 - 1 of each ``width`` bytes."""
         sums, inverse = self.parts[0]

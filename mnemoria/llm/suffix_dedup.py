@@ -125,7 +125,10 @@ class RowWindows:
 
     def keys(self, lane: int, some=slice(None)) -> np.ndarray:
         at = self.at[some]
-        return K.Prefix(self.data, lane)(at, at + self.length)
+        prefix = K.Prefix(self.data, lane)
+        if 2 * len(at) > len(self.data):  # in a row, without fetching sums one by one
+            return prefix.every(self.length)[at]
+        return prefix(at, at + self.length)
 
 
 def _judged_rows(batch):
