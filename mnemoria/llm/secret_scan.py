@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import replacing, write_table
+from .common import drop_table, replacing, write_table
 
 #: A value after a key word and = or :, to the closing quote or, unquoted, to white space; the first looks back are cheap and turn most places away.
 KEY = r"(?i:passw(?:or)?d|pass[_\- ]?(?:phrase|code)|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|auth|bearer|credentials?|private[_\- ]?key|client[_\- ]?id|signature)[\w\-]{0,12}[\"'`]?[ \t]{0,3}[=:]{1,2}[ \t]{0,3}"
@@ -81,7 +81,7 @@ def _sum(a: Column) -> Column:
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """A stand-in for an organisation's own labelled findings: (left, value, right, path, label) by rule, the same each time."""
+    """A stand-in for an organisation's own labelled findings: (left, value, right, path, label, form) by rule, the same each time."""
     hexes = F.sha2(F.col("id").cast("string"), 256)
     mixed = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("m"), F.col("id")), 512))), "[=+/]", "")
     digits = F.regexp_replace(F.concat(hexes, F.md5(F.col("id").cast("string"))), "[a-f]", "")
@@ -91,8 +91,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     pseudo = F.concat(*[syllable(f"s{i}") for i in range(9)])
     spelled = F.concat(syllable("p1"), F.lit("n"), syllable("p2"), syllable("p3"))
     yes = [
-        ('token = "', F.left(hexes, F.lit(40)), '"', "src/app.py"), ("api_key: ", F.left(mixed, F.lit(32)), "", "config.yml"), ("secret='", F.left(mixed, F.lit(40)), "'", "settings.py"), ("password = ", F.left(mixed, F.lit(20)), "", "deploy/env"),
-        ("AWS_ACCESS_KEY_ID=", F.concat(F.lit("AKIA"), F.upper(F.left(mixed, F.lit(16)))), "", "infra/main.tf"), ("Authorization: Bearer ", F.left(mixed, F.lit(48)), "", "notes.txt"), ("", F.concat(F.lit("ghp_"), F.left(mixed, F.lit(36))), " ", "src/ci.sh"), ('the token = "', F.left(hexes, F.lit(32)), '" and', ""),
+        ('"access_key": "', F.left(hexes, F.lit(48)), '"', "src/app.json"), ("api_key: ", F.left(mixed, F.lit(32)), "", "config.yml"), ("secret='", F.left(mixed, F.lit(40)), "'", "settings.py"), ("password = ", F.left(mixed, F.lit(20)), "", "deploy/env"),
+        ("AWS_ACCESS_KEY_ID=", F.concat(F.lit("AKIA"), F.upper(F.left(mixed, F.lit(16)))), "", "infra/main.tf"), ("Authorization: Bearer ", F.left(mixed, F.lit(48)), "", "notes.txt"), ("", F.concat(F.lit("ghp_"), F.left(mixed, F.lit(36))), " ", "src/ci.sh"), ("client_secret=", F.left(hexes, F.lit(32)), "&grant", ""),
         # without digits, short, or with symbols
         ("app password: ", F.left(small, F.lit(16)), "", "notes.txt"), ('password = "', F.left(letters, F.lit(18)), '"', "src/app.py"), ("AWS_ACCESS_KEY_ID=", F.concat(F.lit("AKIA"), F.upper(F.left(letters, F.lit(16)))), "", "infra/main.tf"), ("key id ", F.concat(F.lit("AKIA"), F.upper(F.left(letters, F.lit(16)))), " ", ""),
         ("passphrase: ", F.concat_ws("-", word("q"), word("r"), word("s"), spelled), "", "notes.txt"), ('passphrase = "', F.concat_ws(" ", word("t"), spelled, word("u"), word("v")), '"', "config.yml"), ("password = ", F.concat(F.left(mixed, F.lit(6)), F.lit("!"), F.right(mixed, F.lit(4)), F.lit("#")), "", "deploy/env"), ("pwd: ", F.left(mixed, F.lit(10)), "", "config.yml"),
@@ -101,13 +101,13 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         ("commit ", F.left(hexes, F.lit(40)), "", "CHANGELOG"), ("sha256:", hexes, "", "yarn.lock"), ("see https://example.com/", F.left(hexes, F.lit(20)), ".html", ""), ("call ", F.concat(word("a"), F.lit("_"), word("b"), F.lit("_"), word("c"), F.lit("_2")), "(", "src/app.py"),
         ("card ", F.left(digits, F.lit(16)), " ", ""), (" ", F.left(digits, F.lit(16)), ",", ""), ("id ", F.concat_ws("-", F.left(hexes, F.lit(8)), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12)), " ", ""), ('token = "', F.concat(F.repeat(F.lit("x"), 20), F.lit("1")), '"', "docs/example.md"),
         ('password = "', F.concat(F.lit("your_"), word("d"), F.lit("_password_1")), '"', "README.md"), ("base64,", mixed, "", "index.html"), ("at ", F.concat(F.lit("usr/lib/"), word("e"), F.lit("/"), word("f"), F.lit("/v1")), ".so", ""), ("etag ", F.left(hexes, F.lit(32)), "", "log.txt"),
-        ("", F.concat(word("g"), word("h"), word("i"), F.left(digits, F.lit(2))), "@mail", ""), ("Etstioned ", F.concat(word("j"), F.lit("-"), word("k"), F.lit("-"), word("l"), F.left(digits, F.lit(4))), ".", ""),
+        ("", F.concat(word("g"), word("h"), word("i"), F.left(digits, F.lit(2))), "@mail", ""), ("we took ", F.concat(word("j"), F.lit("-"), word("k"), F.lit("-"), word("l"), F.left(digits, F.lit(4))), ".", ""),
         # without digits or short
         (" ", F.concat(word("a"), word("b"), word("c")), " ", ""), (" ", pseudo, " ", ""), (" ", F.concat_ws("-", pseudo, spelled), ",", ""), ("in ", F.concat_ws("/", F.lit("usr/lib"), word("d"), word("e"), word("f")), " ", ""), (" ", F.concat_ws("_", word("g"), word("h"), word("i"), word("j")), "(", "src/app.py"), (" ", F.concat(word("k"), F.initcap(word("l")), F.initcap(word("m")), F.initcap(word("n"))), ".", "src/app.py"),
         ('password = "', F.concat(F.lit("your_"), word("o"), F.lit("_here")), '"', "README.md"), ("password: ", word("p"), "", "config.yml"), ("token = ", F.concat(word("q"), F.lit("."), word("r"), F.lit("()")), "", "src/app.py"), ("secret: ", F.lit("None"), "", "settings.py"), ("auth: ", spelled, " ", ""), ("", F.lit("AWS_ACCESS_KEY_ID="), "", "infra/main.tf"), (" ", F.concat(F.repeat(F.lit("=-"), 9), F.lit("-")), " ", ""), ("token: ", F.concat(F.lit("<"), word("s"), F.lit("_token")), ">", "README.md"),
     ]
     every = [(x, 1.0) for x in yes] + [(x, 0.0) for x in no]
-    rows = F.array(*[F.struct(F.lit(a).alias("left"), v.alias("value"), F.lit(b).alias("right"), F.lit(p).alias("path"), F.lit(y).alias("label")) for (a, v, b, p), y in every])
+    rows = F.array(*[F.struct(F.lit(a).alias("left"), v.alias("value"), F.lit(b).alias("right"), F.lit(p).alias("path"), F.lit(y).alias("label"), F.lit(i).alias("form")) for i, ((a, v, b, p), y) in enumerate(every)])
     return spark.range(0, n, 1, 1).select(F.get(rows, F.pmod("id", F.lit(len(every))).cast("int")).alias("x")).select("x.*")
 
 
@@ -117,10 +117,15 @@ def _assembled(df: DataFrame) -> DataFrame:
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 7, max_findings: int = 200_000, seed: int = 11) -> RandomForestClassificationModel:
-    """A forest from (left, value, right, path, label: 1 secret, 0 not), of which ``max_findings`` at most are used."""
+    """A forest from (left, value, right, path, label: 1 secret, 0 not), of which about ``max_findings`` at most, by hash, are used."""
     clean = findings.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("left", "value", "right", "path")], F.col("label").cast("double").alias("label")).filter(F.col("label").isin(0.0, 1.0))
-    rows, _ = write_table(_assembled(clean.limit(max_findings)).select("__features", "label"), "findings")
-    return RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
+    n = clean.count()
+    if n > max_findings:
+        clean = clean.filter(F.pmod(F.xxhash64("left", "value", "right", "path"), F.lit(1 << 20)) < int(max_findings / n * (1 << 20)))
+    rows, path = write_table(_assembled(clean).select("__features", "label"), "findings")
+    model = RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
+    drop_table(findings.sparkSession, path)
+    return model
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, path: str | None = None, threshold: float = 0.5) -> DataFrame:
