@@ -14,12 +14,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of a local session without one.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, one of the machine's own, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="mnemoria-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _own:
+            _own["dir"] = "file://" + tempfile.mkdtemp(prefix="mnemoria-")
+        base = _own["dir"]
     return base.rstrip("/")
 
 
@@ -28,7 +35,7 @@ BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches: long texts, sets and trees make rows of many kilobytes."""
+    """Smaller Arrow batches: long texts, sets and trees make rows of many kilobytes. This setting stays, as results are lazy."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("67108864b", "64m", "67108864"):
         spark.conf.set(key, f"{BATCH_BYTES}b")
@@ -49,6 +56,12 @@ def drop_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def plain(docs: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ... but for those of ``own``, so that no name can clash, and what each was called, in order."""
+    names = {c if c in own else f"c{i}": c for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names), names
+
+
 def replacing(docs: DataFrame, *names: str) -> DataFrame:
     """``docs`` without columns that an operator is about to add (an input column of that name gives way)."""
     taken = {n.lower() for n in names}

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import replacing, with_fields, write_table
+from .common import drop_table, plain, replacing, with_fields, write_table
 
 HASHES = "h1 long, h2 long"
 STRIPPED = bytes([32, 9, 10, 11, 12, 13])
@@ -115,7 +115,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
 
     A line's key is the line without white space at both ends, A-Z lower-cased;
     keys shorter than ``min_chars`` code points stay. Each row counts as a
-    document, so repeated rows count again. Null and empty texts have one empty
+    document, so rows that repeat a text or a doc_id count again; a line counts
+    once in a row. Texts of any length are taken whole. Null and empty texts have one empty
     line; null stays null. An empty table gives an empty one. Input columns
     named n_lines or n_dropped are replaced. ``broadcast_limit`` dropped keys
     (16 bytes each) are sent to every executor at most; more are joined by a
@@ -123,10 +124,11 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     """
     docs = replacing(docs, "n_lines", "n_dropped")
     spark = docs.sparkSession
-    found, _ = write_table(common_lines(docs, min_docs, min_chars).select("h1", "h2"), "lines")
+    found, path = write_table(common_lines(docs, min_docs, min_chars).select("h1", "h2"), "lines")
     schema = with_fields(docs, n_lines="long", n_dropped="long")
     if found.count() <= broadcast_limit:
         rows = found.toPandas()
+        drop_table(spark, path)
         keys = rows[["h1", "h2"]].to_numpy(np.int64).reshape(-1, 2)
         keys = keys[np.argsort(keys[:, 0], kind="stable")]
         return docs.mapInArrow(Without(spark.sparkContext.broadcast(keys), min_chars), schema)
@@ -142,15 +144,30 @@ def _split_rows(batches, min_chars: int):
             row = np.repeat(rowid[lo:hi], n)
             pos = np.arange(len(row)) - np.repeat(first[:-1], n)
             ok = size >= min_chars
-            yield pa.RecordBatch.from_arrays([pa.array(row[ok]), pa.array(pos[ok]), pa.array(keys[ok, 0]), pa.array(keys[ok, 1])], ["rowid", "pos", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(row[ok]), pa.array(pos[ok]), pa.array(keys[ok, 0]), pa.array(keys[ok, 1])], ["__row", "pos", "h1", "h2"])
+
+
+def _without_positions(batches, names: list[str]):
+    """Texts again, without the lines at the given positions."""
+    for batch in batches:
+        at = batch.schema.get_field_index
+        text, gone = batch.column(at("text")), batch.column(at("__gone"))
+        texts, n_lines, n_dropped = [], [], []
+        for one, lost in zip(text.to_pylist(), gone.to_pylist(), strict=True):
+            lines = (one or "").split("\n")
+            lost = set(lost or ())
+            texts.append("\n".join(x for i, x in enumerate(lines) if i not in lost) if lost else one)
+            n_lines.append(len(lines))
+            n_dropped.append(len(lost))
+        columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(at(n)) for n in names]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
 
 def _by_shuffle(docs: DataFrame, found: DataFrame, min_chars: int) -> DataFrame:
     """The way for more dropped keys than may be broadcast: positions travel, and each text once."""
-    kept, _ = write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "lines-rows")
-    lines = kept.select("__row", "text").mapInArrow(lambda it: _split_rows(it, min_chars), "rowid long, pos long, " + HASHES)
-    gone = lines.join(found, ["h1", "h2"], "left_semi").groupBy("rowid").agg(F.collect_set("pos").alias("gone"))
-    both = kept.join(gone, kept["__row"] == gone["rowid"], "left").drop("rowid")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i.cast("long"))), "\n")
-    return both.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)})
+    inner, names = plain(docs, "text")
+    kept, _ = write_table(inner.withColumn("__row", F.monotonically_increasing_id()), "lines-rows")
+    lines = kept.select("__row", "text").mapInArrow(lambda it: _split_rows(it, min_chars), "__row long, pos long, " + HASHES)
+    gone = lines.join(found, ["h1", "h2"], "left_semi").groupBy("__row").agg(F.collect_list("pos").alias("__gone"))
+    out = kept.join(gone, "__row", "left").mapInArrow(lambda it: _without_positions(it, list(names)), with_fields(inner, n_lines="long", n_dropped="long"))
+    return out.toDF(*names.values(), "n_lines", "n_dropped")

@@ -24,8 +24,8 @@ from . import tokens
 from .common import replacing, write_table
 
 WINDOW = 1024
-#: Ranks are counted in so many runs first, so that no length is a single task.
-RUNS = 1024
+#: Ranks are counted in so many runs first, so that no length is a single task; more, with the rows, up to the second number.
+RUNS, MOST_RUNS = 1024, 4096
 PIECE = (("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"))
 
 
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, ke
     0; a null or empty text has that id alone. Each row is a document, repeated
     rows too; an empty table gives an empty one; input columns with the added
     names give way. The driver holds the histogram of lengths, and counts by
-    (length, run): window * RUNS numbers at most.
+    (length, run): window * MOST_RUNS numbers at most.
     """
     names = [n for n, _ in PIECE] + ["ids"]
     docs = replacing(docs, *names)
@@ -155,10 +155,12 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, ke
     coded = inner.mapInArrow(lambda it: _encode(it, path, window, keep_ids), schema)
     coded, _ = write_table(coded, "tokens")
     one_each = coded.filter("pos = 0").select("uid", "n_ids") if keep_ids else coded
-    slim = one_each.select("uid", F.pmod("uid", F.lit(RUNS)).cast("int").alias("run"), F.pmod("n_ids", F.lit(window)).cast("int").alias("rest"), F.floor(F.col("n_ids") / window).cast("long").alias("full"))
+    runs = min(MOST_RUNS, max(RUNS, one_each.count() // 1_000_000))
+    run_of = F.pmod(F.xxhash64("uid"), F.lit(runs)).cast("int")
+    slim = one_each.select("uid", run_of.alias("run"), F.pmod("n_ids", F.lit(window)).cast("int").alias("rest"), F.floor(F.col("n_ids") / window).cast("long").alias("full"))
     counted = slim.groupBy("run", "rest").agg(F.count("*").alias("n"), F.sum("full").alias("full")).toPandas()
-    by_rest = np.zeros((RUNS, window), np.int64)
-    by_full = np.zeros(RUNS, np.int64)
+    by_rest = np.zeros((runs, window), np.int64)
+    by_full = np.zeros(runs, np.int64)
     run = counted["run"].to_numpy(np.int64)
     np.add.at(by_rest, (run, counted["rest"].to_numpy(np.int64)), counted["n"].to_numpy(np.int64))
     np.add.at(by_full, run, counted["full"].to_numpy(np.int64))
@@ -167,7 +169,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, ke
     shared = docs.sparkSession.sparkContext.broadcast((rows, sequences, np.cumsum(by_rest, 0) - by_rest, np.cumsum(by_full) - by_full, window))
     by_run = Window.partitionBy("run").orderBy("uid")
     rest = one_each.withColumns({
-        "run": F.pmod("uid", F.lit(RUNS)).cast("int"), "rest": F.pmod("n_ids", F.lit(window)).cast("int"), "full": F.floor(F.col("n_ids") / window).cast("long")})
+        "run": run_of, "rest": F.pmod("n_ids", F.lit(window)).cast("int"), "full": F.floor(F.col("n_ids") / window).cast("long")})
     rest = rest.withColumns({
         "before": F.coalesce(F.sum("full").over(by_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "rank": (F.row_number().over(Window.partitionBy("run", "rest").orderBy("uid")) - 1).cast("long")})

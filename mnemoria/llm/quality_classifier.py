@@ -102,15 +102,15 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)).cast("int")
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = 200_000, n_features: int = 256, ridge: float = 1e-3, parts: int = 32) -> Model:
+def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = 200_000, n_features: int = 256, ridge: float = 1e-3) -> Model:
     """Learns labels.quality from the labelled rows outside fold 0; of those, about ``max_labelled`` at most, by hash."""
-    model = Model(n_features)
+    model, spark = Model(n_features), stats.sparkSession
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").cast("double").alias("__label"))
     n = known.count()
     if n > max_labelled:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_labelled / n * (1 << 20)))
     rows = stats.join(known, "doc_id").select("__label", fold(F.col("doc_id")).alias("__fold"), *docstats.NAMES)
-    rows, _ = write_table(rows.coalesce(parts), "quality-train")
+    rows, path = write_table(rows, "quality-train")
     train, calibrate = rows.filter("__fold <> 1"), rows.filter("__fold = 1")
 
     def moments(batch):
@@ -119,6 +119,7 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = 200_000, n_feat
 
     sums = _summed(train, moments)
     if not sums.size:
+        drop_table(spark, path)
         return model
     count = sums[2, 0]
     model.mean = sums[0] / count
@@ -147,6 +148,7 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = 200_000, n_feat
         model.y = pool(held[0][some], held[1][some])
     else:
         model.x, model.y = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    drop_table(spark, path)
     return model
 
 
@@ -177,7 +179,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fitting) -> DataFrame:
-    """The rows of ``docs`` that :func:`score_documents` predicts 1, in their own columns; texts aren't shuffled."""
+    """The rows of ``docs`` that :func:`score_documents` predicts 1, in their own columns; texts aren't shuffled.
+
+    Null and empty texts are judged by their zero counts, texts of any length
+    by all of theirs; repeated rows stay or go together; without usable labels
+    every row stays at a threshold up to a half; an empty table gives an empty
+    one; any column names will do, as only doc_id and text are read.
+    """
     stats, path = write_table(docstats.with_stats(docs.select("doc_id", "text")), "classifier-stats")
     shared = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, **fitting))
     drop_table(docs.sparkSession, path)

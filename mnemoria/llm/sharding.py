@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import replacing
+from .common import plain, replacing
 
 #: Rows of a slot are numbered in so many independent runs, so that a hot slot is no single task.
 RUNS = 64
@@ -100,21 +100,22 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> dict
 def assign_shards(docs: DataFrame, n_shards: int = 8, n_slots: int = 4096, mapping: dict[int, int] | None = None) -> DataFrame:
     """``docs`` plus size, text_crc32, virtual_slot, shard and slot, a row's place in its shard, gapless from 0.
 
-    Without ``mapping`` one is fitted to the slots' bytes. Null texts have size
+    Texts of any length are hashed whole. Without ``mapping`` one is fitted to the slots' bytes. Null texts have size
     1 and share a slot with empty ones; repeated rows each get a place; an
     empty table gives an empty one; input columns with these names are
     replaced. Places are numbered by (slot, run) first, from a table of at most
     n_slots * RUNS counts, so that no task holds a whole shard or hot slot.
     """
     spark = docs.sparkSession
-    slotted = with_slots(replacing(docs, *ADDED), n_slots)
+    inner, names = plain(replacing(docs, *ADDED), "doc_id", "text")
+    slotted = with_slots(inner, n_slots)
     if mapping is None:
         mapping = fit_map(slot_bytes(slotted), n_shards, n_slots)
     shards = F.broadcast(map_table(spark, mapping, {}, 0).select("virtual_slot", "shard"))  # n_slots rows
     counts = slotted.groupBy("virtual_slot", "run").agg(F.count("*").alias("n")).join(shards, "virtual_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot", "run").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("virtual_slot", "run", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("virtual_slot", "run").orderBy("doc_id")) - 1
+    place = F.row_number().over(Window.partitionBy("virtual_slot", "run").orderBy("doc_id", "text_crc32", F.xxhash64("text"))) - 1
     placed = slotted.withColumn("place", place)
     out = placed.join(F.broadcast(base), ["virtual_slot", "run"])  # n_slots * RUNS rows at most
-    return out.select(*[c for c in slotted.columns if c != "run"], "shard", (F.col("base") + F.col("place")).cast("long").alias("slot"))
+    return out.select(*[F.col(c).alias(n) for c, n in names.items()], "size", "text_crc32", "virtual_slot", "shard", (F.col("base") + F.col("place")).cast("long").alias("slot"))

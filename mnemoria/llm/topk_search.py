@@ -195,7 +195,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
             if d in pilots:
                 start.add(pilots[d])
             packed[d] = (q, ids, start.score[:, -1].copy())
-        out.append(shards.mapInArrow(_Task(spark.sparkContext.broadcast(packed), k), "dim int, q int, query_id long, vec_id long, score long").withColumn("block", F.lit(i)))
+        sent = spark.sparkContext.broadcast(packed)
+        hits = shards.mapInArrow(_Task(sent, k), "dim int, q int, query_id long, vec_id long, score long").withColumn("block", F.lit(i))
+        if blocks > 1:  # one after the other, so that the driver and the executors hold one block
+            hits, _ = write_table(hits, "hits")
+            sent.destroy()
+        out.append(hits)
     found = reduce(DataFrame.unionAll, out)
     rank = F.row_number().over(Window.partitionBy("block", "dim", "q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
