@@ -1,7 +1,11 @@
 """Documents to training sequences: quality classifier, line dedup, near-duplicate join, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
-kept. All but the last return the columns of ``documents``.
+kept. All but the last return the columns of ``documents``. In every stage null
+and empty texts and null ids are documents like others (none is a near copy of
+another; they pack as a closing id alone), repeated rows are treated alike,
+texts of any length are taken whole, an empty table gives an empty one, and
+only doc_id, text and n_chars are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoria.llm import line_dedup, mixing, ngram_join, packing, quality_classifier
-from mnemoria.llm.common import read_table, write_table
+from mnemoria.llm.common import drop_table, read_table, write_table
 
 #: Shares of tokens, among documents that the earlier stages kept.
 TARGETS = {"clean": 0.97, "toxic": 0.03}
@@ -57,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's table goes when the next one's is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = write_table(stage(spark, docs, sf_dir), name)
+        docs, path = write_table(stage(spark, docs, sf_dir), name)
+        if before:
+            drop_table(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
