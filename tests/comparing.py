@@ -2,9 +2,11 @@
 
 import numbers
 
+import pandas as pd
+
 
 def shown(v) -> str:
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v:
         return ""
     if isinstance(v, bool) or not isinstance(v, numbers.Real):
         return str(v)
