@@ -11,6 +11,7 @@ collide under every odd base.)
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 17
+try:
+    _libc = ctypes.CDLL(None)
+    _libc.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):
+    _libc = None
 U = np.uint64
 PRIME = U((1 << 31) - 1)
 _rng = np.random.default_rng(20240229)
@@ -100,6 +106,13 @@ class Prefix:
         return self._shifted(sums[width:] - sums[:-width], inverse[: len(sums) - width])
 
 
+def give_back() -> None:
+    """Returns free memory to the system: workers are used again, and would keep what the largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets in them) over a string column; null counts as empty.
 
@@ -124,6 +137,8 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         hi = min(hi, n)
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
+    if at[n] - at[0] > SLICE_BYTES:
+        give_back()
 
 
 def row_starts(n: int, offsets: np.ndarray) -> np.ndarray:

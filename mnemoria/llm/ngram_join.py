@@ -40,7 +40,9 @@ GROUP, ASKED = 128, 512
 #: DivideSkip's weight of a probe: of L lists, the T / (MU * log2(longest) + 1) longest are probed.
 MU = 0.01
 LANE2 = K.U(0xA0761D6478BD642F)
-FREQUENT_WINDOW = 3_000_000
+FREQUENT_WINDOW = 1_000_000
+#: Shingles of the records that are held at a time, at most.
+HELD = 1 << 18
 
 
 def row_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -205,14 +207,14 @@ def _groups(batches, at_a_time: int):
     Each two rows of which one asks meet once at least: those that ask come
     first and ask to the end. A query or record is (node, component, n, ...).
     """
-    key, asked, held, last = None, [], [], None
+    key, asked, held, last, size = None, [], [], None, 0
     for batch in batches:
         raw = [_values(batch.column(c)) for c in range(6, batch.num_columns)]
         for i, (g, salt, role, node, component, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
-            if (g, salt) != key or len(held) >= at_a_time:
+            if (g, salt) != key or len(held) >= at_a_time or size >= HELD:
                 if asked and held:
                     yield key, asked, held
-                held = []
+                held, size = [], 0
             if (g, salt) != key:
                 key, asked, last = (g, salt), [], None
             if node == last:  # a set that two partitions have sent
@@ -220,10 +222,12 @@ def _groups(batches, at_a_time: int):
             last = node
             row = (node, component, n, *(own(i) for own in raw))
             held.append(row)
+            size += len(row[3])
             if not role:
                 asked.append(row)
     if asked and held:
         yield key, asked, held
+    K.give_back()
 
 
 def _values(column):
