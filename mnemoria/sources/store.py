@@ -13,8 +13,12 @@ from pyspark.sql.functions import pandas_udf
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one (``spark.checkpoint.dir``), or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="mnemoria-")
+    """A new folder below the shared one (``spark.checkpoint.dir``); where none is set, a temporary one, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="mnemoria-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
