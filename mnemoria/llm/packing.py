@@ -87,8 +87,8 @@ def places(patterns: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, int]
     return np.array(sorted(rows), np.int64).reshape(-1, 5), sequence
 
 
-def _encode(batches, path: str, window: int, keep_ids: bool):
-    """Adds n_ids (with the closing id 0), each piece's CRC, and the ids."""
+def _encode(batches, path: str, window: int, keep_ids: str):
+    """Adds n_ids (with the closing id 0), each piece's CRC, and, where ``keep_ids`` names a NumPy type, the ids as bytes."""
     for batch in batches:
         where = batch.schema.get_field_index("text")
         others = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if i != where]
@@ -98,21 +98,36 @@ def _encode(batches, path: str, window: int, keep_ids: bool):
                 ids = np.append(ids, np.uint32(0)).astype("<u4")
                 size.append(len(ids))
                 crcs.append([zlib.crc32(ids[i : i + window].tobytes()) for i in range(0, len(ids), window)])
-                kept += [ids[i : i + window] for i in range(0, len(ids), window)] if keep_ids else []
+                if keep_ids:
+                    narrow = ids.astype(keep_ids)
+                    kept += [narrow[i : i + window].tobytes() for i in range(0, len(ids), window)]
             if keep_ids:  # a row for each piece, so that no row is long
                 n = np.array(list(map(len, crcs)), np.int64)
                 row = np.repeat(np.arange(hi - lo), n)
                 pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                ends = np.append(0, np.cumsum(list(map(len, kept)))).astype(np.int32)
                 columns = [(m, c.slice(lo, hi - lo).take(pa.array(row))) for m, c in others]
                 columns += [("n_ids", pa.array(np.array(size, np.int64)[row])), ("pos", pa.array(pos)), ("crc", pa.array([x for c in crcs for x in c], pa.int64()))]
-                columns.append(("ids", pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).astype(np.int32)))))
+                columns.append(("ids", pa.array(kept, pa.binary())))
             else:
                 columns = [(n, c.slice(lo, hi - lo)) for n, c in others]
                 columns += [("n_ids", pa.array(size, pa.int64())), ("crcs", pa.array(crcs, pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([c for _, c in columns], [n for n, _ in columns])
 
 
+def _widen(batches, kind: str):
+    """Ids from bytes to numbers, after they have travelled."""
+    tokens.forget()
+    width = np.dtype(kind).itemsize
+    for batch in batches:
+        where = batch.schema.get_field_index("ids")
+        column = batch.column(where)
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+        ids = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind).astype(np.int32) if len(column) else np.zeros(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array((at - at[0]) // width, pa.int32()), pa.array(ids))
+        yield pa.RecordBatch.from_arrays([lists if i == where else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+
 class Place:
     """Gives each document's remainder its sequence and offset, and its full pieces their first sequence."""
 
@@ -143,7 +158,8 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, ke
     0; a null or empty text has that id alone. Each row is a document, repeated
     rows too; an empty table gives an empty one; input columns with the added
     names give way. The driver holds the histogram of lengths, and counts by
-    (length, run): window * MOST_RUNS numbers at most.
+    (length, run): window * MOST_RUNS numbers at most. Ids are written and
+    shuffled as bytes, two an id where the vocabulary allows it.
     """
     names = [n for n, _ in PIECE] + ["ids"]
     docs = replacing(docs, *names)
@@ -151,8 +167,9 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, ke
     inner = docs.select("text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.monotonically_increasing_id().alias("uid"))
     path = tokenizer or tokens.default_path()
     others = [f for f in inner.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "n_ids long, pos long, crc long, ids array<int>" if keep_ids else "n_ids long, crcs array<long>"])
-    coded = inner.mapInArrow(lambda it: _encode(it, path, window, keep_ids), schema)
+    kind = tokens.id_type(path) if keep_ids else ""
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "n_ids long, pos long, crc long, ids binary" if keep_ids else "n_ids long, crcs array<long>"])
+    coded = inner.mapInArrow(lambda it: _encode(it, path, window, kind), schema)
     coded, _ = write_table(coded, "tokens")
     one_each = coded.filter("pos = 0").select("uid", "n_ids") if keep_ids else coded
     runs = min(MOST_RUNS, max(RUNS, one_each.count() // 1_000_000))
@@ -182,7 +199,10 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, ke
         at, crc = F.col("piece.pos"), F.col("piece.crc")
     last = at == F.col("full")
     length = F.when(last, F.col("rest")).otherwise(window).cast("long")
-    return out.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], (at * window).alias("start"), length.alias("length"), crc.alias("ids_crc32"), F.col("n_ids").alias("doc_tokens"),
+    out = out.select(
+        *[f"c{i}" for i in range(len(kept))], (at * window).alias("start"), length.alias("length"), crc.alias("ids_crc32"), F.col("n_ids").alias("doc_tokens"),
         F.when(last, F.col("seq")).otherwise(F.col("full_seq") + at).alias("sequence_id"), F.when(last, F.col("off")).otherwise(0).cast("long").alias("offset"),
         *[F.col("ids")] * keep_ids)
+    if keep_ids:
+        out = out.mapInArrow(lambda it: _widen(it, kind), ", ".join(f"{f.name} {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in out.schema.fields))
+    return out.toDF(*kept, *out.columns[len(kept):])

@@ -114,6 +114,21 @@ def pieces_of(path: str) -> Pieces:
     return _state["pieces", path]
 
 
+def id_type(path: str) -> str:
+    """The narrowest NumPy type that holds all ids of a vocabulary (and 0)."""
+    from tokenizers import Tokenizer
+
+    most = max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def forget() -> None:
+    """Drops the pieces met so far: workers are used again, for steps that need no tokens."""
+    if _state:
+        _state.clear()
+        K.give_back()
+
+
 def slice_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.ndarray]:
     """The ids of each row's text."""
     cache, rows = pieces_of(path), len(offsets) - 1
