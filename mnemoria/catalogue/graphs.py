@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import graph as G
 from ..sources import tables as T
-from .registry import ORACLES, query, whole
+from .registry import ORACLES, QUERIES, query, whole
 
 GRAPH = T.GRAPH_SQL
 SOME = " WHERE o_orderkey % 10 = 1"
@@ -130,8 +130,5 @@ for _f in (graph_score, bfs_hops, graph_stats, active_relations):
     whole(_f, SOME, T.whole_graph)
 whole(entity_upsert, " WHERE o_orderkey <= 4000", "true")
 whole(relation_merge, " WHERE l_orderkey <= 2000", "true")
-
-
-@query(ORACLES["one_hop_neighbors"].replace(SOME, "").replace(" WHERE n_nationkey < 6", ""))
-def one_hop_neighbors_whole(spark, sf):
-    return one_hop_neighbors(spark, sf, T.whole_graph, "true")
+QUERIES["one_hop_neighbors"] = lambda spark, sf: one_hop_neighbors(spark, sf, T.whole_graph, "true")
+ORACLES["one_hop_neighbors"] = ORACLES["one_hop_neighbors"].replace(SOME, "").replace(" WHERE n_nationkey < 6", "")

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import episodes, lifecycle, pack, topk
 from ..sources import tables as T
 from ..streaming import ingest
-from .registry import query, whole
+from .registry import literal, query, whole
 
 FACTS, MEMORIES = T.FACTS_SQL, T.MEMORIES_SQL
 HOURS = "(epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch({c})) / 3600e0"
@@ -98,11 +98,13 @@ def insert_normalize(spark, sf):
     return lifecycle.insert_rules(spark.createDataFrame(RAW, "id int, fact_text string, atomic_text string, category string, importance double"))
 
 
-@query()
-def insert_normalize_whole(spark, sf):
+def normalized_facts(spark, sf):
     return lifecycle.insert_rules(T.facts(spark, sf).select("id", "fact_text", "atomic_text", "category", "importance"))
 
 
+literal(insert_normalize, normalized_facts)
+
+
 @query(f"WITH {FACTS} SELECT id, id % 7 = 0 AS is_obsolete, CASE WHEN id % 7 = 0 THEN id + 1 END AS superseded_by FROM facts")
 def supersede_chain(spark, sf):
     f = T.facts(spark, sf).select("id")

@@ -1,4 +1,4 @@
-"""Extraction and query analysis: on literal English rows with SQL, and (``*_whole``) on all documents, turns and queries."""
+"""Extraction and query analysis on all documents, turns and queries; tests compare literal English rows with SQL."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions import wordlists as W
 from ..operators import extract as E
 from ..sources import tables as T
-from .registry import query
+from .registry import literal, query
 
 LINES = [
     (1, "Maria Lopez works at Acme and lives in Lisbon."), (2, "John is Mary's husband."), (3, "Dr. Alan Grant met Ellie Sattler in Montana."), (4, "Peter joined Initech last year and moved to New York yesterday."),
@@ -48,8 +48,7 @@ def whole(f, rows):
     def run(spark, sf):
         return f(spark, sf, rows)
 
-    run.__name__ = f"{f.__name__}_whole"
-    query()(run)
+    literal(f, run)
 
 
 FIXED = [("today", "2024-02-01"), ("yesterday", "2024-01-31"), ("tomorrow", "2024-02-02"), ("last week", "the week of 2024-01-25"), ("this week", "the week of 2024-02-01"), ("next week", "the week of 2024-02-08"), ("last month", "January 2024"), ("this month", "February 2024"), ("next month", "March 2024"), ("last year", "2023"), ("this year", "2024"), ("next year", "2025"), ("3 days ago", "2024-01-29"), ("2 weeks ago", "2024-01-18"), ("in 2 weeks", "by 2024-02-15"), ("in 3 days", "by 2024-02-04"), ("this morning", "on 2024-02-01 morning"), ("tonight", "on 2024-02-01 evening"), ("last night", "on 2024-01-31 evening"), ("recently", "around 2024-02-01")]

@@ -13,7 +13,7 @@ from mnemoria.sources import tables as T
 
 @pytest.mark.parametrize("name,table", [("temporal_anchor", "documents"), ("metadata_flags", "documents"), ("truncate_tokens", "documents"), ("complexity_breakdown", "benchmark"), ("dynamic_k", "benchmark"), ("query_class", "benchmark"), ("rerank_features", "documents"), ("repeated_word_test", "documents"), ("parse_decisions", "documents")])
 def test_texts_cover_tables(spark, data, name, table):
-    assert QUERIES[f"{name}_whole"](spark, data).count() == spark.read.parquet(f"{data}/{table}.parquet").count()
+    assert QUERIES[f"{name}"](spark, data).count() == spark.read.parquet(f"{data}/{table}.parquet").count()
 
 
 def test_texts_without_sql_cover_tables(spark, data):
@@ -22,10 +22,10 @@ def test_texts_without_sql_cover_tables(spark, data):
     assert QUERIES["coref_replace"](spark, data).count() == turns.count()
     named = {r["id"] for r in QUERIES["capitalised_entities"](spark, data).collect()}
     assert named <= {r["doc_id"] for r in docs.collect()} and len(named) > 10
-    facts = QUERIES["parse_fact_lines_whole"](spark, data)
+    facts = QUERIES["parse_fact_lines"](spark, data)
     assert facts.count() == sum(1 for r in turns.collect() if re.sub(r"\s+", " ", r["text"] or "", flags=re.A).strip(" "))
-    assert QUERIES["insert_normalize_whole"](spark, data).count() == docs.filter(F.trim("text") != "").count()
-    assert all(QUERIES[f"{n}_whole"](spark, data).count() >= 0 for n in ("relation_regex", "entity_regex", "parse_entity_lines", "parse_relation_lines"))
+    assert QUERIES["insert_normalize"](spark, data).count() == docs.filter(F.trim("text") != "").count()
+    assert all(QUERIES[f"{n}"](spark, data).count() >= 0 for n in ("relation_regex", "entity_regex", "parse_entity_lines", "parse_relation_lines"))
 
 
 def test_near_dup_drop_is_whole(spark):
@@ -61,7 +61,7 @@ def test_selections_pass_the_old_bounds(spark, data, tmp_path):
     docs.unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
     new = {r["doc_id"] for r in more.collect()}
     assert new <= {r["id"] for r in QUERIES["near_dup_drop"](spark, str(tmp_path)).collect()}
-    assert {r["id"] for r in QUERIES["greedy_skip_pack_whole"](spark, str(tmp_path)).collect()} & new
+    assert {r["id"] for r in QUERIES["greedy_skip_pack"](spark, str(tmp_path)).collect()} & new
     kept = {r["source"] for r in QUERIES["chunk_merge"](spark, str(tmp_path)).collect()}
     assert {str(s) for s in kept} & {str(i) for i in new}
 
@@ -69,7 +69,7 @@ def test_selections_pass_the_old_bounds(spark, data, tmp_path):
 def test_graph_is_whole(spark, data):
     orders, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("orders", "lineitem"))
     bought = {tuple(r) for r in orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct().collect()}
-    assert {r["kind"]: r["n"] for r in QUERIES["graph_stats_whole"](spark, data).collect()}["knows"] == len(bought)
+    assert {r["kind"]: r["n"] for r in QUERIES["graph_stats"](spark, data).collect()}["knows"] == len(bought)
     _, relations = T.whole_graph(spark, data)
     out = {}
     for r in relations.collect():
