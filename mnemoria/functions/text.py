@@ -115,6 +115,15 @@ def short_hash(text: Column) -> Column:
     return F.left(F.sha2(text, 256), F.lit(32))
 
 
+def summary_key(text: Column) -> Column:
+    return F.sha1(text)
+
+
+def request_key(text: Column, *images: Column) -> Column:
+    """Of a text together with its images."""
+    return F.sha2(F.concat(text, *images), 256)
+
+
 def tokens_ceil_bytes(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long")
 

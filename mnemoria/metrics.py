@@ -47,3 +47,8 @@ def summary(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 def positive_only(rows: DataFrame, group: str = "operation", value: str = "duration_us") -> DataFrame:
     return upper(rows.filter(F.col(value) > 0), group, value)
+
+
+def hit_rate(hits, misses):
+    """Hits over all; 0 if there were none."""
+    return F.when(hits + misses > 0, hits / (hits + misses)).otherwise(F.lit(0.0))

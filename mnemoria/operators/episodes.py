@@ -12,6 +12,15 @@ def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap: str
     return s.drop("w")
 
 
+def by_id(rows: DataFrame, key: str, ts: str = "created_at") -> DataFrame:
+    """(key, started_at, ended_at, n): a session for each id that the caller gives."""
+    return rows.groupBy(key).agg(F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"), F.count("*").alias("n"))
+
+
+def newest(episodes: DataFrame, key: str, n: int = 10) -> DataFrame:
+    return episodes.orderBy(F.desc("started_at"), F.desc(key)).limit(n)
+
+
 def entity_mentions(mentions: DataFrame) -> DataFrame:
     """(episode_id, entity, n)."""
     return mentions.groupBy("episode_id", "entity").agg(F.count("*").alias("n"))

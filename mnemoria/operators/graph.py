@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scoring as R
 from ..functions import text as X
 
 
@@ -15,6 +16,12 @@ def upsert_entities(mentions: DataFrame) -> DataFrame:
     return named.groupBy("normalized_name").agg(F.min_by("name", "seq").alias("name"), F.min_by("entity_type", "seq").alias("entity_type"), F.count("*").alias("mention_count"), F.collect_set("fact_id").alias("fact_ids"))
 
 
+def upsert_entities_by_type(mentions: DataFrame) -> DataFrame:
+    """As above, but one name of two types is two entities, and facts are not kept."""
+    named = mentions.withColumn("normalized_name", X.normalize_name(F.col("name")))
+    return named.groupBy("normalized_name", "entity_type").agg(F.min_by("name", "seq").alias("name"), F.count("*").alias("mention_count"))
+
+
 def merge_relations(edges: DataFrame) -> DataFrame:
     """Active edges by (source, target, type): greatest confidence, first fact. ``edges``: seq and those."""
     return edges.groupBy("source", "target", "relation_type").agg(F.max("confidence").alias("confidence"), F.min_by("fact_id", "seq").alias("fact_id"))
@@ -25,6 +32,13 @@ def latest_relations(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target", "relation_type").agg(F.max("confidence").alias("confidence"), F.max_by("fact_id", "seq").alias("fact_id"))
 
 
+def mark_obsolete(relations: DataFrame, gone: DataFrame) -> DataFrame:
+    """Relations with is_obsolete, true for those whose (source, target, relation_type) is in ``gone``."""
+    key = ["source", "target", "relation_type"]
+    flags = gone.select(*key).distinct().withColumn("is_obsolete", F.lit(True))
+    return relations.drop("is_obsolete").join(flags, key, "left").fillna(False, ["is_obsolete"])
+
+
 def neighbors(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """One hop in both directions from ``nodes`` (entity), as two equi-joins; a self-loop counts once, as outgoing."""
     out = relations.join(nodes, F.col("source") == F.col("entity")).select("entity", F.col("target").alias("neighbor"), "relation_type", "confidence", F.lit("outgoing").alias("direction"))
@@ -75,6 +89,13 @@ def bfs_hops(relations: DataFrame, start: DataFrame, hops: int = 5) -> DataFrame
     return seen
 
 
+def path_boosts(relations: DataFrame, entity_facts: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
+    """(fact_id, hops, boost): facts of entities around ``start`` in either direction, by the fewest edges to one of theirs."""
+    both = relations.select("source", "target").unionByName(relations.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    near = bfs_hops(both, start, hops).join(entity_facts, "entity").groupBy("fact_id").agg(F.min("hops").alias("hops"))
+    return near.withColumn("boost", R.path_boost(F.col("hops")))
+
+
 def bfs_paths(relations: DataFrame, start: DataFrame, hops: int = 3) -> DataFrame:
     """(path, hops, confidence) along outgoing edges with a visited set for all: a node belongs to its best first path.
 

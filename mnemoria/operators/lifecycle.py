@@ -104,3 +104,42 @@ def recent(rows: DataFrame, n: int, by: str = "created_at") -> DataFrame:
 
 def last_per_group(rows: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
     return rows.withColumn("back", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("back") <= n)
+
+
+def summary_state(facts: DataFrame, summaries: DataFrame, covered: DataFrame, now: Column, refresh_hours: float = 1.0, least: int = 3) -> DataFrame:
+    """One row: the newest summary and what it calls for. ``summaries``: id, summary, updated_at; ``covered``: fact_id, what that summary has read.
+
+    Dirty: an active fact is not covered. Needed from ``least`` active facts
+    on. Stale beyond twice the refresh interval, or with no summary (its text
+    is then empty). Incremental: some facts are new, and fewer than half.
+    """
+    last = summaries.agg(F.max_by("summary", F.struct("updated_at", "id")).alias("summary"), F.max("updated_at").alias("updated_at"))
+    seen = covered.select(F.col("fact_id").alias("id")).distinct().withColumn("seen", F.lit(True))
+    counts = facts.filter("not is_obsolete").join(seen, "id", "left").agg(F.count("*").alias("n_active"), F.count_if(F.col("seen").isNull()).alias("n_pending"))
+    stale = F.col("updated_at").isNull() | (R.hours_between(now, F.col("updated_at")) > 2 * refresh_hours)
+    some = (F.col("n_pending") > 0) & (F.col("n_pending") * 2 < F.col("n_active"))
+    return counts.crossJoin(F.broadcast(last)).select(
+        F.coalesce("summary", F.lit("")).alias("summary"), "n_active", "n_pending", (F.col("n_pending") > 0).alias("dirty"),
+        (F.col("n_active") >= least).alias("needed"), stale.alias("stale"), (F.col("updated_at").isNotNull() & some).alias("incremental"))
+
+
+def prune_compressed(memories: DataFrame, keep: int) -> DataFrame:
+    """Of the compressed memories the newest ``keep`` stay; the others all do."""
+    return memories.filter(~F.col("compressed")).unionByName(recent(memories.filter("compressed"), keep))
+
+
+def in_categories(rows: DataFrame, categories: list[str]) -> DataFrame:
+    """Rows of these categories; an empty list keeps all."""
+    return rows.filter(F.col("category").isin(categories)) if categories else rows
+
+
+def merged_text(reply: Column, new: Column) -> Column:
+    """A model's merged text of two facts; a blank one gives way to the new fact's."""
+    return F.coalesce(F.nullif(F.trim(reply), F.lit("")), new)
+
+
+def with_fallback(found: DataFrame, queries: DataFrame, facts: DataFrame, n: int) -> DataFrame:
+    """(query_id, id, fallback): what was found, and the ``n`` newest facts for each query that found nothing."""
+    empty = queries.select("query_id").distinct().join(found.select("query_id"), "query_id", "left_anti")
+    newest = F.broadcast(recent(facts, n).select("id"))
+    return found.select("query_id", "id", F.lit(False).alias("fallback")).unionByName(empty.crossJoin(newest).withColumn("fallback", F.lit(True)))
