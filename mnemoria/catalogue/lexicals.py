@@ -107,8 +107,8 @@ def keyword_topn_per_doc(spark, sf):
 
 @query(f"WITH d AS (SELECT unnest({TOKENS.format(c='text')}) AS w FROM documents) SELECT {STEM} AS stem, count(*) AS n FROM d GROUP BY 1")
 def stem_tokens(spark, sf):
-    words = T.read(spark, sf, "documents").select(F.explode(X.tokenize(F.col("text"))).alias("w"))
-    return words.groupBy(X.stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n"))
+    words = T.read(spark, sf, "documents").select(F.explode(X.tokenize(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return words.groupBy(X.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH w AS (SELECT item_id, list_filter(list_transform({FIELDS.format(c='lower(text)')}, lambda t: regexp_replace(t, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda t: strlen(t) >= 2 AND t NOT IN ({quoted(W.QUERY_STOPWORDS)})) AS k FROM benchmark)

@@ -236,8 +236,9 @@ def adaptive_retrieve(spark, sf):
     return _adaptive("full")(spark, sf)
 
 
+#: Presets that change nothing in a search (they switch off summaries, episodes or encoding) have no query of their own.
 for _name in PRESETS:
-    if _name != "full":
+    if _name not in ("full", "no_summary", "no_episodes", "no_atomic_encoder"):
         _f = _adaptive(_name)
         _f.__name__ = f"ablation_{_name}"
         query()(_f)

@@ -55,15 +55,19 @@ def rag_combined(semantic: Column, keyword: Column) -> Column:
 
 def saturated_tf(terms: Column, text: Column, k1: float = 1.5, b: float = 0.75, average: float = 100.0) -> Column:
     """Mean over the query's terms of a saturated term frequency, without document frequencies."""
-    words = X.fields(F.lower(text))
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"""^[.,!?;:"'()\[\]{}]+|[.,!?;:"'()\[\]{}]+$""", ""))
-    room = k1 * ((1 - b) + F.size(words) * (b / average))
+    marks = r"""^[.,!?;:"'()\[\]{}]+|[.,!?;:"'()\[\]{}]+$"""
 
-    def one(t: Column) -> Column:
-        tf = F.size(F.filter(bare, lambda w: w == t)).cast("double")
-        return F.when(tf > 0, tf * (k1 + 1) / (tf + room)).otherwise(F.lit(0.0))
+    def mean(bare: Column) -> Column:
+        room = k1 * ((1 - b) + F.size(bare) * (b / average))
 
-    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.aggregate(terms, F.lit(0.0), lambda s, t: s + one(t)) / F.size(terms))
+        def one(t: Column) -> Column:
+            tf = F.size(F.filter(bare, lambda w: w == t)).cast("double")
+            return F.when(tf > 0, tf * (k1 + 1) / (tf + room)).otherwise(F.lit(0.0))
+
+        return F.aggregate(terms, F.lit(0.0), lambda s, t: s + one(t)) / F.size(terms)
+
+    bare = F.transform(X.fields(F.lower(text)), lambda w: F.regexp_replace(w, marks, ""))
+    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(X.let(bare, mean))
 
 
 def overlap_score(words: Column, text: Column, keywords: Column) -> Column:

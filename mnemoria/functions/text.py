@@ -12,6 +12,11 @@ from . import wordlists as W
 SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value worked out once, however often its lambda names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fields(text: Column) -> Column:
     """Words between Unicode white space."""
     return F.filter(F.split(text, SPACES), lambda t: t != "")
@@ -23,12 +28,24 @@ def tokenize(text: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """The first suffix rule that fits; words under 4 bytes stay."""
-    out = F.when(F.octet_length(word) < 4, word)
+    """The first suffix rule that fits; words under 4 bytes stay.
+
+    Rules of one last letter stand together, so that a word is compared with
+    few of them; rules of different last letters can't fit the same word.
+    """
+    by_end: dict[str, list] = {}
     for rule in W.STEM_RULES.split():
         suffix, rest = rule.split(">")
         new, least = rest.split("/")
-        out = out.when(word.endswith(suffix) & (F.octet_length(word) - len(suffix) >= int(least)), F.concat(F.left(word, F.length(word) - len(suffix)), F.lit(new)))
+        by_end.setdefault(suffix[-1], []).append((suffix, new, int(least)))
+    size, out = F.octet_length(word), None
+    for end, rules in by_end.items():
+        own = None
+        for suffix, new, least in rules:
+            fits, cut = word.endswith(suffix) & (size - len(suffix) >= least), F.concat(F.left(word, F.length(word) - len(suffix)), F.lit(new))
+            own = F.when(fits, cut) if own is None else own.when(fits, cut)
+        fits = word.endswith(end)
+        out = F.when(size < 4, word).when(fits, own.otherwise(word)) if out is None else out.when(fits, own.otherwise(word))
     return out.otherwise(word)
 
 
@@ -47,10 +64,14 @@ def one_of(word: Column, words) -> Column:
     return word.isin(*dict.fromkeys(words))
 
 
+def index_tokens(text: Column) -> Column:
+    """Tokens of two bytes or more that are no stopwords, with repeats, not stemmed."""
+    return F.filter(tokenize(text), lambda t: ~one_of(t, W.INDEX_STOPWORDS) & (F.octet_length(t) >= 2))
+
+
 def index_words(text: Column) -> Column:
-    """Stemmed tokens of two bytes or more that are no stopwords, with repeats."""
-    kept = F.filter(tokenize(text), lambda t: ~one_of(t, W.INDEX_STOPWORDS) & (F.octet_length(t) >= 2))
-    return F.transform(kept, stem)
+    """The same, stemmed."""
+    return F.transform(index_tokens(text), stem)
 
 
 def trim_marks(word: Column) -> Column:
@@ -93,10 +114,13 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 def word_chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:
     """Overlapping runs of words; the run that reaches the end is the last."""
     step = size - overlap if size > overlap else size
-    words = fields(text)
-    n = F.size(words)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int")) * step, F.lit(step))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " ")))
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int")) * step, F.lit(step))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " ")))
+
+    return let(fields(text), cut)
 
 
 def normalize_name(name: Column) -> Column:

@@ -25,9 +25,10 @@ def like_fallback(facts: DataFrame, words: list[str], k: int = 10) -> DataFrame:
 
 
 def postings(docs: DataFrame, id_column: str = "id", column: str = "atomic_text") -> DataFrame:
-    """(id, term, tf, length)."""
-    words = docs.select(id_column, X.index_words(F.col(column)).alias("words"))
-    return words.select(F.col(id_column).alias("id"), F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf, length); stems are made after the explode, in generated code."""
+    words = docs.select(F.col(id_column).alias("id"), X.index_tokens(F.col(column)).alias("words"))
+    raw = words.select("id", F.size("words").alias("length"), F.explode("words").alias("raw"))
+    return raw.groupBy("id", "length", X.stem(F.col("raw")).alias("term")).agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, id_column: str = "id", column: str = "atomic_text") -> DataFrame:
@@ -38,9 +39,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(X.index_words(F.col("query")))).alias("term"))
     wanted = terms.select("term").distinct()
-    words = docs.select(F.col(id_column).alias("id"), X.index_words(F.col(column)).alias("words"))
+    words = docs.select(F.col(id_column).alias("id"), X.index_tokens(F.col(column)).alias("words"))
     stats = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("average"))
-    tf = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).join(wanted, "term").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    tf = words.select("id", F.size("words").alias("length"), F.explode("words").alias("raw")).select("id", "length", X.stem(F.col("raw")).alias("term")).join(wanted, "term").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + (F.lit(1 - b) + F.col("length") * b / F.col("average")) * k1)
