@@ -330,8 +330,10 @@ class Join:
 
     def dealt(self, rows: DataFrame, own: DataFrame, *what: str) -> DataFrame:
         """``rows`` (g, salt, role, node, component), each with n and ``what`` of its node, a group together."""
-        both = rows.join(own.select("node", "n", *what), "node").select("g", "salt", "role", "node", "component", "n", *what)
-        return both.repartition(parallelism(self.spark), "g", "salt").sortWithinPartitions("g", "salt", "role", "node")
+        return self.gathered(rows.join(own.select("node", "n", *what), "node").select("g", "salt", "role", "node", "component", "n", *what))
+
+    def gathered(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(parallelism(self.spark), "g", "salt").sortWithinPartitions("g", "salt", "role", "node")
 
     def links(self, rows: DataFrame, nodes: DataFrame) -> DataFrame:
         """Links (a, b: nodes) between queries and records of one (g, salt)."""
@@ -340,8 +342,9 @@ class Join:
         shared = self.spark.sparkContext.broadcast(bits)
         k, num, den = self.k, self.num, self.den
         found = self.texts.mapInArrow(lambda it: _sets(it, shared, k), "f1 long, f2 long, words binary")
-        sets = found.join(wanted.select("node", "n", "f1", "f2"), ["f1", "f2"])
-        out = self.table(self.dealt(rows, sets, "words").mapInArrow(lambda it: _search(it, num, den), "a long, b long"), "links")
+        asked = rows.join(wanted.select("node", "n", "f1", "f2"), "node")  # short rows learn whose set they need, so that sets travel by fingerprint once and then to their searches
+        both = found.join(asked, ["f1", "f2"]).select("g", "salt", "role", "node", "component", "n", "words")
+        out = self.table(self.gathered(both).mapInArrow(lambda it: _search(it, num, den), "a long, b long"), "links")
         shared.unpersist()
         self.drop("wanted")
         return out
