@@ -95,7 +95,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def integers(vectors: DataFrame, vector: str, scale: float, parts: int) -> DataFrame:
-    """(vec_id, label, v): vectors that take part, scaled, floored and filled up."""
+    """(vec_id, label, n, v): vectors with their length, scaled, floored and filled up."""
     x = F.col(vector)
     good = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))
     kept = vectors.filter(x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: good(e.cast("double"))))
@@ -104,7 +104,7 @@ def integers(vectors: DataFrame, vector: str, scale: float, parts: int) -> DataF
     top = F.aggregate("v", F.lit(0).cast("long"), lambda a, e: F.greatest(a, F.abs(e)))
     v = F.when(top < MOST, F.col("v")).otherwise(F.raise_error(F.lit(f"a scaled component reaches {MOST}")).cast("array<bigint>"))
     more = F.pmod(-F.size("v"), F.lit(parts))
-    return kept.select("vec_id", "label", F.concat(v, F.array_repeat(F.lit(0).cast("long"), more)).cast("array<int>").alias("v"))
+    return kept.select("vec_id", "label", F.size("v").alias("n"), F.concat(v, F.array_repeat(F.lit(0).cast("long"), more)).cast("array<int>").alias("v"))
 
 
 def compress(vectors: DataFrame, vector: str = "embedding", scale: float = 1024.0, parts: int = 4, entries: int = 256, rounds: int = 4) -> DataFrame:
@@ -120,14 +120,13 @@ def compress(vectors: DataFrame, vector: str = "embedding", scale: float = 1024.
         raise ValueError("a code has two hex digits a part: 256 entries at most")
     spark = vectors.sparkSession
     rows, _ = write_table(integers(vectors, vector, scale, parts), "codes-input")
-    start = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").select("v", F.size("v").alias("n"))
+    start = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").select("v", "n")
     head = start.limit(1).collect()
     if not head:
         return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
-    n = head[0]["n"]
-    rows = rows.filter(F.size("v") == n)
+    n, width = head[0]["n"], len(head[0]["v"]) // parts
+    rows = rows.filter(F.col("n") == n)
     first = np.array([r["v"] for r in start.filter(F.col("n") == n).limit(entries).collect()], np.int64)
-    width = n // parts
     books = [first[:, p * width : (p + 1) * width] for p in range(parts)]
     for _ in range(rounds):
         books = moved(rows, books)
