@@ -155,13 +155,13 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, ke
     """One row per piece: the columns of ``docs`` but text, then start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     A document's ids are its text's, without special tokens, and a closing id
-    0; a null or empty text has that id alone. Each row is a document, repeated
+    0; a null or empty text has that id alone, texts of any length are cut whole. Each row is a document, repeated
     rows too; an empty table gives an empty one; input columns with the added
     names give way. The driver holds the histogram of lengths, and counts by
     (length, run): window * MOST_RUNS numbers at most. Ids are written and
     shuffled as bytes, two an id where the vocabulary allows it.
     """
-    names = [n for n, _ in PIECE] + ["ids"]
+    names = [n for n, _ in PIECE] + ["ids"] * keep_ids
     docs = replacing(docs, *names)
     kept = [c for c in docs.columns if c != "text"]
     inner = docs.select("text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.monotonically_increasing_id().alias("uid"))

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, replacing, write_table
+from .common import drop_table, plain, replacing, write_table
 
 #: A value after a key word and = or :, to the closing quote or, unquoted, to white space; the first looks back are cheap and turn most places away.
 KEY = r"(?i:passw(?:or)?d|pass[_\- ]?(?:phrase|code)|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|auth|bearer|credentials?|private[_\- ]?key|client[_\- ]?id|signature)[\w\-]{0,12}[\"'`]?[ \t]{0,3}[=:]{1,2}[ \t]{0,3}"
@@ -133,11 +133,13 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, path: str | None =
 
     Null, empty and short texts have no candidates; repeated rows repeat their
     findings; whole texts are searched; an empty table gives an empty one;
-    input columns with the added names give way. ``findings`` are labelled
+    input columns with the added names (and text, unless it is ``path``) give
+    way, all others stay, whatever their names. ``findings`` are labelled
     examples for the forest; without any, those of :func:`labelled_findings`.
     """
     model = train(findings if findings is not None else labelled_findings(docs.sparkSession))
-    found = candidates(docs, path)
+    inner, names = plain(replacing(docs, *ADDED), "text")
+    found = candidates(inner, next(c for c, n in names.items() if n == path) if path else None)
     scored = model.setPredictionCol("").setRawPredictionCol("").setProbabilityCol("__p").transform(_assembled(found))
     score = F.get(vector_to_array("__p"), F.lit(1))
-    return scored.select(*[F.col(f"`{c}`") for c in found.columns if c not in ("left", "right", "path")], score.alias("score"), (score >= threshold).alias("is_secret"))
+    return scored.select(*[F.col(c).alias(n) for c, n in names.items() if c != "text"], "start", "length", "value", score.alias("score"), (score >= threshold).alias("is_secret"))

@@ -18,7 +18,7 @@ from .common import plain, replacing
 
 #: Rows of a slot are numbered in so many independent runs, so that a hot slot is no single task.
 RUNS = 64
-ADDED = ("size", "text_crc32", "virtual_slot", "run", "shard", "slot")
+ADDED = ("size", "text_crc32", "virtual_slot", "shard", "slot")
 
 
 def with_slots(docs: DataFrame, n_slots: int = 4096) -> DataFrame:
@@ -101,9 +101,10 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, n_slots: int = 4096, mappi
     """``docs`` plus size, text_crc32, virtual_slot, shard and slot, a row's place in its shard, gapless from 0.
 
     Texts of any length are hashed whole. Without ``mapping`` one is fitted to the slots' bytes. Null texts have size
-    1 and share a slot with empty ones; repeated rows each get a place; an
+    1 and share a slot with empty ones; repeated rows each get a place; ties in
+    doc_id are ordered by the text, equal rows among themselves in any order; an
     empty table gives an empty one; input columns with these names are
-    replaced. Places are numbered by (slot, run) first, from a table of at most
+    replaced, all others stay. Places are numbered by (slot, run) first, from a table of at most
     n_slots * RUNS counts, so that no task holds a whole shard or hot slot.
     """
     spark = docs.sparkSession

@@ -32,14 +32,14 @@ def labels(spark, data):
     return spark.read.parquet(f"{data}/labels.parquet")
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, slot string, n_lines string, n_bytes string, `clash name` int, base string, place string, gone string, rowid string, cut_symbols string, steps string, c0 string, node string, uid string, n string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, slot string, n_lines string, n_bytes string, `clash name` int, base string, place string, gone string, rowid string, cut_symbols string, steps string, c0 string, node string, uid string, n string, `left` string, `right` string, path string, run string, ids string, f_length string, __runs string, __features string, __stratum string"
 
 
 def odd(spark):
     """Nulls anywhere, empty and long texts, repeated rows, clashing columns."""
     long = " ".join(f"w{i % 997}" for i in range(30_000))
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t\n", "en", "s", 4), (None, "some words here now", None, "s", 5), (4, long, "en", "s", len(long)), (5, "x", "en", "s", 1), (5, "x", "en", "s", 1), (6, "é'ß 　日本 \U0001F600 it's", "xx", None, None)]
-    return spark.createDataFrame([(*r, "a", "b", "c", "d", 7, *"efghijklmn") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, "a", "b", "c", "d", 7, *"efghijklmnopqrstuvw") for r in rows], SCHEMA)
 
 
 def nothing(spark):
@@ -64,6 +64,10 @@ def test_odd_and_empty(spark, labels, name):
         assert n == 8
     if name in ("shards", "lines", "rules", "first", "good"):
         assert all((r["base"], r["place"], r["gone"], r["rowid"], r["cut_symbols"], r["steps"], r["c0"]) == tuple("efghijk") for r in out.collect())
+    kept = {"left", "right", "path", "run", "f_length", "__runs", "__features", "__stratum"} | ({"ids"} if name != "pack_ids" else set())
+    if name != "components":
+        assert kept <= set(out.columns)
+        assert all((r["left"], r["run"], r["__stratum"]) == ("o", "r", "w") for r in out.select("left", "run", "__stratum").collect())
     assert run(nothing(spark)).count() == 0
 
 
