@@ -13,6 +13,7 @@ no rates are stored between steps.
 
 from __future__ import annotations
 
+import itertools
 import math
 import warnings
 
@@ -162,7 +163,7 @@ def _totals(table: DataFrame, shared, what) -> np.ndarray:
     return rows.sort_values("i")["v"].to_numpy()
 
 
-def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None, max_labelled: int, steps: int, tolerance: float):
+def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None, max_labelled: int, steps: int | None, tolerance: float):
     """The fitted classifier and rates, the chosen features (both broadcast), and the table of documents' features."""
     spark, names = docs.sparkSession, sorted(targets)
     k = len(names)
@@ -195,9 +196,11 @@ def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], tot
     def sample(batches):
         for batch in batches:
             d = known.value(_numbers(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(d[d >= 0].astype(np.int32)), batch.column(1).filter(pa.array(d >= 0))], ["domain", "active"])
+            some = pa.array(d >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), pa.array(d[d >= 0].astype(np.int32)), batch.column(1).filter(some)], ["id", "domain", "active"])
 
-    rows = table.select("__id", "active").mapInArrow(sample, "domain int, active array<int>").limit(2 * max_labelled).toPandas()
+    rows = table.select("__id", "active").mapInArrow(sample, "id long, domain int, active array<int>")
+    rows = rows.groupBy("id").agg(F.min(F.struct("active", "domain")).alias("r")).select("r.*").toPandas()  # a row for each sampled id
     weights = np.zeros((len(chosen.value) + 1, k))
     if len(rows):
         x = np.zeros((len(rows), len(chosen.value)), np.float32)
@@ -210,18 +213,17 @@ def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], tot
         natural, gram = first[:k], first[k:].reshape(k, k)
         goal = np.array([targets[d] for d in names], float)
         goal = goal / goal.sum() * (natural.sum() if total is None else total)
-        scale = 1 / np.maximum(natural, 1e-9 * max(1.0, natural.sum()))
-        scale /= max(float(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)).max()), 1e-12)
+        scale = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)  # the metric in which a step of 1 is safe, as no rate's share of the Hessian exceeds the Gram matrix
         current, ahead, allowed, settled, age, history = natural, natural, tolerance * max(1.0, goal.sum()), False, 1.0, []
-        for _ in range(steps):
+        for _ in itertools.count() if steps is None else range(steps):
             if settled := np.abs(current - goal).max() <= allowed:
                 break
-            history.append(float((current - goal) ** 2 @ scale))
+            history.append(float((current - goal) @ scale @ (current - goal)))
             if settled := len(history) > 12 and history[-1] >= 0.999 * history[-12]:  # as near as nonnegative rates come
                 break
             grew = len(history) > 1 and history[-1] > history[-2]
             older, age = 1.0 if grew else age, (1 + math.sqrt(1 + 4 * (1.0 if grew else age) ** 2)) / 2
-            fitted.steps.append((scale * (ahead - goal), (older - 1) / age))
+            fitted.steps.append((scale @ (ahead - goal), (older - 1) / age))
             both = _totals(table, send(fitted), lambda n, p, f: np.stack([n @ (p * r[:, None]) for r in f.rates(p)]))
             current, ahead = both[:k], both[k:]
         if (left := float(np.abs(current - goal).max())) > allowed:
@@ -229,7 +231,7 @@ def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], tot
     return send(fitted), chosen, table, path
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None, max_labelled: int = 20_000, steps: int = 100, tolerance: float = 1e-5, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None, max_labelled: int = 20_000, steps: int | None = None, tolerance: float = 1e-5, seed: int = 0) -> DataFrame:
     """The columns of ``docs`` but text, n_tokens, posterior (array in the order of sorted(targets)), rate and copies.
 
     ``labels`` has doc_id and domain (one of ``targets``' keys; other rows are
@@ -237,7 +239,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: fl
     corpus's. ``copies`` rounds the rate by a coin that doc_id and ``seed``
     fix. Descent ends when all targets are met to ``tolerance`` of the total, or
     when a dozen steps bring rates no nearer; a RuntimeWarning gives the
-    distance left where targets are out of reach, or not met after ``steps``. About ``max_labelled`` labelled rows, by hash, fit the classifier; a
+    distance left where targets are out of reach (or, if ``steps`` is given, not met by then). About ``max_labelled`` labelled rows, by hash, fit the classifier; a
     domain without any has no posterior. Null and empty texts have no tokens
     and the prior as posterior; repeated rows get equal rates; an empty table
     gives an empty one; input columns with the added names give way.
@@ -259,7 +261,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: fl
     return out.select(*[v.alias(c) for c, v in named.items()], "n_tokens", "posterior", "rate", copies(named["doc_id"], F.col("rate"), seed).alias("copies"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None, max_labelled: int = 20_000, steps: int = 100, tolerance: float = 1e-5, seed: int = 0) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: float | None = None, max_labelled: int = 20_000, steps: int | None = None, tolerance: float = 1e-5, seed: int = 0) -> DataFrame:
     """``docs`` as :func:`mix` rates them: each row as often as its copies say, in its own columns.
 
     Nulls, empty and long texts, repeated rows and an empty table are treated
