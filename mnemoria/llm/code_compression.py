@@ -4,7 +4,7 @@ A vector of integers is cut into equal parts, each coded by the nearest of its
 codebook's entries. For a stretch of L components with means m and residual
 norms r (what is left of a stretch after its mean), the squared distance is at
 least L (m_x - m_c)^2 + (r_x - r_c)^2, summed over stretches. The bounds are
-taken coarse to fine: one stretch a part, then two, then four. An entry whose
+taken coarse to fine: one stretch a part, then two, four and eight. An entry whose
 bound exceeds an exact distance already found is out; survivors get exact
 integer distances. Bounds are doubles, so a slack above their rounding error
 keeps each filter conservative; ties go to the lower index.
@@ -46,7 +46,7 @@ def features(x: np.ndarray, blocks: int) -> np.ndarray:
 class Codebook:
     """Entries of one part (k x d integers) and their features at each level."""
 
-    LEVELS = (1, 2, 4)
+    LEVELS = (1, 2, 4, 8)
 
     def __init__(self, entries: np.ndarray):
         self.entries = entries
@@ -65,25 +65,23 @@ class Codebook:
 
     def _chunk(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         every = np.arange(len(x))
-        coarse, own = features(x, self.LEVELS[0]), self.levels[0]
-        bound = sum((coarse[:, j, None] - own[None, :, j]) ** 2 for j in range(coarse.shape[1]))
-        best = self.exact(x, every, bound.argmin(axis=1))  # of the entry that looks nearest: no farther one can win
-        reach = self._reach(best, coarse, own)
-        row, entry = np.nonzero(bound <= reach[:, None])
-        for level, own in zip(self.LEVELS[1:], self.levels[1:], strict=True):
+        alive, best = None, None
+        for level, own in zip(self.LEVELS, self.levels, strict=True):
             mine = features(x, level)
-            gap = mine[row] - own[entry]
-            near = np.einsum("ij,ij->i", gap, gap) <= self._reach(best, mine, own)[row]
-            row, entry = row[near], entry[near]
+            mine2, own2 = np.einsum("ij,ij->i", mine, mine), np.einsum("ij,ij->i", own, own)
+            bound = mine2[:, None] - 2 * (mine @ own.T) + own2[None, :]
+            seems = self.exact(x, every, bound.argmin(axis=1))  # of the entry that looks nearest: no farther one can win
+            best = seems if best is None else np.minimum(best, seems)
+            slack = 1e-12 * (mine2.max() + own2.max()) + 1e-6  # far above what rounding adds to a bound
+            near = bound <= (best + slack)[:, None]
+            alive = near if alive is None else alive & near
+        row, entry = np.nonzero(alive)
         distance = self.exact(x, row, entry)
-        order = np.lexsort((entry, distance, row))
-        first = order[np.searchsorted(row[order], every)]
-        return entry[first], distance[first]
-
-    @staticmethod
-    def _reach(best: np.ndarray, mine: np.ndarray, own: np.ndarray) -> np.ndarray:
-        slack = 1e-9 * (1 + np.abs(mine).max(initial=0) + np.abs(own).max(initial=0))
-        return (np.sqrt(best.astype(np.float64)) + slack) ** 2 * (1 + 1e-9)
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        least = np.minimum.reduceat(distance, first)
+        hit = np.flatnonzero(distance == least[row])  # in order of entries, so a row's first is its lowest
+        win = hit[np.flatnonzero(np.append(True, row[hit][1:] != row[hit][:-1]))]
+        return entry[win], least
 
 
 def matrix(column: pa.Array) -> np.ndarray:
