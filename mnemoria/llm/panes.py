@@ -185,6 +185,8 @@ def pane_changes(feed: DataFrame, batch: int, due_hours: int = 2, closed_hours:
 STREAM = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # A start ends with its batch: its stores close with their tasks instead of waiting, with memory and local files, for a maintenance round.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
