@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import names as N
 from . import text as X
 from . import wordlists as W
 
@@ -150,7 +151,7 @@ def query_class(query: Column) -> Column:
 
 def query_entities(query: Column) -> Column:
     """Capitalised runs that aren't common starters, and quoted strings; distinct, in order."""
-    names = F.filter(F.regexp_extract_all(query, F.lit(rf"\b{W.NAMES}\b"), F.lit(1)), lambda n: ~X.one_of(n, W.QUERY_NOT_NAMES))
+    names = F.filter(N.capitalised(query), lambda n: ~X.one_of(n, W.QUERY_NOT_NAMES))
     quoted = F.transform(F.regexp_extract_all(query, F.lit(W.QUOTED), F.lit(0)), lambda s: F.substr(s, F.lit(2), F.length(s) - 2))
     return F.array_distinct(F.concat(names, quoted))
 

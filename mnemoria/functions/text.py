@@ -34,10 +34,8 @@ def stem(word: Column) -> Column:
     few of them; rules of different last letters can't fit the same word.
     """
     by_end: dict[str, list] = {}
-    for rule in W.STEM_RULES.split():
-        suffix, rest = rule.split(">")
-        new, least = rest.split("/")
-        by_end.setdefault(suffix[-1], []).append((suffix, new, int(least)))
+    for suffix, new, least in W.STEM_RULES:
+        by_end.setdefault(suffix[-1], []).append((suffix, new, least))
     size, out = F.octet_length(word), None
     for end, rules in by_end.items():
         own = None
@@ -52,9 +50,7 @@ def stem(word: Column) -> Column:
 def stem_sql(word: str) -> str:
     """The same rules as SQL text."""
     out = [f"CASE WHEN strlen({word}) < 4 THEN {word}"]
-    for rule in W.STEM_RULES.split():
-        suffix, rest = rule.split(">")
-        new, least = rest.split("/")
+    for suffix, new, least in W.STEM_RULES:
         quoted = suffix.replace("'", "''")
         out.append(f"WHEN ends_with({word}, '{quoted}') AND strlen({word}) - {len(suffix)} >= {least} THEN left({word}, length({word}) - {len(suffix)}) || '{new}'")
     return " ".join([*out, f"ELSE {word} END"])

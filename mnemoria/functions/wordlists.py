@@ -57,13 +57,48 @@ monday tuesday wednesday thursday friday saturday sunday
 january february march april june july august september october november december
 """.split()
 
-# Suffix, replacement, least bytes of what is left; the first that fits is taken.
-STEM_RULES = """
-ization>ize/3 ational>ate/3 fulness>ful/3 ousness>ous/3 iveness>ive/3 tional>tion/3 biliti>ble/3
-ement>/3 ness>/3 ment>/3 able>/3 ible>/3 ance>/3 ence>/3 ally>al/3 tion>/3 sion>/3
-izer>ize/3 ator>ate/3 ling>/3 ing>/3 ies>y/2 ied>y/2 ion>/3 ity>/3 ful>/3 ous>/3 ive>/3
-ess>/3 ist>/3 ism>/3 ial>/3 ual>/3 ly>/2 ed>/2 er>/2 es>/2 's>/2 s>/2
-"""
+# Suffix, replacement, least bytes of what is left; the first that fits is taken.
+STEM_RULES = (
+    ("ization", "ize", 3),
+    ("ational", "ate", 3),
+    ("fulness", "ful", 3),
+    ("ousness", "ous", 3),
+    ("iveness", "ive", 3),
+    ("tional", "tion", 3),
+    ("biliti", "ble", 3),
+    ("ement", "", 3),
+    ("ness", "", 3),
+    ("ment", "", 3),
+    ("able", "", 3),
+    ("ible", "", 3),
+    ("ance", "", 3),
+    ("ence", "", 3),
+    ("ally", "al", 3),
+    ("tion", "", 3),
+    ("sion", "", 3),
+    ("izer", "ize", 3),
+    ("ator", "ate", 3),
+    ("ling", "", 3),
+    ("ing", "", 3),
+    ("ies", "y", 2),
+    ("ied", "y", 2),
+    ("ion", "", 3),
+    ("ity", "", 3),
+    ("ful", "", 3),
+    ("ous", "", 3),
+    ("ive", "", 3),
+    ("ess", "", 3),
+    ("ist", "", 3),
+    ("ism", "", 3),
+    ("ial", "", 3),
+    ("ual", "", 3),
+    ("ly", "", 2),
+    ("ed", "", 2),
+    ("er", "", 2),
+    ("es", "", 2),
+    ("'s", "", 2),
+    ("s", "", 2),
+)
 
 CATEGORIES = ("biographical", "preference", "event", "relationship", "task", "knowledge", "belief", "other")
 IMPORTANCE_WORDS = ("important", "remember", "key", "critical", "note", "must")

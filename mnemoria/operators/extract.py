@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import scoring as R
 from ..functions import text as X
 from ..functions import wordlists as W
@@ -49,11 +50,13 @@ def anchor_times(text: Column, now: Column) -> Column:
 def relations(rows: DataFrame, column: str = "text") -> DataFrame:
     """The rows' other columns, source, target, relation_type, confidence: a row for each match of each pattern."""
     others = [c for c in rows.columns if c != column]
+    runs = N.relations(F.col(column))
 
     def found(kind: str, confidence: float, pattern: str) -> DataFrame:
         part = lambda g: F.regexp_extract_all(column, F.lit(pattern), F.lit(g))
-        label = part(3) if kind == "kin" else F.transform(part(1), lambda _: F.lit(kind))
-        items = F.arrays_zip(part(1).alias("source"), part(2).alias("target"), label.alias("relation_type"))
+        source, target = runs[kind] if kind in runs else (part(1), part(2))
+        label = part(3) if kind == "kin" else F.transform(source, lambda _: F.lit(kind))
+        items = F.arrays_zip(source.alias("source"), target.alias("target"), label.alias("relation_type"))
         return rows.select(*others, F.explode(items).alias("m")).select(*others, "m.source", "m.target", "m.relation_type", F.lit(confidence).alias("confidence"))
 
     return reduce(DataFrame.unionByName, [found(*r) for r in W.RELATIONS])
@@ -62,16 +65,21 @@ def relations(rows: DataFrame, column: str = "text") -> DataFrame:
 def entities(rows: DataFrame, column: str = "text") -> DataFrame:
     """Titles, relatives, companies and places, by name; the last pattern that names one gives its type."""
     others = [c for c in rows.columns if c != column]
-    patterns = [(1, W.TITLED, 2, "person"), (2, W.MY_RELATIVE, 2, "person"), (3, W.COMPANY, 0, "organization"), (4, W.LOCATION, 2, "place")]
-    parts = [rows.select(*others, F.explode(F.regexp_extract_all(column, F.lit(p), F.lit(g))).alias("name"), F.lit(kind).alias("entity_type"), F.lit(i).alias("i")) for i, p, g, kind in patterns]
-    every = reduce(DataFrame.unionByName, parts).withColumn("key", F.lower("name")).filter(~F.col("key").isin(*W.COMMON_WORDS))
-    return every.groupBy(*others, "key").agg(F.max_by("name", "i").alias("name"), F.max_by("entity_type", "i").alias("entity_type"))
+    text = F.col(column)
+    every = lambda p, g: F.regexp_extract_all(text, F.lit(N.ascii_bounds(p)), F.lit(g))
+    kinds = [(every(W.TITLED, 2), "person"), (every(W.MY_RELATIVE, 2), "person"), (N.companies(text), "organization"), (N.places(text), "place")]
+
+    def numbered(names: Column, i: int) -> Column:
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(i).alias("i")))
+
+    named = F.concat(*[numbered(names, i) for i, (names, _) in enumerate(kinds)])
+    found = rows.select(*others, F.explode(named).alias("m")).select(*others, "m.*").withColumn("key", F.lower("name")).filter(~F.col("key").isin(*W.COMMON_WORDS))
+    return found.groupBy(*others, "key").agg(F.max_by("name", F.struct("i", "name")).alias("name"), F.max("i").alias("i")).select(*others, "key", "name", F.get(F.array(*[F.lit(k) for _, k in kinds]), F.col("i")).alias("entity_type"))
 
 
 def capitalised(text: Column) -> Column:
     """Distinct capitalised runs that are names."""
-    runs = F.regexp_extract_all(text, F.lit(rf"\b{W.NAMES}\b"), F.lit(1))
-    return F.array_distinct(F.filter(runs, lambda n: (F.octet_length(X.normalize_name(n)) > 2) & ~X.one_of(n, W.GRAPH_NOT_NAMES)))
+    return F.array_distinct(F.filter(N.capitalised(text), lambda n: (F.octet_length(X.normalize_name(n)) > 2) & ~X.one_of(n, W.GRAPH_NOT_NAMES)))
 
 
 def entity_type(name: Column) -> Column:
@@ -88,7 +96,7 @@ def parse_date(s: Column) -> Column:
 
 
 def metadata(text: Column) -> dict[str, Column]:
-    every = lambda p, g=0: F.regexp_extract_all(text, F.lit(p), F.lit(g))
+    every = lambda p, g=0: F.regexp_extract_all(text, F.lit(N.ascii_bounds(p)), F.lit(g))
     times = F.concat(every(W.DATE_YMD), every(W.DATE_MDY), every(W.DATE_WRITTEN))
     places = F.array_sort(F.array_distinct(F.concat(every(W.CITY, 2), every(W.COUNTRY), every(W.STATE))))
     names = F.filter(every(W.PROPER, 1), lambda n: ~X.one_of(F.lower(n), W.COMMON_WORDS) & ~F.array_contains(places, n))
@@ -107,17 +115,30 @@ def bad_resolution(text: Column) -> Column:
     return F.exists(pairs, lambda p: p["a"].eqNullSafe(p["b"]))
 
 
+# What each label is called in replies.
 CATEGORY_NAMES = {
-    "preference": "preference preferences pref", "belief": "belief beliefs opinion", "biographical": "biographical biography bio identity", "event": "event events experience", "relationship": "relationship relationships relation",
-    "task": "task tasks todo goal", "knowledge": "knowledge fact info",
+    "preference": ("preference", "preferences", "pref"),
+    "belief": ("belief", "beliefs", "opinion"),
+    "biographical": ("biographical", "biography", "bio", "identity"),
+    "event": ("event", "events", "experience"),
+    "relationship": ("relationship", "relationships", "relation"),
+    "task": ("task", "tasks", "todo", "goal"),
+    "knowledge": ("knowledge", "fact", "info"),
+}
+ENTITY_NAMES = {
+    "person": ("person", "people", "user"),
+    "place": ("place", "location", "city", "country"),
+    "organization": ("organization", "org", "company", "business"),
+    "concept": ("concept", "idea", "topic"),
+    "thing": ("thing", "object", "item"),
+    "time": ("time", "date", "datetime", "period"),
 }
-ENTITY_NAMES = {"person": "person people user", "place": "place location city country", "organization": "organization org company business", "concept": "concept idea topic", "thing": "thing object item", "time": "time date datetime period"}
 
 
-def _named(value: Column, table: dict[str, str]) -> Column:
+def _named(value: Column, table: dict[str, tuple[str, ...]]) -> Column:
     low, out = F.lower(F.trim(value)), F
     for name, words in table.items():
-        out = out.when(low.isin(*words.split()), name)
+        out = out.when(low.isin(*words), name)
     return out.otherwise("other")
 
 
@@ -158,10 +179,16 @@ def parse_decision(reply: Column) -> dict[str, Column]:
     """OP [id]|reason; an unknown operation is NOOP."""
     head = F.trim(F.element_at(F.split(reply, r"\|", 2), 1))
     op = F.upper(F.regexp_extract(head, r"^([A-Za-z]+)", 1))
-    return {"op": F.when(op.isin("ADD", "UPDATE", "DELETE", "NOOP"), op).otherwise("NOOP"), "target": F.expr("try_cast(nullif(regexp_extract(trim(split(reply, '[|]', 2)[0]), '([0-9]+)', 1), '') as bigint)"), "reason": F.trim(F.coalesce(F.get(F.split(reply, r"\|", 2), F.lit(1)), F.lit("")))}
+    return {"op": F.when(op.isin("ADD", "UPDATE", "DELETE", "NOOP"), op).otherwise("NOOP"), "target": F.nullif(F.regexp_extract(head, "([0-9]+)", 1), F.lit("")).try_cast("long"), "reason": F.trim(F.coalesce(F.get(F.split(reply, r"\|", 2), F.lit(1)), F.lit("")))}
 
 
-PRONOUNS = {"male": ("he him himself", "his"), "female": ("she her herself", "hers"), "neutral": ("it itself", "its"), "plural": ("they them themselves", "their theirs")}
+# Pronouns that stand for a name, and those that stand for a name's possessive.
+PRONOUNS = {
+    "male": (("he", "him", "himself"), ("his",)),
+    "female": (("she", "her", "herself"), ("hers",)),
+    "neutral": (("it", "itself"), ("its",)),
+    "plural": (("they", "them", "themselves"), ("their", "theirs")),
+}
 
 
 def resolve_pronouns(text: Column, names: dict[str, Column]) -> Column:
@@ -170,7 +197,7 @@ def resolve_pronouns(text: Column, names: dict[str, Column]) -> Column:
         name = names[kind]
         done = text
         for words, end in ((plain, ""), (owning, "'s")):
-            done = F.regexp_replace(done, F.lit(rf"(?i)\b({'|'.join(words.split())})\b"), F.concat(F.coalesce(name, F.lit("")), F.lit(end)))
+            done = F.regexp_replace(done, F.lit(rf"(?i)\b({'|'.join(words)})\b"), F.concat(F.coalesce(name, F.lit("")), F.lit(end)))
         text = F.when(name.isNull() | (name == ""), text).otherwise(done)
     return text
 
@@ -204,7 +231,7 @@ def coreference(turns: DataFrame, key: str = "conv_id") -> DataFrame:
                 hit = best((lambda c: c[3] == "organization") if kind == "plural" else (lambda c, k=kind: c[1] == k))
                 if hit:
                     for words, end in ((plain, ""), (owning, "'s")):
-                        text = re.sub(rf"(?i)\b({'|'.join(words.split())})\b", lambda m, n=hit[0], e=end: n + e, text)
+                        text = re.sub(rf"(?i)\b({'|'.join(words)})\b", lambda m, n=hit[0], e=end: n + e, text)
             out.append((getattr(row, key), row.turn, text))
         return pd.DataFrame(out, columns=[key, "turn", "resolved"])
 
