@@ -8,8 +8,10 @@ from ..functions import scoring as R
 from ..functions import text as X
 from ..functions import wordlists as W
 from ..operators import lexical, rag
+from ..operators.fulltext import FullText
+from ..sources import store
 from ..sources import tables as T
-from .registry import query, whole
+from .registry import ORACLES, query, whole
 from .vectors import bench_queries
 
 FACTS = T.FACTS_SQL
@@ -56,6 +58,32 @@ def bm25_topk(spark, sf, some="item_id < 10"):
 whole(bm25_topk, " item_id < 10 AND", "true")
 
 
+def _texts(spark, sf):
+    return T.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("atomic_text"))
+
+
+def _searched(index, spark, sf):
+    found = index.search(bench_queries(spark, sf).select("query_id", F.col("text").alias("query")))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(ORACLES["bm25_topk"])
+def fulltext_insert_then_search(spark, sf):
+    """An index of a third of the documents; the others are appended, and searched without a rebuild."""
+    docs = _texts(spark, sf)
+    index = FullText.create(spark, store.scratch(spark, "fulltext"), docs.filter("id % 3 = 0"))
+    return _searched(index.append(docs.filter("id % 3 <> 0")), spark, sf)
+
+
+@query(ORACLES["bm25_topk"].replace("AS ws FROM documents)", "AS ws FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN text || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3))"))
+def fulltext_after_changes(spark, sf):
+    """Documents deleted and changed, then all merged into one segment."""
+    docs = _texts(spark, sf)
+    index = FullText.create(spark, store.scratch(spark, "fulltext"), docs)
+    changed = docs.filter("id % 10 = 4").withColumn("atomic_text", F.concat("atomic_text", F.lit(" "), "atomic_text"))
+    return _searched(index.delete(docs.filter("id % 10 = 3")).append(changed).merge(), spark, sf)
+
+
 def _pairs(rows, key, value):
     """All pairs of rows, with the values of both."""
     return rows.select(F.col(key).alias("a"), value.alias("x")).join(rows.select(F.col(key).alias("b"), value.alias("y")), F.col("a") < F.col("b"))

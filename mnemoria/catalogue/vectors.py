@@ -9,7 +9,9 @@ from ..functions import scoring as R
 from ..functions import text as X
 from ..functions import vector as V
 from ..operators import ann, lifecycle, pack, topk
+from ..operators.vector_index import VectorIndex
 from ..plans import retrieve
+from ..sources import store
 from ..sources import tables as T
 from .registry import query, whole
 
@@ -201,6 +203,25 @@ def pq_adc_topk(spark, sf):
     return scored.orderBy(F.desc("score"), "id").limit(10).select("id", F.round("score", 6).alias("score"))
 
 
+def _two_stages(spark, sf):
+    """An index of two thirds of the vectors, the others upserted; a search probes as many lists as each query needs."""
+    e = emb(spark, sf).drop("label")
+    index = VectorIndex.create(spark, store.scratch(spark, "vector-index"), e.filter("id % 3 <> 0"), train_min=256)
+    return index.upsert(e.filter("id % 3 = 0")).search(q_table(spark, sf, "vec_id % 40 = 1"), 10)
+
+
+@query()
+def ann_two_stage_topk(spark, sf):
+    """Trained centroids and codes, so rows only; tests hold it to a recall of 0.9."""
+    return _two_stages(spark, sf).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def ann_two_stage_recall(spark, sf):
+    exact = topk.exact_topk(emb(spark, sf).drop("label"), q_table(spark, sf, "vec_id % 40 = 1"), 10, lambda a, b: F.round(V.cosine_clamped(a, b), 6))
+    return ann.recall(_two_stages(spark, sf), exact).select("query_id", F.round("recall", 6).alias("recall"), "top1")
+
+
 @query(f"WITH {SEED_SQL} SELECT cluster, count(*) AS n FROM p GROUP BY cluster")
 def ann_index_stats(spark, sf):
     return ann.index_stats(ann.assign(emb(spark, sf).drop("label"), seed_rows(spark, sf)))

@@ -11,6 +11,7 @@ from ..functions import scoring as R
 from ..functions import text as X
 from ..functions import vector as V
 from ..operators import lexical, pack, topk
+from ..sources import store
 
 
 def adaptive(facts: DataFrame, queries: DataFrame, now: Column, settings: Retrieval = Retrieval(), graph: DataFrame | None = None) -> DataFrame:
@@ -55,8 +56,9 @@ def rag(chunks: DataFrame, queries: DataFrame, k: int = 5, min_score: float = 0.
     scored = full.withColumn("semantic", F.col("score")).withColumn("score", R.rag_combined(F.col("score"), R.saturated_tf(X.rag_keywords(F.col("text")), F.col("body"))))
     if not select:
         return scored.select("query_id", "id", "semantic", "score")
+    scored = store.stored(scored.select("query_id", "id", "body", "semantic", "score"), "rag-pool")  # k rounds of selection read it
     places = pack.mmr(scored.select("query_id", "id", "score", "semantic"), "query_id", k)
-    chosen = places.join(scored.select("query_id", "id", "body", "score"), ["query_id", "id"])
+    chosen = store.stored(places, "rag-chosen").join(scored.select("query_id", "id", "body", "score"), ["query_id", "id"])
     return pack.near_dup_drop(chosen, "query_id", F.col("place"), F.array_distinct(X.fields(F.lower("body"))), ["id", "score"])
 
 

@@ -22,6 +22,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in a new folder, so that what several steps read is worked out once and outlives an executor."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at ``path``, made empty if it isn't there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
