@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import PRESETS
 from ..functions import scoring as R
 from ..functions import text as X
 from ..functions import vector as V
@@ -244,27 +243,6 @@ def bench_queries(spark, sf, some="true"):
     return b.join(T.read(spark, sf, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("query"))
 
 
-def _adaptive(preset: str):
-    def run(spark, sf):
-        f = T.facts(spark, sf, True)
-        return retrieve.adaptive(f, bench_queries(spark, sf), T.now(), PRESETS[preset])
-
-    return run
-
-
-@query()
-def adaptive_retrieve(spark, sf):
-    return _adaptive("full")(spark, sf)
-
-
-#: Presets that change nothing in a search (they switch off summaries, episodes or encoding) have no query of their own.
-for _name in PRESETS:
-    if _name not in ("full", "no_summary", "no_episodes", "no_atomic_encoder"):
-        _f = _adaptive(_name)
-        _f.__name__ = f"ablation_{_name}"
-        query()(_f)
-
-
 @query(f"""WITH {T.FACTS_SQL}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id = 0),
 p AS (SELECT f.*, CAST(v.embedding AS DOUBLE[]) AS v FROM facts f JOIN embeddings v ON v.vec_id = f.id WHERE NOT is_obsolete ORDER BY importance DESC, created_at DESC, id DESC LIMIT 200),
 s AS (SELECT id, importance, created_at, access_count, {COS.format(a='v', b='qv')} AS sem FROM p, q ORDER BY sem DESC, id LIMIT 40),
@@ -286,11 +264,6 @@ def mmr_select(spark, sf):
     return pack.mmr(rows.select("query_id", "id", "score", "semantic"), "query_id", 8)
 
 
-@query()
-def build_context(spark, sf):
-    return retrieve.build_context(_adaptive("full")(spark, sf), T.facts(spark, sf), 600)
-
-
 @query(f"""WITH {T.MEMORIES_SQL}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id = 0),
 a AS (SELECT id, created_at, greatest(0.3e0, 1e0 - (row_number() OVER (ORDER BY {COS.format(a='embedding', b='qv')} DESC, id) - 1) * 0.1e0) AS rel FROM memories, q QUALIFY row_number() OVER (ORDER BY {COS.format(a='embedding', b='qv')} DESC, id) <= 10),
 b AS (SELECT id, created_at, 0.5e0 AS rel FROM memories ORDER BY created_at DESC, id DESC LIMIT 10),

@@ -189,12 +189,17 @@ def path_boost(hops: Column) -> Column:
     return F.when(hops == 0, 0.3).otherwise(F.lit(0.3) / (hops + 1))
 
 
+def _member(values: Column):
+    return lambda x: F.array_contains(values, x)
+
+
 def symbolic(query: dict[str, Column], fact: dict[str, Column]) -> Column:
-    """Overlap of times, places, persons and organisations: a quarter for each match, over what could be reached."""
+    """Overlap of times, places, persons and organisations: a quarter for each of the query's values that the fact has, over a quarter for each kind that both have."""
     reach, hit = F.lit(0.0), F.lit(0.0)
     for part in ("times", "places", "persons", "organisations"):
-        reach = reach + F.when(F.size(query[part]) > 0, 0.25).otherwise(0.0)
-        hit = hit + F.size(F.filter(query[part], lambda x, p=part: F.array_contains(fact[p], x))) * 0.25
+        a, b = (query[part], fact[part]) if part == "times" else (F.transform(query[part], F.lower), F.transform(fact[part], F.lower))
+        reach = reach + F.when((F.size(a) > 0) & (F.size(b) > 0), 0.25).otherwise(0.0)
+        hit = hit + F.size(F.filter(a, _member(b))) * 0.25
     return F.when(reach > 0, hit / reach).otherwise(F.lit(0.0))
 
 

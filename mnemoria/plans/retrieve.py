@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,31 +12,44 @@ from ..config import Retrieval
 from ..functions import scoring as R
 from ..functions import text as X
 from ..functions import vector as V
-from ..operators import lexical, pack, topk
+from ..operators import lexical, pack, symbolic, topk
 from ..sources import store
 
 
-def adaptive(facts: DataFrame, queries: DataFrame, now: Column, settings: Retrieval = Retrieval(), graph: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, rank): semantic and lexical views, merged by fact, boosted, scored, cut to k and to a token budget.
+def adaptive(facts: DataFrame, queries: DataFrame, now: Column, settings: Retrieval = Retrieval(), graph: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank): semantic, lexical and symbolic views, merged by fact, boosted, scored, cut to k and to a token budget.
 
     ``queries`` has query_id, text, query (vector); ``facts`` those of the fact
-    table with vectors; ``graph`` (query_id, fact_id, graph_score), if any.
-    Each view hands over 3 * k rows, k by the query's complexity.
+    table with vectors; ``graph`` (query_id, fact_id, graph_score) and ``named``
+    (query_id, fact_id: facts of entities that the query names), if any. Each
+    view hands over 3 * k rows, k by the query's complexity; named facts enter
+    at a symbolic score of a half. The lexical and symbolic views are
+    not searched at weight 0.
     """
-    own = queries.withColumn("c", R.complexity(F.col("text")))
-    own = own.withColumn("k", R.dynamic_k(F.col("c"), settings.k, settings.max_k) if settings.adaptive else F.lit(settings.k))
-    fetch = settings.max_k * settings.over_fetch
+    complexity = R.complexity(F.col("text"))
+    k = R.dynamic_k(complexity, settings.k, settings.max_k) if settings.adaptive else F.lit(settings.k)
+    own = store.stored(queries.select("query_id", "text", "query", k.alias("k")), "asked")
+    fetch = max(settings.k, settings.max_k) * settings.over_fetch
     active = facts.filter("not is_obsolete")
-    sem = topk.exact_topk(active.select("id", "embedding"), own.select("query_id", "query"), fetch).select("query_id", "id", F.col("score").alias("semantic"), F.lit(0.0).alias("lexical"), "rank")
-    lex = lexical.bm25(active, own.select("query_id", F.col("text").alias("query")), fetch).select("query_id", "id", F.lit(0.0).alias("semantic"), F.col("score").alias("lexical"), "rank")
-    cut = sem.unionByName(lex).join(F.broadcast(own.select("query_id", "k")), "query_id").filter(F.col("rank") <= F.col("k") * settings.over_fetch)
-    merged = cut.groupBy("query_id", "id", "k").agg(F.max("semantic").alias("semantic"), F.max("lexical").alias("lexical"))
+
+    def seen(rows: DataFrame, **scores) -> DataFrame:
+        return rows.select("query_id", "id", *[scores.get(v, F.lit(0.0)).alias(v) for v in ("semantic", "lexical", "symbolic")], "rank")
+
+    views = [seen(topk.exact_topk(active.select("id", "embedding"), own.select("query_id", "query"), fetch), semantic=F.col("score"))]
+    if settings.weights[1]:
+        views.append(seen(lexical.bm25(active, own.select("query_id", F.col("text").alias("query")), fetch), lexical=F.col("score")))
+    if settings.weights[2]:
+        views.append(seen(symbolic.view(symbolic.facets(active), symbolic.facets(own, "query_id", "text"), fetch), symbolic=F.col("score")))
+        if named is not None:
+            views.append(seen(named.select("query_id", F.col("fact_id").alias("id"), F.lit(0).alias("rank")), symbolic=F.lit(0.5)))
+    every = reduce(DataFrame.unionByName, views).join(own.select("query_id", "k"), "query_id").filter(F.col("rank") <= F.col("k") * settings.over_fetch)
+    merged = every.groupBy("query_id", "id", "k").agg(*[F.max(v).alias(v) for v in ("semantic", "lexical", "symbolic")])
     if graph is not None and settings.graph:
         merged = merged.join(graph.select("query_id", F.col("fact_id").alias("id"), "graph_score"), ["query_id", "id"], "left").fillna(0.0, ["graph_score"])
     else:
         merged = merged.withColumn("graph_score", F.lit(0.0))
     full = merged.join(active.select("id", "importance", "last_accessed", "access_count", "atomic_text"), "id")
-    score = R.hybrid_b(F.col("semantic"), F.col("lexical"), F.lit(0.0), F.col("graph_score"), F.col("importance"), R.half_life(R.hours_between(now, F.col("last_accessed")), settings.half_life_hours), R.access_boost(F.col("access_count")), settings.weights)
+    score = R.hybrid_b(F.col("semantic"), F.col("lexical"), F.col("symbolic"), F.col("graph_score"), F.col("importance"), R.half_life(R.hours_between(now, F.col("last_accessed")), settings.half_life_hours), R.access_boost(F.col("access_count")), settings.weights)
     scored = full.withColumn("score", F.round(score, 6)).filter(F.col("score") >= settings.min_score)
     order = [F.desc("score"), F.asc("id")]
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= F.col("k"))

@@ -155,3 +155,11 @@ def test_scan_where_lists_fall_short(spark, vectors, asked, index, tmp_path):
     assert index.search(asked.limit(3), k=1490).groupBy("query_id").count().filter("count = 1490").count() == 3
     none = VectorIndex.create(spark, f"{tmp_path}/none", vectors.limit(0))
     assert none.search(asked).count() == 0
+
+
+def test_each_ablation_differs(spark, data):
+    from mnemoria.catalogue import QUERIES
+
+    names = ["adaptive_retrieve", *[n for n in QUERIES if n.startswith("ablation_")]]
+    answers = [tuple(sorted(map(tuple, QUERIES[n](spark, data).collect()))) for n in names]
+    assert len(names) == 5 and len(set(answers)) == 5
