@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as R
 from ..functions import text as X
 from ..functions import wordlists as W
-from ..operators import lexical, rag
+from ..operators import lexical, rag, similarity
 from ..operators.fulltext import FullText
 from ..sources import store
 from ..sources import tables as T
@@ -84,29 +84,49 @@ def fulltext_after_changes(spark, sf):
     return _searched(index.delete(docs.filter("id % 10 = 3")).append(changed).merge(), spark, sf)
 
 
-def _pairs(rows, key, value):
-    """All pairs of rows, with the values of both."""
-    return rows.select(F.col(key).alias("a"), value.alias("x")).join(rows.select(F.col(key).alias("b"), value.alias("y")), F.col("a") < F.col("b"))
+def similar_sql(sets: str, keep: str = "true") -> str:
+    """Pairs of classes of equal sets (id, m) that share a member, with what they share, where ``keep`` holds."""
+    return f"""WITH {sets}, c AS (SELECT min(id) AS id, m FROM s WHERE len(m) > 0 GROUP BY m), e AS (SELECT id, len(m) AS n, unnest(m) AS t FROM c),
+p AS (SELECT x.id AS a, y.id AS b, any_value(x.n) + any_value(y.n) AS size2, count(*) AS shared FROM e x JOIN e y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id)
+SELECT a, b, CAST(shared AS INTEGER) AS shared, CAST(size2 - shared AS INTEGER) AS total FROM p WHERE {keep}"""
 
 
-@query(f"""WITH d AS (SELECT doc_id, list_distinct({FIELDS.format(c='lower(text)')}) AS w FROM documents WHERE doc_id < 60)
-SELECT x.doc_id AS a, y.doc_id AS b, round(CASE WHEN len(x.w) = 0 AND len(y.w) = 0 THEN 1e0 WHEN len(x.w) = 0 OR len(y.w) = 0 THEN 0e0 ELSE len(list_intersect(x.w, y.w)) / CAST(len(list_distinct(list_concat(x.w, y.w))) AS DOUBLE) END, 6) AS score FROM d x JOIN d y ON x.doc_id < y.doc_id""")
-def word_jaccard_pairs(spark, sf, some="doc_id < 60"):
-    p = _pairs(T.read(spark, sf, "documents").filter(some), "doc_id", F.array_distinct(X.fields(F.lower("text"))))
-    return p.select("a", "b", F.round(X.jaccard(F.col("x"), F.col("y")), 6).alias("score"))
+WORD_SETS = f"s AS (SELECT doc_id AS id, list_sort(list_distinct({FIELDS.format(c='lower(text)')})) AS m FROM documents)"
+KEYWORD_SETS = f"w AS (SELECT doc_id, unnest({STOPPED.format(c='text')}) AS w FROM documents), s AS (SELECT doc_id AS id, list_sort(list(DISTINCT {STEM})) AS m FROM w GROUP BY doc_id)"
+NAME_SETS = "s AS (SELECT p_partkey AS id, list_sort(list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(lower(p_name), i, 3)))) AS m FROM part)"
 
 
-whole(word_jaccard_pairs, " WHERE doc_id < 60", "true")
+def _sets(spark, sf, kind):
+    if kind == "names":
+        return T.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.length("p_name") >= 3, X.trigrams(F.lower("p_name"))).alias("members"))
+    text = F.col("text")
+    return T.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), (X.fields(F.lower(text)) if kind == "words" else X.index_words(text)).alias("members"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, unnest({STOPPED.format(c='text')}) AS w FROM documents WHERE doc_id < 60), k AS (SELECT doc_id, list(DISTINCT {STEM}) AS ks FROM d GROUP BY doc_id)
-SELECT x.doc_id AS a, y.doc_id AS b, round(len(list_intersect(x.ks, y.ks)) / CAST(len(list_distinct(list_concat(x.ks, y.ks))) AS DOUBLE), 6) AS score FROM k x JOIN k y ON x.doc_id < y.doc_id""")
-def keyword_jaccard(spark, sf, some="doc_id < 60"):
-    p = _pairs(T.read(spark, sf, "documents").filter(some), "doc_id", F.array_distinct(X.index_words(F.col("text")))).filter("size(x) > 0 and size(y) > 0")
-    return p.select("a", "b", F.round(X.jaccard(F.col("x"), F.col("y")), 6).alias("score"))
+@query(similar_sql(WORD_SETS))
+def word_jaccard_pairs(spark, sf):
+    """Shared words and all words of every two documents that share one, as counts; the result is as large as that is."""
+    return similarity.overlaps(_sets(spark, sf, "words"))
 
 
-whole(keyword_jaccard, " WHERE doc_id < 60", "true")
+@query(similar_sql(KEYWORD_SETS))
+def keyword_jaccard(spark, sf):
+    return similarity.overlaps(_sets(spark, sf, "keywords"))
+
+
+@query(similar_sql(WORD_SETS, "shared * 10 >= (size2 - shared) * 6"))
+def similar_by_words(spark, sf):
+    return similarity.similar_sets(_sets(spark, sf, "words"), 6, 10)
+
+
+@query(similar_sql(KEYWORD_SETS, "shared * 10 >= (size2 - shared) * 6"))
+def similar_by_keywords(spark, sf):
+    return similarity.similar_sets(_sets(spark, sf, "keywords"), 6, 10)
+
+
+@query(similar_sql(NAME_SETS, "shared * 10 >= (size2 - shared) * 6"))
+def similar_names(spark, sf):
+    return similarity.similar_sets(_sets(spark, sf, "names"), 6, 10)
 
 
 @query("""WITH n AS (SELECT s_suppkey AS id, lower(s_name) AS s FROM supplier WHERE s_suppkey <= 40), g AS (SELECT id, s, list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS t FROM n)
