@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions import wordlists as W
 from ..operators import extract as E
 from ..sources import tables as T
+from ..streaming import salience
 from .registry import ORACLES, literal, query
 
 LINES = [
@@ -151,7 +152,8 @@ def parse_decisions(spark, sf, rows=None):
 
 @query()
 def coref_replace(spark, sf):
-    return E.coreference(T.turns(spark, sf))
+    """State along each conversation; tests hold it, and the same as a stream, against a plain loop."""
+    return salience.resolved(T.turns(spark, sf))
 
 
 def n_of(pattern: str) -> str:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,39 +199,3 @@ def resolve_pronouns(text: Column, names: dict[str, Column]) -> Column:
             done = F.regexp_replace(done, F.lit(rf"(?i)\b({'|'.join(words)})\b"), F.concat(F.coalesce(name, F.lit("")), F.lit(end)))
         text = F.when(name.isNull() | (name == ""), text).otherwise(done)
     return text
-
-
-def coreference(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, turn, resolved): each turn with the names that its conversation has made salient so far.
-
-    State runs along a conversation's turns: new names enter at 1.0, repeats
-    add 0.1, at most 50 are held.
-    """
-    schema = f"{key} long, turn long, resolved string"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        cache: dict[str, list] = {}
-        out = []
-        for row in group.sort_values("turn").itertuples():
-            text = row.content or ""
-            for pattern, g, kind in ((W.TITLED, 2, "person"), (W.MY_RELATIVE, 2, "person"), (W.COMPANY, 0, "organization")):
-                for m in re.finditer(pattern, text):
-                    low = m.group(g).lower()
-                    if low in cache:
-                        cache[low][2] += 0.1
-                    elif len(cache) < 50:
-                        head = low.split()[0]
-                        gender = "neutral" if kind != "person" else "male" if head in W.MALE_NAMES else "female" if head in W.FEMALE_NAMES else "unknown"
-                        cache[low] = [m.group(g), gender, 1.0, kind]
-            best = lambda test: max((c for c in cache.values() if test(c)), key=lambda c: c[2], default=None)
-            for kind, (plain, owning) in PRONOUNS.items():
-                hit = best((lambda c: c[3] == "organization") if kind == "plural" else (lambda c, k=kind: c[1] == k))
-                if hit:
-                    for words, end in ((plain, ""), (owning, "'s")):
-                        text = re.sub(rf"(?i)\b({'|'.join(words)})\b", lambda m, n=hit[0], e=end: n + e, text)
-            out.append((getattr(row, key), row.turn, text))
-        return pd.DataFrame(out, columns=[key, "turn", "resolved"])
-
-    return turns.select(key, "turn", "content").groupBy(key).applyInPandas(run, schema)
