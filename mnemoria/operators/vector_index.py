@@ -19,8 +19,8 @@ the centroids (checked against ``SENT``), the codebooks and a block of queries.
 
 Writes are versions (``sources.versions``): rows of a write are a part of its
 own, rows that it replaces or deletes are buried; older versions stay readable.
-``maintain`` trains anew when appended vectors lie much farther from their
-centroids than trained ones did, or are many.
+``maintain`` trains anew when vectors lie farther from their centroids than at
+training, on average, or when many were appended.
 
 Null vectors, nulls or non-finite numbers in them and vectors of another length
 are not indexed; zero vectors are, at cosine 0 to all. Of rows with one id in a
@@ -176,14 +176,14 @@ class VectorIndex:
         return self._next({"dead": [], "parts": [], "centroids": [], "books": [], "gap": None} | _filled(self.spark, self.path, rows, rows.count(), self.about))
 
     def drift(self) -> tuple[float, float]:
-        """Mean residual of live appended rows over that at training, and their share of what was trained on."""
+        """Mean residual of live rows over that at training, and how many live rows were appended, as a share of what was trained on."""
         if not self.trained:
             return 1.0, 0.0
-        said = self.live().filter(F.col("part") > 0).agg(F.avg(F.col("residual_norm").cast("double")), F.count("*")).first()
-        return (said[0] / self.about["error"] if said[1] and self.about["error"] else 1.0), said[1] / max(1, self.about["trained_on"])
+        said = self.live().agg(F.avg(F.col("residual_norm").cast("double")), F.count_if(F.col("part") > 0)).first()
+        return (said[0] / self.about["error"] if said[0] and self.about["error"] else 1.0), said[1] / max(1, self.about["trained_on"])
 
     def maintain(self, most_drift: float = 1.25, most_appended: float = 0.5) -> VectorIndex:
-        """This index, or one trained anew if appended vectors are far from their centroids or many."""
+        """This index, or one trained anew if vectors lie far from their centroids by now or many were appended."""
         farther, appended = self.drift()
         return self.rebuild() if farther > most_drift or appended > most_appended else self
 

@@ -37,7 +37,7 @@ def test_versions_of_the_text_index(spark, docs, questions, tmp_path, monkeypatc
     first = FullText.create(spark, f"{tmp_path}/i", docs.filter("id < 40"))
     more = spark.createDataFrame([(3, "thion onth thion"), (900, "onth"), (901, None), (902, ""), (None, "gone"), (903, "b"), (903, "a tie of two rows")], "id long, atomic_text string")
     second = first.append(docs.filter("id >= 40")).append(more)
-    now = docs.filter("id <> 3").unionByName(more.filter("id is not null and not (id = 903 and atomic_text = 'b')"))
+    now = docs.filter("id <> 3").unionByName(more.filter("id is not null and not (id = 903 and atomic_text = 'b')")).fillna("", ["atomic_text"])
     assert found(second.search(asked)) == found(lexical.bm25(now, asked))
     third = second.delete(spark.createDataFrame([(900,), (7,), (12345,)], "id long"))
     now = now.filter("id not in (900, 7)")
