@@ -219,7 +219,7 @@ def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], tot
             if settled := np.abs(current - goal).max() <= allowed:
                 break
             history.append(float((current - goal) @ scale @ (current - goal)))
-            if settled := len(history) > 12 and history[-1] >= 0.999 * history[-12]:  # as near as nonnegative rates come
+            if settled := len(history) > 12 and history[-1] >= 0.9 * history[-12]:  # as near as nonnegative rates come
                 break
             grew = len(history) > 1 and history[-1] > history[-2]
             older, age = 1.0 if grew else age, (1 + math.sqrt(1 + 4 * (1.0 if grew else age) ** 2)) / 2
@@ -238,7 +238,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], total: fl
     not used). ``total`` is the sum of the targets in tokens, by default the
     corpus's. ``copies`` rounds the rate by a coin that doc_id and ``seed``
     fix. Descent ends when all targets are met to ``tolerance`` of the total, or
-    when a dozen steps bring rates no nearer; a RuntimeWarning gives the
+    when a dozen steps bring the squared distance down by less than a tenth; a RuntimeWarning gives the
     distance left where targets are out of reach (or, if ``steps`` is given, not met by then). About ``max_labelled`` labelled rows, by hash, fit the classifier; a
     domain without any has no posterior. Null and empty texts have no tokens
     and the prior as posterior; repeated rows get equal rates; an empty table
