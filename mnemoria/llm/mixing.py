@@ -218,8 +218,8 @@ def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], tot
         for _ in itertools.count() if steps is None else range(steps):
             if settled := np.abs(current - goal).max() <= allowed:
                 break
-            history.append(float((current - goal) @ scale @ (current - goal)))
-            if settled := len(history) > 12 and history[-1] >= 0.9 * history[-12]:  # as near as nonnegative rates come
+            history.append(max(0.0, float((current - goal) @ scale @ (current - goal))))  # 0 (but for rounding) where what is left is out of reach
+            if settled := history[-1] <= 1e-12 * float(goal @ scale @ goal) or len(history) > 12 and history[-1] >= 0.9 * history[-12]:  # as near as nonnegative rates come
                 break
             grew = len(history) > 1 and history[-1] > history[-2]
             older, age = 1.0 if grew else age, (1 + math.sqrt(1 + 4 * (1.0 if grew else age) ** 2)) / 2
