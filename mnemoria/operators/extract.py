@@ -98,7 +98,7 @@ def metadata(text: Column) -> dict[str, Column]:
     every = lambda p, g=0: F.regexp_extract_all(text, F.lit(N.ascii_bounds(p)), F.lit(g))
     times = F.concat(every(W.DATE_YMD), every(W.DATE_MDY), every(W.DATE_WRITTEN))
     places = F.array_sort(F.array_distinct(F.concat(every(W.CITY, 2), every(W.COUNTRY), every(W.STATE))))
-    names = F.filter(every(W.PROPER, 1), lambda n: ~X.one_of(F.lower(n), W.COMMON_WORDS) & ~F.array_contains(places, n))
+    names = X.let(places, lambda p: F.filter(every(W.PROPER, 1), lambda n: ~X.one_of(F.lower(n), W.COMMON_WORDS) & ~F.array_contains(p, n)))  # places once a text, not once a name
     anchor = parse_date(F.get(times, F.lit(0)))
     numbers = text.rlike(W.NUMBER) | text.rlike(W.CURRENCY)
     return {
