@@ -134,7 +134,7 @@ def soft_prune_set(spark, sf):
 
 
 @query(f"""WITH {MEMORIES}, o AS (SELECT * FROM memories WHERE NOT compressed AND created_at < TIMESTAMP '2024-01-01 05:00:00' ORDER BY created_at, id LIMIT 100)
-SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS ids, CAST(epoch(min(created_at)) AS BIGINT) AS start_s, CAST(epoch(max(created_at)) AS BIGINT) AS end_s, CAST(sum(token_count) AS BIGINT) AS token_count, string_agg(left(text, 40), ' | ' ORDER BY created_at, id) AS summary FROM o HAVING count(*) >= 5""")
+SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS ids, CAST(epoch(min(created_at)) AS BIGINT) AS start_s, CAST(epoch(max(created_at)) AS BIGINT) AS end_s, CAST(sum(token_count) AS BIGINT) AS token_count, string_agg(text, ' | ' ORDER BY created_at, id) AS summary FROM o HAVING count(*) >= 5""")
 def compress_block(spark, sf):
     out = lifecycle.compress_block(T.memories(spark, sf), F.lit("2024-01-01 05:00:00").cast("timestamp"))
     return out.select(F.array_join("source_ids", ",").alias("ids"), F.unix_timestamp("time_range_start").alias("start_s"), F.unix_timestamp("time_range_end").alias("end_s"), "token_count", "summary")
@@ -192,7 +192,7 @@ def summary_pending(spark, sf):
 
 
 @query(f"""WITH {FACTS}, n AS (SELECT * FROM facts WHERE NOT is_obsolete ORDER BY created_at DESC, id DESC LIMIT 50)
-SELECT string_agg('- ' || left(atomic_text, 60), chr(10) ORDER BY created_at, id) AS summary, count(*) AS n_facts FROM n""")
+SELECT string_agg('- ' || atomic_text, chr(10) ORDER BY created_at, id) AS summary, count(*) AS n_facts FROM n""")
 def rolling_summary(spark, sf):
     return lifecycle.rolling_summary(T.facts(spark, sf))
 
@@ -210,7 +210,8 @@ def episode_entity_mentions(spark, sf):
     return episodes.entity_mentions(T.entity_facts(spark, sf).withColumn("episode_id", F.col("fact_id") % 50))
 
 
-@query(f"""WITH {FACTS} SELECT episode_id, count(*) AS n_facts, string_agg('- ' || left(atomic_text, 40), chr(10) ORDER BY created_at, id) AS summary FROM facts GROUP BY episode_id""")
+@query(f"""WITH {FACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY created_at DESC, id DESC) AS back FROM facts)
+SELECT episode_id, count(*) AS n_facts, string_agg('- ' || coalesce(atomic_text, ''), chr(10) ORDER BY created_at, id) FILTER (WHERE back <= 50) AS summary FROM r GROUP BY episode_id""")
 def episode_summary(spark, sf):
     return episodes.summaries(T.facts(spark, sf))
 

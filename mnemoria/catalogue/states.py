@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 from .. import metrics
 from ..functions import scoring as R
 from ..functions import text as X
-from ..operators import episodes, graph, lifecycle
+from ..operators import episodes, graph, lifecycle, summaries
 from ..sources import tables as T
+from ..sources.store import stored
 from .graphs import MENTIONS, SOME, mentions, nodes
 from .lives import FACTS, HOURS, MEMORIES
 from .registry import query
@@ -26,6 +27,21 @@ def summary_state(spark, sf):
     return lifecycle.summary_state(f, states, f.filter("id % 4 <> 0").select(F.col("id").alias("fact_id")), T.now())
 
 
+@query(f"""WITH {FACTS}, a AS (SELECT id, episode_id AS scope, created_at, coalesce(atomic_text, '') AS t, id % 3 <> 0 AS early FROM facts WHERE NOT is_obsolete),
+c AS (SELECT scope, count(*) FILTER (WHERE early) AS n1, count(*) AS n FROM a GROUP BY scope),
+r AS (SELECT a.*, n1, n, row_number() OVER (PARTITION BY scope, early ORDER BY created_at DESC, id DESC) AS back, row_number() OVER (PARTITION BY scope, early ORDER BY created_at, id) AS forth, row_number() OVER (PARTITION BY scope ORDER BY created_at DESC, id DESC) AS back_of_all FROM a JOIN c USING (scope)),
+l AS (SELECT scope, n1, n, CASE WHEN early OR n1 < 5 THEN 0 ELSE 1 END AS part, created_at, id, t FROM r WHERE CASE WHEN n1 >= 5 THEN (early AND back <= 8) OR (NOT early AND n - n1 >= 5 AND forth <= 8) ELSE n >= 5 AND back_of_all <= 8 END),
+k AS (SELECT *, n1 >= 5 AND n - n1 >= 5 AS incremental FROM l QUALIFY row_number() OVER (PARTITION BY scope ORDER BY part DESC, created_at DESC, id DESC) <= 8)
+SELECT scope, CAST(CASE WHEN incremental THEN 2 ELSE 1 END AS INTEGER) AS version, incremental, CAST(CASE WHEN incremental THEN least(8, n - n1) WHEN n1 >= 5 THEN n1 ELSE n END AS BIGINT) AS n_new, string_agg('- ' || t, chr(10) ORDER BY part, created_at, id) AS summary FROM k GROUP BY scope, incremental, n1, n""")
+def summary_refresh(spark, sf):
+    """Two refreshes of all episodes: after two thirds of the facts, and after all of them."""
+    f = T.facts(spark, sf)
+    none = spark.createDataFrame([], summaries.STATES), spark.createDataFrame([], summaries.COVERED)
+    first = [stored(t, "summaries") for t in summaries.refresh(f.filter("id % 3 <> 0"), *none, T.now(), newest=8)]
+    second, _ = summaries.refresh(f, *first, T.now(), newest=8)
+    return summaries.latest(first[0].unionByName(second)).select("scope", "version", "incremental", "n_new", summaries.text_of(F.col("lines")).alias("summary"))
+
+
 @query(f"WITH {FACTS} SELECT episode_id, CAST(epoch(min(created_at)) AS BIGINT) AS started_s, CAST(epoch(max(created_at)) AS BIGINT) AS ended_s, count(*) AS n FROM facts GROUP BY episode_id ORDER BY min(created_at) DESC, episode_id DESC LIMIT 10")
 def recent_episodes(spark, sf):
     out = episodes.newest(episodes.by_id(T.facts(spark, sf), "episode_id"), "episode_id")

@@ -1,37 +1,56 @@
-"""Statistics of measurements, in the three rank conventions in use."""
+"""Statistics of measurements, in the three rank conventions in use.
+
+Ranks come from counts: equal values are counted before they travel, a sketch of
+each group cuts its values into ``PIECES`` ranges, and a value's rank is the
+size of the ranges before its own plus a running sum within it. So no group is
+sorted in one task, however large. Null values take no part, a null group is one.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def ranked(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Adds rn (1-based) and n by group."""
-    return rows.withColumns({"rn": F.row_number().over(Window.partitionBy(group).orderBy(value)), "n": F.count("*").over(Window.partitionBy(group))})
+PIECES = 64
 
 
-def _at(value: str, place: Column) -> Column:
-    return F.max(F.when(F.col("rn") == place, F.col(value)))
+def at_places(rows: DataFrame, group: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(group, n, mean, sd, the value at each place): places are 1-based ranks made from n."""
+    known = rows.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    edges = F.percentile_approx("v", [i / PIECES for i in range(1, PIECES)], 100 * PIECES)
+    stats = known.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), edges.alias("edges"))
+    counts = known.groupBy("g", "v").agg(F.count("*").alias("c"))
+    of = stats.select(F.col("g").alias("of"), "n", "edges")
+    cut = counts.join(of, F.col("g").eqNullSafe(F.col("of"))).select("g", "v", "c", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("piece"))
+    sizes = cut.groupBy("g", "piece").agg(F.sum("c").alias("size"))
+    before = sizes.select(F.col("g").alias("of"), F.col("piece").alias("at"), (F.sum("size").over(Window.partitionBy("g").orderBy("piece")) - F.col("size")).alias("before"))
+    high = F.sum("c").over(Window.partitionBy("g", "piece").orderBy("v"))
+    ranked = cut.withColumn("high", high).join(before, F.col("g").eqNullSafe(F.col("of")) & (F.col("piece") == F.col("at"))).withColumn("high", F.col("high") + F.col("before"))
+    found = [F.max(F.when((place(F.col("n")) <= F.col("high")) & (place(F.col("n")) > F.col("high") - F.col("c")), F.col("v"))).alias(name) for name, place in places.items()]
+    values = ranked.groupBy("g").agg(*found).withColumnRenamed("g", "of")
+    return stats.join(values, F.col("g").eqNullSafe(F.col("of"))).select(F.col("g").alias(group), "n", "mean", "sd", *places)
 
 
 def upper(rows: DataFrame, group: str = "operation", value: str = "duration_us") -> DataFrame:
     """Median s[n / 2], percentiles s[int(n * p)], population deviation."""
-    place = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1) + 1
-    return ranked(rows, group, value).groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), _at(value, place(0.5)).alias("median"), _at(value, place(0.95)).alias("p95"), _at(value, place(0.99)).alias("p99"))
+    at = lambda p: lambda n: F.least(F.floor(n * p), n - 1) + 1
+    return at_places(rows, group, value, {"median": at(0.5), "p95": at(0.95), "p99": at(0.99)})
 
 
 def nearest_rank(rows: DataFrame, group: str = "operation", value: str = "duration_us") -> DataFrame:
     """Percentiles at ceil(n * p); the median averages the middle two."""
-    place = lambda p: F.ceil(F.col("n") * p / 100)
-    return ranked(rows, group, value).groupBy(group).agg(F.count("*").alias("n"), F.median(value).alias("median"), _at(value, place(95)).alias("p95"), _at(value, place(99)).alias("p99"))
+    at = lambda p: lambda n: F.ceil(n * p / 100)
+    out = at_places(rows, group, value, {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor((n + 2) / 2), "p95": at(95), "p99": at(99)})
+    return out.select(group, "n", ((F.col("low") + F.col("high")) / 2).alias("median"), "p95", "p99")
 
 
 def integer(rows: DataFrame, group: str = "operation", value: str = "duration_us") -> DataFrame:
     """s[n * p / 100] by integer division."""
-    place = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) + 1
-    return ranked(rows, group, value).groupBy(group).agg(F.count("*").alias("n"), _at(value, place(50)).alias("p50"), _at(value, place(95)).alias("p95"), _at(value, place(99)).alias("p99"))
+    at = lambda p: lambda n: F.least(F.floor(n * p / 100), n - 1) + 1
+    return at_places(rows, group, value, {"p50": at(50), "p95": at(95), "p99": at(99)}).select(group, "n", "p50", "p95", "p99")
 
 
 def distance_bucket(d: Column) -> Column:

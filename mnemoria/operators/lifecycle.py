@@ -64,7 +64,7 @@ def compress_block(memories: DataFrame, before: Column, most: int = 100, least:
     old = memories.filter(~F.col("compressed") & (F.col("created_at") < before)).orderBy("created_at", "id").limit(most)
     ordered = F.array_sort(F.collect_list(F.struct("created_at", "id", "text", "token_count")))
     one = old.agg(ordered.alias("r"), F.min("created_at").alias("time_range_start"), F.max("created_at").alias("time_range_end"), F.sum("token_count").alias("token_count"), F.count("*").alias("n"))
-    return one.filter(F.col("n") >= least).select(F.transform("r", lambda x: x["id"]).alias("source_ids"), F.array_join(F.transform("r", lambda x: F.left(x["text"], F.lit(40))), " | ").alias("summary"), "time_range_start", "time_range_end", "token_count", "n")
+    return one.filter(F.col("n") >= least).select(F.transform("r", lambda x: x["id"]).alias("source_ids"), F.array_join(F.transform("r", lambda x: x["text"]), " | ").alias("summary"), "time_range_start", "time_range_end", "token_count", "n")
 
 
 def fact_stats(facts: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def rolling_summary(facts: DataFrame, newest: int = 50) -> DataFrame:
     """The deterministic stand-in of a summary: the newest active facts as bullets."""
     top = facts.filter("not is_obsolete").orderBy(F.desc("created_at"), F.desc("id")).limit(newest)
     rows = F.array_sort(F.collect_list(F.struct("created_at", "id", "atomic_text")))
-    return top.agg(F.array_join(F.transform(rows, lambda r: F.concat(F.lit("- "), F.left(r["atomic_text"], F.lit(60)))), "\n").alias("summary"), F.count("*").alias("n_facts"))
+    return top.agg(F.array_join(F.transform(rows, lambda r: F.concat(F.lit("- "), r["atomic_text"])), "\n").alias("summary"), F.count("*").alias("n_facts"))
 
 
 def recent(rows: DataFrame, n: int, by: str = "created_at") -> DataFrame:

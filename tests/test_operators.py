@@ -47,6 +47,21 @@ def test_latency(spark):
     assert (got["median"], got["p95"]) == (9.5, 18)
 
 
+def test_ranks_by_counts_equal_sorted_lists(spark):
+    rng = np.random.default_rng(9)
+    groups = {"hot": np.floor(rng.lognormal(3, 2, 5000)).astype(int).tolist(), None: rng.integers(0, 3, 200).tolist(), "one": [7], "two": [4, 9]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("hot", None), ("none", None)], "operation string, duration_us long")
+    by = [{r["operation"]: r for r in f(rows).collect()} for f in (metrics.upper, metrics.nearest_rank, metrics.integer)]
+    assert all(set(b) == set(groups) for b in by)
+    for g, vs in groups.items():
+        s, n = sorted(vs), len(vs)
+        u, m, i = (b[g] for b in by)
+        assert (u["n"], u["median"], u["p95"], u["p99"]) == (n, s[n // 2], s[min(int(n * 0.95), n - 1)], s[min(int(n * 0.99), n - 1)])
+        assert u["mean"] == pytest.approx(np.mean(s)) and u["sd"] == pytest.approx(np.std(s))
+        assert (m["n"], m["median"], m["p95"], m["p99"]) == (n, np.median(s), s[math.ceil(n * 95 / 100) - 1], s[math.ceil(n * 99 / 100) - 1])
+        assert (i["n"], i["p50"], i["p95"], i["p99"]) == (n, s[n * 50 // 100], s[min(n * 95 // 100, n - 1)], s[min(n * 99 // 100, n - 1)])
+
+
 def test_month_overflow(spark):
     now = F.lit("2024-03-31").cast("timestamp")
     assert one(spark, extract.anchor_times(F.col("t"), now), t="1 month ago") == "March 2024"
