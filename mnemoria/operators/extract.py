@@ -100,9 +100,9 @@ def metadata(text: Column) -> dict[str, Column]:
     places = F.array_sort(F.array_distinct(F.concat(every(W.CITY, 2), every(W.COUNTRY), every(W.STATE))))
     names = X.let(places, lambda p: F.filter(every(W.PROPER, 1), lambda n: ~X.one_of(F.lower(n), W.COMMON_WORDS) & ~F.array_contains(p, n)))  # places once a text, not once a name
     anchor = parse_date(F.get(times, F.lit(0)))
-    numbers = text.rlike(W.NUMBER) | text.rlike(W.CURRENCY)
+    numbers = text.rlike(N.ascii_bounds(W.NUMBER)) | text.rlike(W.CURRENCY)
     return {
-        "times": times, "anchor": anchor, "places": places, "persons": F.filter(names, lambda n: ~n.contains(" ")), "organisations": F.filter(names, lambda n: n.contains(" ")), "is_question": F.trim(text).rlike(r"\?$"), "is_negation": text.rlike(W.NEGATION), "has_numbers": numbers,
+        "times": times, "anchor": anchor, "places": places, "persons": F.filter(names, lambda n: ~n.contains(" ")), "organisations": F.filter(names, lambda n: n.contains(" ")), "is_question": F.trim(text).rlike(r"\?$"), "is_negation": text.rlike(N.ascii_bounds(W.NEGATION)), "has_numbers": numbers,
         "specificity": R.specificity(F.size(times), anchor.isNotNull(), F.size(places), F.size(names), numbers, F.size(X.fields(text))),
     }
 

@@ -24,3 +24,8 @@ def test_length_counts_words_between_spaces(spark, tmp_path):
     items = [(1, "Where is the\nred house\nof the old king\nand his men."), (2, "noñco mayñana ifé"), (3, "is it  more ?")]
     for name in ("complexity_breakdown", "dynamic_k", "query_class"):
         same_as_sql(spark, tmp_path / name, name, benchmark=(items, "item_id long, text string"))
+
+
+def test_negation_ends_at_letters_beyond_ascii(spark, tmp_path):
+    docs = [(1, "noñco", "en", "s", 5), (2, "ciónos", "en", "s", 6), (3, "é5 of ñ7ü", "en", "s", 9), (4, "not 5%", "en", "s", 6), (5, None, "en", "s", 0)]
+    same_as_sql(spark, tmp_path, "metadata_flags", documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"))
