@@ -30,20 +30,38 @@ def anchor_times(text: Column, now: Column) -> Column:
         ("today", iso(day)), ("yesterday", iso(F.date_add(day, -1))), ("tomorrow", iso(F.date_add(day, 1))), ("last week", week(-7)), ("this week", week(0)), ("next week", week(7)),
         ("last month", month(shift_months(day, -1))), ("this month", month(day)), ("next month", month(shift_months(day, 1))), ("last year", year(-1)), ("this year", year(0)), ("next year", year(1)),
     ]
-    for phrase, value in fixed:
-        text = F.regexp_replace(text, F.lit(rf"(?i)\b{phrase}\b"), value)
     counted = [
         (r"(?i)\b(\d+) days? ago\b", lambda n: iso(F.date_add(day, -n))), (r"(?i)\b(\d+) weeks? ago\b", lambda n: iso(F.date_add(day, -7 * n))), (r"(?i)\b(\d+) months? ago\b", lambda n: month(shift_months(day, -n))),
         (r"(?i)\bin (\d+) days?\b", lambda n: F.concat(F.lit("by "), iso(F.date_add(day, n)))), (r"(?i)\bin (\d+) weeks?\b", lambda n: F.concat(F.lit("by "), iso(F.date_add(day, 7 * n)))),
     ]
-    for pattern, value in counted:
-        numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        gaps = F.split(text, pattern, -1)
-        text = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(numbers, lambda n, i: F.concat(value(n.cast("int")), F.get(gaps, i + 1))), ""))
     last = [("this morning", F.concat(F.lit("on "), iso(day), F.lit(" morning"))), ("tonight", F.concat(F.lit("on "), iso(day), F.lit(" evening"))), ("last night", F.concat(F.lit("on "), iso(F.date_add(day, -1)), F.lit(" evening"))), ("(?:recently|just now|earlier)", F.concat(F.lit("around "), iso(day)))]
-    for phrase, value in last:
-        text = F.regexp_replace(text, F.lit(rf"(?i)\b{phrase}\b"), value)
-    return text
+
+    def plain(phrases):
+        def run(t: Column) -> Column:
+            for phrase, value in phrases:
+                t = F.regexp_replace(t, F.lit(N.ascii_bounds(rf"(?i)\b{phrase}\b")), value)
+            return t
+
+        return run
+
+    def numbered(pattern: str, value):
+        own = N.ascii_bounds(pattern)
+
+        def run(t: Column) -> Column:
+            numbers = F.regexp_extract_all(t, F.lit(own), F.lit(1))
+            put = lambda gaps: F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(numbers, lambda n, i: F.concat(value(n.cast("int")), F.get(gaps, i + 1))), ""))
+            return F.when(t.rlike(own), X.let(F.split(t, own, -1), put)).otherwise(t)
+
+        return run
+
+    # a step names its text several times: each is bound, so that a text is rewritten once a step and not once a name
+    steps = [plain(fixed), *[numbered(*c) for c in counted], plain(last)]
+    done = text
+    for step in steps:
+        done = X.let(done, step)
+    # one look for any of the words keeps texts without them out of the steps
+    words = [p for p, _ in fixed + last] + [r"\d+ (?:day|week|month)s? ago", r"in \d+ (?:day|week)s?"]
+    return F.when(text.rlike(N.ascii_bounds(rf"(?i)\b(?:{'|'.join(words)})\b")), done).otherwise(text)
 
 
 def relations(rows: DataFrame, column: str = "text") -> DataFrame:

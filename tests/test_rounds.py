@@ -29,3 +29,13 @@ def test_length_counts_words_between_spaces(spark, tmp_path):
 def test_negation_ends_at_letters_beyond_ascii(spark, tmp_path):
     docs = [(1, "noñco", "en", "s", 5), (2, "ciónos", "en", "s", 6), (3, "é5 of ñ7ü", "en", "s", 9), (4, "not 5%", "en", "s", 6), (5, None, "en", "s", 0)]
     same_as_sql(spark, tmp_path, "metadata_flags", documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"))
+
+
+def test_anchors_are_rewritten_once(spark, tmp_path):
+    import time
+
+    texts = ["I came Yesterday, 3 days ago, 2 weeks ago and in 2 weeks; tonight", "ñtodayñ and last week", "x" * 100_000 + " 3 days ago", None, "in 3 days, this morning, last night recently 3 days ago 3 days ago"]
+    docs = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    began = time.perf_counter()
+    got = same_as_sql(spark, tmp_path, "temporal_anchor", documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert len(got) == 5 and time.perf_counter() - began < 60
