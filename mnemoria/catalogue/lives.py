@@ -210,8 +210,7 @@ def episode_entity_mentions(spark, sf):
     return episodes.entity_mentions(T.entity_facts(spark, sf).withColumn("episode_id", F.col("fact_id") % 50))
 
 
-@query(f"""WITH {FACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY created_at DESC, id DESC) AS back FROM facts)
-SELECT episode_id, count(*) AS n_facts, string_agg('- ' || coalesce(atomic_text, ''), chr(10) ORDER BY created_at, id) FILTER (WHERE back <= 50) AS summary FROM r GROUP BY episode_id""")
+@query(f"""WITH {FACTS} SELECT episode_id, count(*) AS n_facts, string_agg('- ' || coalesce(atomic_text, ''), chr(10) ORDER BY created_at, id) AS summary FROM facts GROUP BY episode_id""")
 def episode_summary(spark, sf):
     return episodes.summaries(T.facts(spark, sf))
 

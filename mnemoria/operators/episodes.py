@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "30 minutes") -> DataFrame:
@@ -27,13 +26,10 @@ def entity_mentions(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("episode_id", "entity").agg(F.count("*").alias("n"))
 
 
-def summaries(facts: DataFrame, newest: int = 50) -> DataFrame:
-    """(episode_id, n_facts, summary): the number of all facts, and the newest ones, whole, as bullets in order of creation."""
-    back = F.row_number().over(Window.partitionBy("episode_id").orderBy(F.desc("created_at"), F.desc("id")))
-    top = facts.select("episode_id", "created_at", "id", F.coalesce("atomic_text", F.lit("")).alias("t")).withColumn("back", back).filter(F.col("back") <= newest)
-    items = F.array_sort(F.collect_list(F.struct("created_at", "id", "t")))  # at most ``newest``
-    texts = top.groupBy("episode_id").agg(F.array_join(F.transform(items, lambda r: F.concat(F.lit("- "), r["t"])), "\n").alias("summary"))
-    return facts.groupBy("episode_id").agg(F.count("*").alias("n_facts")).join(texts.withColumnRenamed("episode_id", "of"), F.col("episode_id").eqNullSafe(F.col("of"))).select("episode_id", "n_facts", "summary")
+def summaries(facts: DataFrame) -> DataFrame:
+    """(episode_id, n_facts, summary): the number of facts, and all of them, whole, as bullets in order of creation. A summary is one value: an episode's texts fit a task."""
+    items = F.array_sort(F.collect_list(F.struct("created_at", "id", F.coalesce("atomic_text", F.lit("")).alias("t"))))
+    return facts.groupBy("episode_id").agg(F.count("*").alias("n_facts"), F.array_join(F.transform(items, lambda r: F.concat(F.lit("- "), r["t"])), "\n").alias("summary"))
 
 
 def formatted(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:

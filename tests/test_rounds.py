@@ -39,3 +39,10 @@ def test_anchors_are_rewritten_once(spark, tmp_path):
     began = time.perf_counter()
     got = same_as_sql(spark, tmp_path, "temporal_anchor", documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"))
     assert len(got) == 5 and time.perf_counter() - began < 60
+
+
+def test_episode_summary_has_all_facts(spark, tmp_path):
+    docs = [(50 * i, f"fact {i}" * (i % 9), "en", "s", 1) for i in range(130)]
+    label, event = ([(0, 1, 0)], "doc_id long, quality int, toxic int"), ([(0, None, 7)], "event_id long, ts timestamp, user_id long")
+    got = same_as_sql(spark, tmp_path, "episode_summary", documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), labels=label, events=event)
+    assert got["summary"][0].count("\n") == 129
