@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vector as V
+from .topk import listed_topk
 
 
 def seeds(vectors: DataFrame, nlist: int) -> DataFrame:
@@ -43,12 +44,11 @@ def train(vectors: DataFrame, nlist: int = 64, rounds: int = 4) -> DataFrame:
 
 
 def probe(postings: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int, k: int) -> DataFrame:
-    """(query_id, id, score, rank): the nearest ``nprobe`` lists by an equi join, then exact scores. ``postings``: id, cluster, embedding."""
+    """(query_id, id, score, rank): the nearest ``nprobe`` lists, then exact scores to six digits. ``postings``: id, cluster, embedding."""
     near = queries.crossJoin(F.broadcast(centroids)).withColumn("c", V.cosine(F.col("query"), F.col("centroid")))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "cluster"))).filter(F.col("r") <= nprobe).select("query_id", "query", "cluster")
-    scored = postings.join(near, "cluster").withColumn("score", V.cosine_clamped(F.col("query"), F.col("embedding")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    asked = near.groupBy("query_id").agg(F.first("query").alias("query"), F.collect_set("cluster").alias("clusters"))
+    return listed_topk(postings.select("id", "embedding", "cluster"), asked, k, V.cosine_clamped, 6).select("query_id", "id", "score", "rank")
 
 
 def codebook(vectors: DataFrame, m: int, bits: int, rounds: int = 4, sample: int = 20_000) -> DataFrame:

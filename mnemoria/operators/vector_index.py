@@ -1,10 +1,10 @@
 """A stored vector index: IVF lists of residual product codes, searched in two stages.
 
 Vectors go, at length one, to the list of the centroid nearest by cosine; what
-is left after the centroid is coded part by part. A search looks up, for each
-(query, list), a table of squared distances from every code to what is left of
-the query there, adds them up over a row's codes, keeps an oversample of the
-nearest, and ranks those by their exact cosine.
+is left after the centroid is coded part by part. A search takes, for each
+list that a query probes, the squared distances from what its rows' codes stand
+for to what is left of the query there, as matrix products; each task keeps an
+oversample of the nearest, and those are ranked by their exact cosine.
 
 How many lists a query probes follows from the query: all whose centroid comes
 within ``gap`` of its best one. The gap is measured when the index is trained:
@@ -40,12 +40,13 @@ from pyspark.sql.window import Window
 from ..functions import vector as V
 from ..sources import store, versions
 from . import topk
+from .nearest import Best, pairs
 
 SAMPLE, ASKED = 50_000, 256
 #: Bytes of centroids that are sent to each task.
 SENT = 64 << 20
 #: Queries that are searched at a time.
-BLOCK = 2048
+BLOCK = 8192
 LIST = "id long, codes binary, residual_norm float, embedding array<float>, cluster int"
 FLAT = "id long, embedding array<float>"
 
@@ -231,17 +232,23 @@ class VectorIndex:
 
         def near(frames):
             asked, probed, centroids, books = sent.value
-            parts = cuts(d, len(books))
+            best = Best(len(asked), keep)
             for frame in frames:
                 codes = np.frombuffer(b"".join(frame["codes"]), np.uint8).reshape(len(frame), len(books))
+                left = np.concatenate([book[codes[:, j]] for j, book in enumerate(books)], axis=1)
+                ids, part = frame["id"].to_numpy(), frame["part"].to_numpy().astype(np.int64)
                 for cluster, at in frame.groupby("cluster").indices.items():
-                    ids, own = frame["id"].to_numpy()[at], codes[at]
-                    for q in np.flatnonzero(probed[:, cluster]):
-                        left = asked[q] - centroids[cluster]
-                        table = [((book - left[cut]) ** 2).sum(1) for cut, book in zip(parts, books, strict=True)]
-                        far = sum(t[own[:, j]] for j, t in enumerate(table))
-                        best = np.argpartition(far, keep)[:keep] if len(far) > keep else np.arange(len(far))
-                        yield pd.DataFrame({"q": np.int32(q), "part": frame["part"].to_numpy()[at][best], "id": ids[best], "far": far[best]})
+                    which = np.flatnonzero(probed[:, cluster])
+                    if not len(which):
+                        continue
+                    least = best.least[which]
+                    for q, v, far in pairs("l2", left[at], asked[which] - centroids[cluster], keep, least, -1):
+                        best.add(which[q], -far, ids[at[v]], part[at[v]])
+                    best.least[which] = np.maximum(best.least[which], least)
+            q, good, ids, part = best.sort()
+            for i in range(0, len(q), 100_000):
+                own = slice(i, i + 100_000)
+                yield pd.DataFrame({"q": q[own].astype(np.int32), "part": part[own].astype(np.int32), "id": ids[own], "far": -good[own]})
 
         used = [int(c) for c in np.flatnonzero(probed.any(0))]
         lists = self.live().filter(F.col("cluster").isin(used))

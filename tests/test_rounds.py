@@ -46,3 +46,29 @@ def test_episode_summary_has_all_facts(spark, tmp_path):
     label, event = ([(0, 1, 0)], "doc_id long, quality int, toxic int"), ([(0, None, 7)], "event_id long, ts timestamp, user_id long")
     got = same_as_sql(spark, tmp_path, "episode_summary", documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), labels=label, events=event)
     assert got["summary"][0].count("\n") == 129
+
+
+def test_topk_equals_column_scores(spark):
+    """By matrix products as by column expressions, with copies, zeros, nulls, other lengths and opposite vectors; no join of all pairs."""
+    import random
+
+    from mnemoria.functions import vector as V
+    from mnemoria.operators import topk
+
+    rng = random.Random(3)
+    base = [[rng.uniform(-1, 1) for _ in range(6)] for _ in range(40)]
+    rows = [(i, [float(x) for x in base[rng.randrange(40)]]) for i in range(300)]
+    rows += [(300, None), (301, []), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (303, [float("nan")] * 6), (304, [0.0] * 6), (305, [1.0, 2.0]), (306, [float("inf")] + [0.0] * 5)]
+    rows += [(400 + i, [-x for x in base[0]]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(0, base[0]), (1, base[7]), (2, [0.0] * 6), (3, [1.0, 0.0])], "query_id int, query array<float>")
+    for score, up, digits, low in ((V.cosine_clamped, False, None, None), (V.cosine, False, 6, 0.1), (V.dot, False, None, None), (V.l2_squared, True, None, None), (V.cosine_clamped, False, 3, None)):
+        for k in (1, 12, 10_000):
+            got = topk.exact_topk(df, asked, k, score, low, up, digits=digits)
+            assert k == 10_000 or "cosine" not in str(score) or "NestedLoopJoin" not in topk._pairs(df.filter("id < 300"), asked.filter("query_id < 3"), k, score, low, up, 10_000, digits)._jdf.queryExecution().toString()
+            from pyspark.sql.window import Window
+
+            pairs = topk._scored(df, asked, score, digits, low, 10_000, 4)
+            want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc("score") if up else F.desc("score"), "id"))).filter(F.col("rank") <= k)
+            key = lambda r: (r["query_id"], r["rank"], r["id"], repr(r["score"]))
+            assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
