@@ -72,3 +72,15 @@ def test_topk_equals_column_scores(spark):
             want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc("score") if up else F.desc("score"), "id"))).filter(F.col("rank") <= k)
             key = lambda r: (r["query_id"], r["rank"], r["id"], repr(r["score"]))
             assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_all_pairs_are_whole(spark, tmp_path):
+    """Copies, documents that share nothing and empty ones are pairs too."""
+    texts = ["a red house", "a red house", "blue", "", " ", "A red boat of the old man", "houses housing house"] + [f"word{i % 7} word{i % 5} red" for i in range(40)]
+    docs = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = same_as_sql(spark, tmp_path / "w", "word_jaccard_pairs", documents=(docs, schema))
+    assert len(got) == len(texts) * (len(texts) - 1) // 2
+    same_as_sql(spark, tmp_path / "k", "keyword_jaccard", documents=(docs, schema))
+    names = [(1, "Supplier#1"), (2, "Supplier#1"), (3, "supplier#21"), (4, "aaaa"), (5, "aaaaa"), (6, "xyz")]
+    same_as_sql(spark, tmp_path / "n", "trigram_name_similarity", supplier=(names, "s_suppkey long, s_name string"))
