@@ -1,9 +1,12 @@
 """Statistics of measurements, in the three rank conventions in use.
 
-Ranks come from counts: equal values are counted before they travel, a sketch of
-each group cuts its values into ``PIECES`` ranges, and a value's rank is the
-size of the ranges before its own plus a running sum within it. So no group is
-sorted in one task, however large. Null values take no part, a null group is one.
+Ranks come from counts: equal values are counted before they travel, ``PIECES``
+of a group's distinct values, picked by their hashes, cut them into ranges, and a
+value's rank is the size of the ranges before its own plus a running sum within
+it. So no group is sorted in one task, however large. Ranges are worked out in
+more than one place of the plan, so they depend on the values alone: a sketch
+would change with the order in which its parts are merged. Null values take no
+part, a null group is one.
 """
 
 from __future__ import annotations
@@ -17,13 +20,20 @@ from pyspark.sql.window import Window
 PIECES = 64
 
 
+def cuts(counts: DataFrame) -> DataFrame:
+    """(g, edges) of distinct (g, v): at most PIECES of a group's values, the same however its rows are dealt."""
+    slot = F.pmod(F.xxhash64("v"), F.lit(PIECES))
+    picked = counts.groupBy("g", slot.alias("slot")).agg(F.min_by("v", F.struct(F.xxhash64("v", F.lit(1)), "v")).alias("v"))
+    return picked.groupBy("g").agg(F.array_sort(F.collect_list("v")).alias("edges"))
+
+
 def at_places(rows: DataFrame, group: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """(group, n, mean, sd, the value at each place): places are 1-based ranks made from n."""
     known = rows.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
-    edges = F.percentile_approx("v", [i / PIECES for i in range(1, PIECES)], 100 * PIECES)
-    stats = known.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), edges.alias("edges"))
+    stats = known.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
     counts = known.groupBy("g", "v").agg(F.count("*").alias("c"))
-    of = stats.select(F.col("g").alias("of"), "n", "edges")
+    edges = cuts(counts).select(F.col("g").alias("same"), "edges")
+    of = stats.select(F.col("g").alias("of"), "n").join(edges, F.col("of").eqNullSafe(F.col("same")))
     cut = counts.join(of, F.col("g").eqNullSafe(F.col("of"))).select("g", "v", "c", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("piece"))
     sizes = cut.groupBy("g", "piece").agg(F.sum("c").alias("size"))
     before = sizes.select(F.col("g").alias("of"), F.col("piece").alias("at"), (F.sum("size").over(Window.partitionBy("g").orderBy("piece")) - F.col("size")).alias("before"))
