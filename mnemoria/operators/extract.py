@@ -64,19 +64,39 @@ def anchor_times(text: Column, now: Column) -> Column:
     return F.when(text.rlike(N.ascii_bounds(rf"(?i)\b(?:{'|'.join(words)})\b")), done).otherwise(text)
 
 
+#: What a match of each kind holds, so that texts without it are spared the pattern: one look each for a few fixed words.
+RELATION_WORDS = {
+    "works_at": r"\s(?:works at|works for|is employed by|joined)\s",
+    "lives_in": r"\s(?:lives in|is from|moved to|resides in)\s",
+    "knows": r"\s(?:knows|met|befriended)\s",
+    "kin": rf"'s\s+(?:{W.KIN})",
+    "member_of": r"\s(?:member|part)\s+of\s",
+}
+TITLE_WORDS = r"(?i)(?:Mr|Mrs|Ms|Dr|Prof)\.\s"
+RELATIVE_WORDS = r"(?i)my\s"
+COMPANY_WORDS = r"(?i)\s(?:Inc|Corp|LLC|Ltd|Company|Co\.)"
+
+
+def _where(held: Column, found: Column) -> Column:
+    """The names found in texts that hold what a match needs; none in others."""
+    return F.when(held, found).otherwise(F.array().cast("array<string>"))
+
+
 def relations(rows: DataFrame, column: str = "text") -> DataFrame:
     """The rows' other columns, source, target, relation_type, confidence: a row for each match of each pattern."""
     others = [c for c in rows.columns if c != column]
     runs = N.relations(F.col(column))
 
-    def found(kind: str, confidence: float, pattern: str) -> DataFrame:
+    def found(kind: str, confidence: float, pattern: str) -> Column:
+        held = F.col(column).rlike("(?i)" + RELATION_WORDS[kind])
         part = lambda g: F.regexp_extract_all(column, F.lit(pattern), F.lit(g))
-        source, target = runs[kind] if kind in runs else (part(1), part(2))
-        label = part(3) if kind == "kin" else F.transform(source, lambda _: F.lit(kind))
+        source, target = (_where(held, c) for c in (runs[kind] if kind in runs else (part(1), part(2))))
+        label = _where(held, part(3)) if kind == "kin" else F.transform(source, lambda _: F.lit(kind))
         items = F.arrays_zip(source.alias("source"), target.alias("target"), label.alias("relation_type"))
-        return rows.select(*others, F.explode(items).alias("m")).select(*others, "m.source", "m.target", "m.relation_type", F.lit(confidence).alias("confidence"))
+        return F.transform(items, lambda m: F.struct(m["source"].alias("source"), m["target"].alias("target"), m["relation_type"].alias("relation_type"), F.lit(confidence).alias("confidence")))
 
-    return reduce(DataFrame.unionByName, [found(*r) for r in W.RELATIONS])
+    some = rows.filter(F.col(column).rlike(f"(?i)(?:{'|'.join(RELATION_WORDS.values())})"))
+    return some.select(*others, F.explode(F.concat(*[found(*r) for r in W.RELATIONS])).alias("m")).select(*others, "m.*")
 
 
 def entities(rows: DataFrame, column: str = "text") -> DataFrame:
@@ -84,7 +104,8 @@ def entities(rows: DataFrame, column: str = "text") -> DataFrame:
     others = [c for c in rows.columns if c != column]
     text = F.col(column)
     every = lambda p, g: F.regexp_extract_all(text, F.lit(N.ascii_bounds(p)), F.lit(g))
-    kinds = [(every(W.TITLED, 2), "person"), (every(W.MY_RELATIVE, 2), "person"), (N.companies(text), "organization"), (N.places(text), "place")]
+    held = lambda words, names: _where(text.rlike(words), names)
+    kinds = [(held(TITLE_WORDS, every(W.TITLED, 2)), "person"), (held(RELATIVE_WORDS, every(W.MY_RELATIVE, 2)), "person"), (held(COMPANY_WORDS, N.companies(text)), "organization"), (N.places(text), "place")]
 
     def numbered(names: Column, i: int) -> Column:
         return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(i).alias("i")))

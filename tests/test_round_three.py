@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from mnemoria import metrics
+from mnemoria.operators import extract
 
 
 def test_ranges_of_measurements_are_the_same_however_rows_are_dealt(spark):
@@ -22,3 +23,12 @@ def test_ranks_hang_on_no_sketch(spark):
         s = sorted(i * 7919 % 20_011 for i in range(g, 30_000, 3))
         n = len(s)
         assert got[g] == (n, s[n // 2], s[int(n * 0.95)], s[int(n * 0.99)])
+
+
+def test_relations_look_at_a_text_once_and_miss_no_spelling(spark):
+    texts = ["Ann\tKNOWS\nBob", "ann smith JOINED\x0bAcme", "Ann joined Acme Labs", "Al is Bo's\tWIFE", "Al is a PART\n of Us", "Al Is From Rome, Italy", "member of", "knows", "unknown Bob", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    out = extract.relations(rows)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    got = {(r.id, r.source, r.target, r.relation_type) for r in out.collect()}
+    assert got == {(0, "Ann", "Bob", "knows"), (2, "Ann", "Acme Labs", "works_at"), (3, "Al", "Bo", "WIFE"), (4, "Al", "Us", "member_of"), (5, "Al", "Rome, Italy", "lives_in")}
