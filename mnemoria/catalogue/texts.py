@@ -106,8 +106,8 @@ def metadata_flags(spark, sf, rows=lines):
 
 @query()
 def specificity_score(spark, sf):
-    m = E.metadata(F.col("text"))
-    return documents(spark, sf).select("id", F.round(m["specificity"], 6).alias("specificity"), F.date_format(m["anchor"], "yyyy-MM-dd").alias("anchor"))
+    m = E.metadata(F.col("text"), noted=True)
+    return E.noted(documents(spark, sf)).select("id", F.round(m["specificity"], 6).alias("specificity"), F.date_format(m["anchor"], "yyyy-MM-dd").alias("anchor"))
 
 
 REPLIES = [(1, "FACT|pref|0.9|likes tea\nFACT|Goal|abc|run | swim\nnoise\nENTITY|people|Bob\nREL|Bob|knows|Ann|0.6"), (2, "FACT|bio|7|born in 1990\nFACT|x|0.2|\nENTITY|company|Acme\nREL|Bob|works_at|Acme|high")]

@@ -30,6 +30,13 @@ def ascii_bounds(pattern: str) -> str:
     return pattern.replace(r"\b", f"(?:{_OUTSIDE}(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_]){_END})")
 
 
+def whole_word(pattern: str, first: str, end: str = _END) -> str:
+    r"""``ascii_bounds`` of a pattern that starts with \b and a character of the class ``first``: that character is looked for before what stands behind it. ``end``: what its last \b says; after a word character, that none follows."""
+    flags, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    assert body.startswith(r"\b") and body.endswith(r"\b")
+    return f"{flags}(?=[{first}]){_OUTSIDE}{body[2:-2]}{end}"
+
+
 def _replace(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(by))
 

@@ -133,13 +133,44 @@ def parse_date(s: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in layouts])
 
 
-def metadata(text: Column) -> dict[str, Column]:
-    every = lambda p, g=0: F.regexp_extract_all(text, F.lit(N.ascii_bounds(p)), F.lit(g))
-    times = F.concat(every(W.DATE_YMD), every(W.DATE_MDY), every(W.DATE_WRITTEN))
-    places = F.array_sort(F.array_distinct(F.concat(every(W.CITY, 2), every(W.COUNTRY), every(W.STATE))))
-    names = X.let(places, lambda p: F.filter(every(W.PROPER, 1), lambda n: ~X.one_of(F.lower(n), W.COMMON_WORDS) & ~F.array_contains(p, n)))  # places once a text, not once a name
-    anchor = parse_date(F.get(times, F.lit(0)))
-    numbers = text.rlike(N.ascii_bounds(W.NUMBER)) | text.rlike(W.CURRENCY)
+#: Patterns of :func:`metadata`: what each begins with, and one cheap look at a text that a match can't do without.
+TIMES = [(W.DATE_YMD, "0-9", r"\d-\d\d-\d"), (W.DATE_MDY, "0-9", r"\d/\d"), (W.DATE_WRITTEN, "jfmasond", r"\s\d{1,2}(?:[a-zA-Z]{2})?,?\s*\d{4}")]
+PLACES = [(W.CITY, "iaftn", 2), (W.COUNTRY, "ucagfjibmsr", 0), (W.STATE, "ctfnipogm", 0)]
+
+
+def find_times(text: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(~text.rlike(held), none).otherwise(F.regexp_extract_all(text, F.lit(N.whole_word(p, first)), F.lit(0))) for p, first, held in TIMES])
+
+
+def find_places(text: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(N.whole_word(p, first)), F.lit(g)) for p, first, g in PLACES])))
+
+
+def find_names(text: Column, places: Column) -> Column:
+    every = F.regexp_extract_all(text, F.lit(N.whole_word(W.PROPER, "A-Z")), F.lit(1))
+    return X.let(places, lambda p: F.filter(every, lambda n: ~X.one_of(F.lower(n), W.COMMON_WORDS) & ~F.array_contains(p, n)))  # places once a text, not once a name
+
+
+#: What :func:`noted` adds, in the order of its steps.
+NOTES = {"__times": find_times, "__places": find_places, "__names": lambda text: find_names(text, F.col("__places")), "__anchor": lambda text: parse_date(F.get("__times", F.lit(0)))}
+
+
+def noted(rows: DataFrame, column: str = "text") -> DataFrame:
+    """The rows with columns for what :func:`metadata` names several times, so that a text meets each pattern once; ``metadata(text, noted=True)`` reads them."""
+    for name, found in NOTES.items():
+        rows = rows.withColumn(name, found(F.col(column)))
+    return rows
+
+
+def metadata(text: Column, noted: bool = False) -> dict[str, Column]:
+    """Of a text; ``noted``: over rows of :func:`noted`."""
+    if noted:
+        times, places, names, anchor = (F.col(c) for c in NOTES)
+    else:
+        times, places = find_times(text), find_places(text)
+        names, anchor = find_names(text, places), parse_date(F.get(times, F.lit(0)))
+    numbers = text.rlike(N.whole_word(W.NUMBER, "0-9", N.ascii_bounds(r"\b"))) | text.rlike(W.CURRENCY)
     return {
         "times": times, "anchor": anchor, "places": places, "persons": F.filter(names, lambda n: ~n.contains(" ")), "organisations": F.filter(names, lambda n: n.contains(" ")), "is_question": F.trim(text).rlike(r"\?$"), "is_negation": text.rlike(N.ascii_bounds(W.NEGATION)), "has_numbers": numbers,
         "specificity": R.specificity(F.size(times), anchor.isNotNull(), F.size(places), F.size(names), numbers, F.size(X.fields(text))),

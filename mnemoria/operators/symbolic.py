@@ -19,8 +19,8 @@ KINDS = ("times", "places", "persons", "organisations")
 
 def facets(rows: DataFrame, id_column: str = "id", column: str = "atomic_text") -> DataFrame:
     """(id, kinds, kind, value, n): each value of a text once, how often it stands there, and a bit for each kind that the text has."""
-    found = extract.metadata(F.col(column))
-    lists = rows.select(F.col(id_column).alias("id"), *[found[k].alias(k) for k in KINDS])
+    found = extract.metadata(F.col(column), noted=True)
+    lists = extract.noted(rows, column).select(F.col(id_column).alias("id"), *[found[k].alias(k) for k in KINDS])
     kinds = sum((F.when(F.size(k) > 0, 1 << i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
     each = F.concat(*[_numbered(F.col(k) if k == "times" else F.transform(k, F.lower), i) for i, k in enumerate(KINDS)])
     return lists.select("id", kinds.alias("kinds"), F.explode(each).alias("f")).groupBy("id", "kinds", F.col("f.kind").alias("kind"), F.col("f.value").alias("value")).agg(F.count("*").alias("n"))
