@@ -47,6 +47,16 @@ def stem(word: Column) -> Column:
     return out.otherwise(word)
 
 
+def stem_word(word: str) -> str:
+    """The same rules for one word, in tasks that work on batches."""
+    size = len(word.encode())
+    if size >= 4:
+        for suffix, new, least in W.STEM_RULES:
+            if word.endswith(suffix) and size - len(suffix) >= least:
+                return word[: -len(suffix)] + new
+    return word
+
+
 def stem_sql(word: str) -> str:
     """The same rules as SQL text."""
     out = [f"CASE WHEN strlen({word}) < 4 THEN {word}"]

@@ -35,6 +35,8 @@ from ..functions import text as X
 from ..sources import store, versions
 
 WINDOW, BUCKETS = 128, 64
+#: Ids of buried documents are sent to the tasks up to this number; more are joined by a shuffle.
+SENT = 2_000_000
 DOCUMENTS = "id long, window long, length int, terms array<struct<term:string,tf:int>>"
 POSTINGS = "term string, window long, n int, max_tf int, min_length int, postings array<struct<id:long,tf:int,length:int>>, bucket int"
 #: Windows of a query that are scored to get a threshold.
@@ -52,31 +54,102 @@ def bucket(term: Column) -> Column:
 
 
 def forward(docs: DataFrame, id_column: str, column: str) -> DataFrame:
-    """(id, length, terms): each document's number of index words and its terms with their counts."""
-    one = docs.filter(F.col(id_column).isNotNull()).groupBy(F.col(id_column).cast("long").alias("id")).agg(F.min(column).alias("text"))
-    words = one.select("id", F.coalesce(X.index_tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
-    counted = words.select("id", F.explode("words").alias("raw")).groupBy("id", X.stem(F.col("raw")).alias("term")).agg(F.count("*").cast("int").alias("tf"))
-    terms = counted.groupBy("id").agg(F.sum("tf").cast("int").alias("length"), F.collect_list(F.struct("term", "tf")).alias("terms"))
-    none = F.array().cast("array<struct<term:string,tf:int>>")
-    return one.select("id").join(terms, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("terms", none).alias("terms"))
+    """(id, length, terms): each document's number of index words and its terms with their counts.
+
+    Only ids are shuffled, to find those of several rows; texts stay in their
+    tasks, which count the words of a batch of documents.
+    """
+    rows = docs.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("text"))
+    again = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    if not again.isEmpty():
+        again = store.stored(again, "fulltext-again")
+        least = rows.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+        rows = rows.join(again, "id", "left_anti").unionByName(least)
+    words = rows.select("id", F.coalesce(X.index_tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    return store.stored(words.mapInArrow(_counted, "id long, length int, terms array<struct<term:string,tf:int>>"), "fulltext-forward")  # sorting looks at it twice
+
+
+def _counted(batches):
+    """Batches of (id, words) to (id, length, terms)."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        words = batch.column("words")
+        sizes = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().cast(pa.string()).dictionary_encode()
+        place: dict[str, int] = {}
+        stems = np.array([place.setdefault(X.stem_word(w), len(place)) for w in coded.dictionary.to_pylist()], np.int64)
+        most = max(1, len(place))
+        pairs, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * most + stems[coded.indices.to_numpy()], return_counts=True)
+        terms = pa.StructArray.from_arrays([pa.array(list(place), pa.string()).take(pa.array(pairs % most)), pa.array(tf.astype(np.int32))], ["term", "tf"])
+        starts = np.searchsorted(pairs, np.arange(len(sizes) + 1) * most).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(starts), terms)], ["id", "length", "terms"])
+
+
+def _blocks(batches):
+    """Batches of (id, window, length, terms), windows one after the other, to the rows of ``POSTINGS`` but for their bucket; a window that a task's end cuts gives two rows of a term."""
+    import numpy as np
+    import pyarrow as pa
+
+    def blocks(rows: pa.RecordBatch) -> pa.RecordBatch:
+        lists = rows.column("terms")
+        sizes = np.diff(lists.offsets.to_numpy())
+        items = lists.flatten()
+        coded, doc = items.field("term").cast(pa.string()).dictionary_encode(), np.repeat(np.arange(len(sizes)), sizes)
+        code, tf = coded.indices.to_numpy().astype(np.int64), items.field("tf").to_numpy()
+        window, length, ids = (rows.column(c).to_numpy()[doc] for c in ("window", "length", "id"))
+        order = np.lexsort((doc, code, window))
+        code, window, length, ids, tf = (x[order] for x in (code, window, length, ids, tf))
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (window[1:] != window[:-1])
+        starts = np.flatnonzero(new)
+        n = np.diff(np.append(starts, len(code))).astype(np.int32)
+        most, least = (np.maximum.reduceat(tf, starts), np.minimum.reduceat(length, starts)) if len(starts) else (tf, length)
+        postings = pa.StructArray.from_arrays([pa.array(ids), pa.array(tf), pa.array(length)], ["id", "tf", "length"])
+        own = pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)).astype(np.int32)), postings)
+        return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[starts])), pa.array(window[starts]), pa.array(n), pa.array(most), pa.array(least), own], ["term", "window", "n", "max_tf", "min_length", "postings"])
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        window = batch.column("window").to_numpy()
+        cut = int(np.searchsorted(window, window[-1])) if (np.diff(window) >= 0).all() else batch.num_rows
+        if held and (cut or held[-1].column("window")[-1].as_py() != int(window[0])):  # the windows held so far end here
+            held.append(batch.slice(0, cut))
+            yield blocks(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            held = []
+        elif cut:
+            yield blocks(pa.Table.from_batches([batch.slice(0, cut)]).combine_chunks().to_batches()[0])
+        if cut < batch.num_rows:
+            held.append(batch.slice(cut))
+    if held:
+        yield blocks(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
 def write_segment(path: str, rows: DataFrame) -> dict:
     """The tables of one segment from (id, length, terms), and its statistics."""
     spark = rows.sparkSession
     own = versions.part(path, "segment")
-    order = rows.repartitionByRange("length", "id").sortWithinPartitions("length", "id")
+    packed = rows.select("id", "length", F.array_join("terms.term", " ").alias("words"), F.col("terms.tf").alias("tf"))  # terms hold no space; shuffled so, they are half as large
+    order = packed.repartitionByRange("length", "id").sortWithinPartitions("length", "id")
     at = F.monotonically_increasing_id()  # partition << 33 | row
-    order.select("id", F.shiftright(at, 7).alias("window"), "length", "terms").write.parquet(f"{own}/documents")
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    terms = F.when(F.size("tf") == 0, none).otherwise(F.arrays_zip(F.split("words", " ").alias("term"), F.col("tf").alias("tf")))
+    order.select("id", F.shiftright(at, 7).alias("window"), "length", terms.alias("terms")).write.parquet(f"{own}/documents")
     assert WINDOW == 1 << 7
     docs = spark.read.schema(DOCUMENTS).parquet(f"{own}/documents")
-    each = docs.select("id", "window", "length", F.explode("terms").alias("t")).select("t.term", "window", F.struct("id", F.col("t.tf").alias("tf"), "length").alias("p"))
-    blocks = each.groupBy("term", "window").agg(F.count("*").cast("int").alias("n"), F.max("p.tf").alias("max_tf"), F.min("p.length").alias("min_length"), F.collect_list("p").alias("postings"))
+    blocks = docs.mapInArrow(_blocks, POSTINGS.removesuffix(", bucket int"))  # a window's documents lie together: nothing is shuffled
     blocks.withColumn("bucket", bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(f"{own}/postings")
     said = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
     return {"path": own, "n": said["n"], "words": said["words"]}
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= SENT else ids
+
+
 class FullText:
     """The index at ``path`` as of one version."""
 
@@ -113,12 +186,18 @@ class FullText:
         paths = self.about["dead"]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _buried(self) -> DataFrame:
+        """(segment, id) of buried documents."""
+        return _sent(self.dead().select("segment", "id"))
+
     def live(self) -> DataFrame:
-        return self.documents().join(self.dead().select("segment", "id"), ["segment", "id"], "left_anti")
+        return self.documents().join(self._buried(), ["segment", "id"], "left_anti")
 
     def _bury(self, ids: DataFrame) -> list[str]:
         own = versions.part(self.path, "dead")
-        self.live().join(ids.select(F.col("id").cast("long")).distinct(), "id", "left_semi").select("segment", "id", "length", "terms").write.parquet(own)
+        hit = self.documents().select("segment", "id").join(ids.select(F.col("id").cast("long")).distinct(), "id", "left_semi")
+        hit = store.stored(hit.join(self._buried(), ["segment", "id"], "left_anti"), "fulltext-hit")  # ids alone are shuffled where they are many
+        self.documents().join(_sent(hit), ["segment", "id"], "left_semi").select("segment", "id", "length", "terms").write.parquet(own)
         return [*self.about["dead"], own]
 
     def append(self, docs: DataFrame, id_column: str = "id", column: str = "atomic_text") -> FullText:
@@ -182,7 +261,8 @@ class FullText:
     def _scored(self, windows: DataFrame, asked: DataFrame, share) -> DataFrame:
         """(query_id, id, score) of live documents in (query_id, segment, window)."""
         wanted = windows.select("query_id", "segment", "window").join(asked, "query_id").withColumn("bucket", bucket(F.col("term")))
-        opened = self.postings().select("segment", "bucket", "term", "window", "postings").join(wanted, ["segment", "bucket", "term", "window"])
+        held = self.postings().select("segment", "bucket", "term", "window", "postings").join(asked.select("term").distinct(), "term", "left_semi")
+        opened = held.join(wanted, ["segment", "bucket", "term", "window"])
         each = opened.select("query_id", "segment", "idf", F.explode("postings").alias("p")).select("query_id", "segment", F.col("p.id").alias("id"), (F.col("idf") * share(F.col("p.tf"), F.col("p.length"))).alias("s"))
-        live = each.join(self.dead().select("segment", "id"), ["segment", "id"], "left_anti")
+        live = each.join(self._buried(), ["segment", "id"], "left_anti")
         return live.groupBy("query_id", "id").agg(F.sum("s").alias("score"))

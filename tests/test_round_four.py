@@ -6,8 +6,10 @@ import re
 from pyspark.sql import functions as F
 
 from mnemoria.catalogue import QUERIES
+from mnemoria.functions import text as X
 from mnemoria.functions import wordlists as W
-from mnemoria.operators import extract, lexical
+from mnemoria.operators import extract, fulltext, lexical
+from mnemoria.operators.fulltext import FullText
 
 ODD = [None, "", "2024-03-05", "12024-03-05 2024-03-055 x2024-03-05", "on 3/5/24, 13/05/2024_ and é3/5/24é", "March 5th, 2024 or march 5 2024; Smarch 5 2024, May 12TH2024.", "éin Paris near NEW york, at home_ in Georgia's ohio", "USA us UKx _US Us.", "New Yorker New York", "Anna Smith met The Bob in Paris, ÀAnna", "costs 5% 12.50 x9 9x 7_ $1,200.50", "5%x 5%é 5.%"]
 
@@ -44,3 +46,30 @@ def test_bm25_cuts_texts_into_words_once(spark):
     share = lambda df, tf, size: math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / average))
     want = {(1, 1): share(2, 1, 2), (1, 4): share(2, 2, 3), (2, 5): share(2, 1, 1) + share(2, 1, 2) + share(2, 1, 2), (2, None): share(2, 1, 1)}
     assert {(r["query_id"], r["id"]): round(r["score"], 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_indexes_shuffle_ids_and_no_exploded_postings(spark, data, tmp_path, monkeypatch):
+    """Texts stay in their tasks, and so do the postings of a window, whatever the batches."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("atomic_text"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        index = FullText.create(spark, f"{tmp_path}/i", docs)
+        rows = index.documents().select("window", "id", "length", F.explode("terms").alias("t")).select("t.term", "window", F.struct("id", "t.tf", "length").alias("p"))
+        want = rows.groupBy("term", "window").agg(F.count("*").alias("n"), F.max("p.tf").alias("m"), F.min("p.length").alias("l"), F.array_sort(F.collect_list("p")).alias("p"))
+        got = index.postings().select("term", "window", "n", "max_tf", "min_length", F.array_sort("postings"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        plain = lexical.postings(docs).groupBy("id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+        ours = index.documents().filter("length > 0").select("id", F.size("terms").alias("n"), F.col("length").alias("tf"))
+        assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, plain.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    said = []
+    monkeypatch.setattr(fulltext.store, "stored", lambda df, name: said.append(df) or df)
+    fulltext.forward(docs, "id", "atomic_text")
+    assert "Exchange" not in said[-1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_words_stem_is_its_columns(spark):
+    words = [w + e for w in ("é", "ab", "abc", "naïv", "relat") for e, _, _ in W.STEM_RULES] + ["", "a", "ments"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.stem(F.col("w")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [X.stem_word(r["w"]) for r in rows]
