@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import store
+
 
 def greedy_skip(rows: DataFrame, key: str, order: Column, tokens: Column, budget: int, carry: list[str]) -> DataFrame:
     """Takes what still fits, in order; all rows if everything fits. ``order`` sorts ascending; a key's rows pass by one at a time, in sorted batches."""
@@ -44,7 +46,7 @@ def near_dup_drop(rows: DataFrame, key: str, order: Column, words: Column, carry
     own = rows.select(F.col(key), *carry, F.struct(order.alias("o"), *carry, words.alias("w")).alias("__item"), F.coalesce(F.col(key).cast("string"), F.lit("\0")).alias("__k"))
     own = own.withColumn("__set", F.coalesce(F.sha2(F.to_json(F.struct(F.array_sort("__item.w").alias("w"))), 256), F.lit("")))
     own = own.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__set").orderBy("__item"))).filter("__n = 1 or __item.w is null")
-    own = own.withColumn("__pos", F.row_number().over(Window.partitionBy("__k").orderBy("__item")))
+    own = store.stored(own.withColumn("__pos", F.row_number().over(Window.partitionBy("__k").orderBy("__item"))), "near-dup-rows")  # five steps read it
     sets = own.filter("size(__item.w) > 0").select("__k", "__pos", F.col("__item.w").alias("w"), F.size("__item.w").alias("n"))
     each = sets.select("__k", "__pos", "n", F.explode("w").alias("word"))
     counts = each.groupBy("__k", "word").agg(F.count("*").alias("df"))
