@@ -100,7 +100,7 @@ def relations(rows: DataFrame, column: str = "text") -> DataFrame:
 
 
 def entities(rows: DataFrame, column: str = "text") -> DataFrame:
-    """Titles, relatives, companies and places, by name; the last pattern that names one gives its type."""
+    """Titles, relatives, companies and places, by name; the last pattern that names one gives its type, and the first place it does so there the letters' case."""
     others = [c for c in rows.columns if c != column]
     text = F.col(column)
     every = lambda p, g: F.regexp_extract_all(text, F.lit(N.ascii_bounds(p)), F.lit(g))
@@ -111,8 +111,8 @@ def entities(rows: DataFrame, column: str = "text") -> DataFrame:
         return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(i).alias("i")))
 
     named = F.concat(*[numbered(names, i) for i, (names, _) in enumerate(kinds)])
-    found = rows.select(*others, F.explode(named).alias("m")).select(*others, "m.*").withColumn("key", F.lower("name")).filter(~F.col("key").isin(*W.COMMON_WORDS))
-    return found.groupBy(*others, "key").agg(F.max_by("name", F.struct("i", "name")).alias("name"), F.max("i").alias("i")).select(*others, "key", "name", F.get(F.array(*[F.lit(k) for _, k in kinds]), F.col("i")).alias("entity_type"))
+    found = rows.select(*others, F.posexplode(named).alias("at", "m")).select(*others, "at", "m.*").withColumn("key", F.lower("name")).filter(~F.col("key").isin(*W.COMMON_WORDS))
+    return found.groupBy(*others, "key").agg(F.max_by("name", F.struct(F.col("i"), -F.col("at"))).alias("name"), F.max("i").alias("i")).select(*others, "key", "name", F.get(F.array(*[F.lit(k) for _, k in kinds]), F.col("i")).alias("entity_type"))
 
 
 def capitalised(text: Column) -> Column:
