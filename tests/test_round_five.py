@@ -30,3 +30,23 @@ def test_only_prefixes_travel_to_blocks(spark, monkeypatch):
     whole = {i: len(m) for i, m in sets}
     assert all(len(r["codes"]) <= 0.4 * whole[r["id"]] + 7 for r in sent[0].collect() if r["id"] not in (1001,))
     assert len({r["id"] for r in sent[1].collect()}) < 150
+
+
+def test_scores_round_as_sql_does(spark, tmp_path):
+    """Halves of the sixth digit, which a double can't hold; large tables of pairs go through products and lists alike."""
+    texts = [" ".join(f"w{k}" for k in range(i, i + n)) for i, n in ((0, 640), (599, 41), (0, 5), (100, 9), (3, 130), (0, 323))]
+    docs = [(i, t, "en", "s", 1) for i, t in enumerate(texts * 12)]
+    got = same_as_sql(spark, tmp_path, "word_jaccard_pairs", documents=(docs, DOCUMENTS))
+    assert len(got) == 72 * 71 // 2
+
+
+def test_pairs_are_counted_by_products_and_by_lists():
+    import numpy as np
+
+    from mnemoria.operators import similarity
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.minimum(rng.integers(0, 3000, n), rng.integers(0, 3000, n))) for n in rng.integers(0, 200, 300)]
+    flat = lambda some: (np.concatenate(some), np.concatenate([[0], np.cumsum([len(t) for t in some])]))
+    got = similarity._shared(flat(sets[:120]), flat(sets[120:]))
+    assert (got == [[len(np.intersect1d(x, y)) for y in sets[120:]] for x in sets[:120]]).all() and got.max() > 5
