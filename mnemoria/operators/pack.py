@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources import store
+from . import similarity
 
 
 def greedy_skip(rows: DataFrame, key: str, order: Column, tokens: Column, budget: int, carry: list[str]) -> DataFrame:
@@ -42,20 +43,27 @@ def near_dup_drop(rows: DataFrame, key: str, order: Column, words: Column, carry
     Of equal sets only the first can stay. Two sets nearer than ``limit``
     share one of the rarest n - floor(limit * n) words of each, so an inverted
     list of those finds all pairs; what is kept then follows from the pairs.
+    Words travel only for rows of such a pair; order and places are found from
+    the other columns. Equal ``order`` and ``carry`` go by a hash of the words.
     """
-    own = rows.select(F.col(key), *carry, F.struct(order.alias("o"), *carry, words.alias("w")).alias("__item"), F.coalesce(F.col(key).cast("string"), F.lit("\0")).alias("__k"))
-    own = own.withColumn("__set", F.coalesce(F.sha2(F.to_json(F.struct(F.array_sort("__item.w").alias("w"))), 256), F.lit("")))
-    own = own.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__set").orderBy("__item"))).filter("__n = 1 or __item.w is null")
-    own = store.stored(own.withColumn("__pos", F.row_number().over(Window.partitionBy("__k").orderBy("__item"))), "near-dup-rows")  # five steps read it
-    sets = own.filter("size(__item.w) > 0").select("__k", "__pos", F.col("__item.w").alias("w"), F.size("__item.w").alias("n"))
-    each = sets.select("__k", "__pos", "n", F.explode("w").alias("word"))
-    counts = each.groupBy("__k", "word").agg(F.count("*").alias("df"))
-    rarest = Window.partitionBy("__k", "__pos").orderBy("df", "word")
-    lists = each.join(counts, ["__k", "word"]).withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * limit)).select("__k", "word", "__pos", "n")
-    left, right = (lists.select("__k", "word", F.col("__pos").alias(p), F.col("n").alias(f"n_{p}")) for p in ("a", "b"))
-    near = left.join(right, ["__k", "word"]).filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") > F.greatest("n_a", "n_b") * limit)).select("__k", "a", "b").distinct()
-    with_a = near.join(sets.select("__k", F.col("__pos").alias("a"), F.col("w").alias("x")), ["__k", "a"])
-    both = with_a.join(sets.select("__k", F.col("__pos").alias("b"), F.col("w").alias("y")), ["__k", "b"])
+    item = F.struct(order.alias("o"), *carry)
+    said = rows.select(F.col(key), *carry, item.alias("__item"), words.alias("__w"), F.coalesce(F.col(key).cast("string"), F.lit("\0")).alias("__k"), F.monotonically_increasing_id().alias("__id"))
+    said = store.stored(said.withColumn("__set", F.coalesce(F.sha2(F.to_json(F.struct(F.array_sort("__w").alias("w"))), 256), F.lit(""))), "near-dup-words")
+    own = said.select(key, *carry, "__item", "__k", "__id", "__set", F.col("__w").isNull().alias("__none"))
+    own = own.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__set").orderBy("__item", "__id"))).filter("__n = 1 or __none")
+    own = store.stored(own.withColumn("__pos", F.row_number().over(Window.partitionBy("__k").orderBy("__item", "__set", "__id"))).select(key, *carry, "__k", "__id", "__pos"), "near-dup-rows")  # four steps read it
+    sets = said.select(F.col("__id").alias("id"), F.col("__w").alias("members"), F.size("__w").alias("size")).filter("size > 0")
+    rarest = similarity.coded(sets).select(F.col("id").alias("__id"), F.col("size").alias("n"), F.slice("codes", 1, F.col("size") - F.floor(F.col("size") * limit).cast("int")).alias("codes"))
+    lists = own.select("__k", "__id", "__pos").join(rarest, "__id").select("__k", "__id", F.col("__pos").alias("p"), "n", F.posexplode("codes").alias("r", "code"))
+    left, right = (lists.select("__k", "code", *[F.col(c).alias(f"{c}_{i}") for c in ("__id", "p", "n", "r")]) for i in ("a", "b"))
+    # the first word shared and those after it, of the set with fewer
+    rest = F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
+    near = left.join(right, ["__k", "code"]).filter((F.col("p_a") < F.col("p_b")) & (F.least("n_a", "n_b") > F.greatest("n_a", "n_b") * limit) & (rest * (1 + limit) >= (F.col("n_a") + F.col("n_b")) * limit - 1e-6))
+    near = store.stored(near.select("__k", F.col("p_a").alias("a"), F.col("p_b").alias("b"), "__id_a", "__id_b").distinct(), "near-dup-pairs")
+    asked = store.stored(near.select(F.explode(F.array("__id_a", "__id_b")).alias("__id")).distinct(), "near-dup-asked")
+    few = F.broadcast(asked) if asked.count() <= 2_000_000 else asked
+    found = store.stored(said.select("__id", "__w").join(few, "__id"), "near-dup-sets")
+    both = near.join(found.toDF("__id_a", "x"), "__id_a").join(found.toDF("__id_b", "y"), "__id_b")
     pairs = both.filter(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")) > limit).select("__k", "a", "b")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:

@@ -50,3 +50,27 @@ def test_pairs_are_counted_by_products_and_by_lists():
     flat = lambda some: (np.concatenate(some), np.concatenate([[0], np.cumsum([len(t) for t in some])]))
     got = similarity._shared(flat(sets[:120]), flat(sets[120:]))
     assert (got == [[len(np.intersect1d(x, y)) for y in sets[120:]] for x in sets[:120]]).all() and got.max() > 5
+
+
+def test_words_travel_only_where_a_pair_is_left(spark, monkeypatch):
+    """Near copies, equal sets in another order, rows without words; other rows' words stay where they are."""
+    import random
+
+    from mnemoria.functions import text as X
+    from mnemoria.operators import pack
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [(i % 3, i, " ".join(f"w{min(rng.randrange(3000), rng.randrange(3000))}" for _ in range(rng.randrange(5, 90)))) for i in range(300)]
+    rows += [(i % 3, 1000 + i, rows[i][2] + " x") for i in range(20)] + [(i % 3, 2000 + i, " ".join(reversed(rows[i][2].split()))) for i in range(20)] + [(None, 3000, None), (None, 3001, None), (1, 3002, ""), (1, 3003, " ")]
+    kept, stored = {}, []
+    for q, i, t in rows:
+        w = None if t is None else frozenset(t.split())
+        if not any(w is not None and v is not None and (w == v or (w | v and len(w & v) / len(w | v) > 0.85)) for _, v in kept.setdefault(q, [])):
+            kept[q].append((i, w))
+    real = pack.store.stored
+    monkeypatch.setattr(pack.store, "stored", lambda df, name: stored.append((name, real(df, name))) or stored[-1][1])
+    got = pack.near_dup_drop(spark.createDataFrame(rows, "q long, id long, t string"), "q", F.col("id"), F.array_distinct(X.fields(F.col("t"))), ["id"])
+    assert {tuple(r) for r in got.collect()} == {(q, p, i) for q, some in kept.items() for p, (i, _) in enumerate(some)}
+    sent = [df.count() for name, df in stored if name == "near-dup-sets"]
+    assert len(sent) == 1 and 40 <= sent[0] < len(rows) / 3
